@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from loomtext.llm import chunking, mixing, packing, tokens
+from loomtext.llm import chunking, langid, mixing, packing, pairs, tokens
 
 
 def queries() -> dict:
     return {
         "p1_found": chunking.p1_found,
         "p1_pieces": chunking.p1_pieces,
+        "p2_found": pairs.p2_found,
+        "p2_rates": pairs.p2_rates,
+        "p4_found": langid.p4_found,
+        "p4_labels": langid.p4_labels,
+        "p4_segments": langid.p4_segments,
         "p6_batches": packing.p6_batches,
         "p6_fill": packing.p6_fill,
         "p8_ids": tokens.p8_ids,
