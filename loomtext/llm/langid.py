@@ -181,8 +181,8 @@ def model_of(text: dict[str, str]) -> Model:
     return _MODELS[key]
 
 
-def labelled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text per language: the samples, then the bounded sample of responses."""
+def sampled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """[(language, text)]: the samples, then the bounded sample of responses."""
     own = table(spark, sf_dir, "lang_samples").select("lang", "text").limit(rows).collect()
     resp = (
         table(spark, sf_dir, "translate_responses")
@@ -190,13 +190,15 @@ def labelled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, chars: i
         .select(F.col("source_lang").alias("lang"), F.col("original_text").alias("text"), F.xxhash64("response_id").alias("h"))
         .orderBy("h", "text").limit(rows).select("lang", "text").collect()
     )
+    return [(k, r["text"]) for r in [*own, *resp] if r["text"] and (k := label(r["lang"])) in LANGS]
+
+
+def labelled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Labelled text per language: distinct cleaned sentences of sampled()."""
     seen: dict[str, dict[str, None]] = {k: {} for k in LANGS}
     used = dict.fromkeys(LANGS, 0)
-    for r in [*own, *resp]:
-        k = label(r["lang"])
-        if k not in seen:
-            continue
-        for s in sentences(r["text"] or ""):
+    for k, text in sampled(spark, sf_dir, rows):
+        for s in sentences(text):
             c = clean(s)
             if c and c not in seen[k] and used[k] < chars:
                 seen[k][c] = None
