@@ -193,15 +193,21 @@ def sampled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS) -> list[t
     return [(k, r["text"]) for r in [*own, *resp] if r["text"] and (k := label(r["lang"])) in LANGS]
 
 
-def labelled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text per language: distinct cleaned sentences of sampled()."""
-    seen: dict[str, dict[str, None]] = {k: {} for k in LANGS}
+def labelled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, distinct: bool = True) -> dict[str, str]:
+    """Labelled text per language: cleaned sentences of sampled(), each once if distinct."""
+    return gathered(sampled(spark, sf_dir, rows), chars, distinct)
+
+
+def gathered(samples: list[tuple[str, str]], chars: int = SAMPLE_CHARS, distinct: bool = True) -> dict[str, str]:
+    seen: dict[str, list[str]] = {k: [] for k in LANGS}
+    once: set[tuple[str, str]] = set()
     used = dict.fromkeys(LANGS, 0)
-    for k, text in sampled(spark, sf_dir, rows):
+    for k, text in samples:
         for s in sentences(text):
             c = clean(s)
-            if c and c not in seen[k] and used[k] < chars:
-                seen[k][c] = None
+            if c and used[k] < chars and not (distinct and (k, c) in once):
+                once.add((k, c))
+                seen[k].append(c)
                 used[k] += len(c) + 1
     return {k: "\n".join(v) for k, v in seen.items() if v}
 
