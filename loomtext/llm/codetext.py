@@ -214,10 +214,9 @@ def _model(text: dict[str, str], code: str, folder: str) -> Classes:
 
 def code_sample(spark: SparkSession, sf_dir: str, rows: int = CODE_ROWS) -> str:
     """Code without comments and literals of the first rows matches in the order of a hash."""
-    got = (
-        table(spark, sf_dir, "verify_matches").where((F.lower("category") == "code") & (F.length("extracted_text") <= 5000))
-        .select("path", "extracted_text", F.xxhash64("match_id").alias("h")).orderBy("h", "path").limit(rows).collect()
-    )
+    code = table(spark, sf_dir, "verify_matches").where(F.lower(F.trim("category")) == "code")
+    some = langid.by_hash(code.select("match_id", "path", "extracted_text"), "match_id", rows).where(F.length("extracted_text") <= 5000)
+    got = sorted(some.limit(2 * rows).collect(), key=lambda r: (r["h"], r["path"] or ""))[:rows]
     lines = set()
     for r in got:
         ext = (r["path"] or "").rsplit(".", 1)[-1]

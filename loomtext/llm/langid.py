@@ -181,16 +181,22 @@ def model_of(text: dict[str, str]) -> Model:
     return _MODELS[key]
 
 
+def by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About the first rows rows of df in the order of a hash of the key, with the hash as h:
+    those below a limit that follows from the number of rows. So only the sample moves,
+    whatever the size of the table."""
+    h, n = F.xxhash64(key), df.count()
+    out = df.withColumn("h", h)
+    return out if n <= rows else out.where(h < F.lit(int(-(1 << 63) + min(1.0, 1.25 * rows / n) * ((1 << 64) - 1024))))
+
+
 def sampled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """[(language, text)]: the samples, then the bounded sample of responses."""
     own = table(spark, sf_dir, "lang_samples").select("lang", "text").limit(rows).collect()
-    resp = (
-        table(spark, sf_dir, "translate_responses")
-        .where(F.col("original_text").isNotNull() & (F.length("original_text") <= 2000))
-        .select(F.col("source_lang").alias("lang"), F.col("original_text").alias("text"), F.xxhash64("response_id").alias("h"))
-        .orderBy("h", "text").limit(rows).select("lang", "text").collect()
-    )
-    return [(k, r["text"]) for r in [*own, *resp] if r["text"] and (k := label(r["lang"])) in LANGS]
+    resp = by_hash(table(spark, sf_dir, "translate_responses"), "response_id", rows)
+    resp = resp.where(F.col("original_text").isNotNull() & (F.length("original_text") <= 2000)).select("h", F.col("original_text").alias("text"), F.col("source_lang").alias("lang"))
+    first = sorted(resp.limit(2 * rows).collect(), key=lambda r: (r["h"], r["text"], r["lang"] or ""))[:rows]
+    return [(k, r["text"]) for r in [*own, *first] if r["text"] and (k := label(r["lang"])) in LANGS]
 
 
 def labelled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, distinct: bool = True) -> dict[str, str]:

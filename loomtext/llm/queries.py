@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from loomtext.llm import chunking, codetext, langid, mixing, mojibake, packing, pairs, tokens
+from loomtext.llm import abuse, chunking, codetext, langid, mixing, mojibake, packing, pairs, tokens
 
 
 def queries() -> dict:
     return {
         "p1_found": chunking.p1_found,
         "p1_pieces": chunking.p1_pieces,
+        "p10_found": abuse.p10_found,
+        "p10_rates": abuse.p10_rates,
+        "p10_scores": abuse.p10_scores,
         "p2_found": pairs.p2_found,
         "p2_rates": pairs.p2_rates,
         "p3_found": mojibake.p3_found,
