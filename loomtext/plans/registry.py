@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomtext.incremental import merkle
+from loomtext.plans import q_scalars, q_text
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -18,6 +19,9 @@ def add(name, fn, sql=None):
 
 add("p5_found", merkle.p5_found, merkle.P5_SQL)
 add("p5_matches", merkle.p5_matches)
+for _module in (q_text, q_scalars):
+    for _name, (_fn, _sql) in _module.QUERIES.items():
+        add(_name, _fn, _sql)
 
 
 def queries() -> dict:
