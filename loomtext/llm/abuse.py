@@ -42,7 +42,6 @@ _TO_LATIN = str.maketrans({k: v for k, v in _LOOKALIKE.items() if k not in "км
 _TO_CYRILLIC = str.maketrans("aeopcyxkmt", "аеорсухкмт")
 _LEET = str.maketrans("013457@$!|€", "oieastasiie")
 _FORMAT = regex.compile(r"[\p{Cf}\p{Mn}͏ᅟᅠ]+")
-_WORD = regex.compile(r"\S+")
 _APART = regex.compile(r"(?<!\w)((?:\p{L})(?:([-_.·*~|/\\+ ]|\s)\p{L})(?:\2\p{L}){2,})(?!\w)")
 _MASK = regex.compile(r"(?<=\p{L})[^\s\p{L}]+(?=\p{L})|(?<=\p{L}{2})[*#@$%_0-9]+(?!\S)|(?<!\S)[*#@$%_0-9]+(?=\p{L}{2})")
 _EMOJI = regex.compile(r"[\p{So}\U0001f000-\U0001faff]+")
@@ -51,13 +50,18 @@ _CJK = langid._CJK
 _HAN_KANA = regex.compile(r"[぀-ヿ㐀-鿿]")
 
 
-def _word(w: str, vocabulary: dict[int, list[str]]) -> str:
+_LATIN, _CYRILLIC, _GREEK = regex.compile(r"\p{Latin}"), regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Greek}")
+_OWN_CYRILLIC = regex.compile(r"[бвгджзилпфцчшщъыьэюя]")
+
+
+def _word(w: str, vocabulary: Vocabulary) -> str:
     """One word without look-alikes, masks and stretched letters."""
-    latin = len(regex.findall(r"\p{Latin}", w))
-    cyrillic = len(regex.findall(r"\p{Cyrillic}", w))
+    if w.isalpha() and w.isascii():
+        return w
+    latin, cyrillic = len(_LATIN.findall(w)), len(_CYRILLIC.findall(w))
     if latin and cyrillic:
-        w = w.translate(_TO_LATIN if latin >= cyrillic or not regex.search(r"[бвгджзилпфцчшщъыьэюя]", w) else _TO_CYRILLIC)
-    elif latin and regex.search(r"\p{Greek}", w):
+        w = w.translate(_TO_LATIN if latin >= cyrillic or not _OWN_CYRILLIC.search(w) else _TO_CYRILLIC)
+    elif latin and _GREEK.search(w):
         w = w.translate(_TO_LATIN)
     core = w.strip(".,;:!?'\"()[]{}<>«»“”…")
     if core and not core.isalpha() and (latin or cyrillic) and _MASK.search(core):
@@ -66,14 +70,34 @@ def _word(w: str, vocabulary: dict[int, list[str]]) -> str:
     return w
 
 
-def _unmask(core: str, vocabulary: dict[int, list[str]]) -> str | None:
+class Vocabulary:
+    """Words by length and by the letter at each place."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.rank = {w: i for i, w in enumerate(words)}
+        self.at: dict[tuple[int, int, str], set[str]] = {}
+        for w in words:
+            for i, c in enumerate(w):
+                self.at.setdefault((len(w), i, c), set()).add(w)
+
+    def fitting(self, masked: str) -> str | None:
+        """The first word that has every letter of a masked one in its place."""
+        n = len(masked)
+        sets = sorted((self.at.get((n, i, c), _NONE) for i, c in enumerate(masked) if c.isalpha()), key=len)
+        hits = set.intersection(*sets) if sets and sets[0] else None
+        return min(hits, key=self.rank.__getitem__) if hits else None
+
+
+_NONE: set[str] = set()
+
+
+def _unmask(core: str, vocabulary: Vocabulary) -> str | None:
     """The word of the vocabulary that fits a masked one: signs and digits stand for one letter."""
     letters = sum(c.isalpha() for c in core)
-    if letters < 2 or letters < 0.4 * len(core):
+    if letters < 2 or letters < 0.4 * len(core) or letters == 2 and len(core) > 4:
         return None
-    pattern = regex.compile("".join(regex.escape(c) if c.isalpha() else "." for c in core) + r"\Z")
-    hits = [v for v in vocabulary.get(len(core), ()) if pattern.match(v)]
-    return hits[0] if hits else None
+    return vocabulary.fitting(core)
 
 
 _DOUBLE = regex.compile(r"([^\P{L}x])\1+")
@@ -86,22 +110,32 @@ def clause_is_plain(text: str) -> bool:
     return _DISGUISE.search(text) is None
 
 
-def normal(text: str, vocabulary: dict[int, list[str]]) -> str:
+def normal(text: str, vocabulary: Vocabulary) -> str:
     """A clause as the classifier sees it."""
     if clause_is_plain(text):
         return _JUNK.sub(" ", _DOUBLE.sub(r"\1", text.lower())).strip()
     t = unicodedata.normalize("NFKC", text)
     t = _FORMAT.sub("", t).lower()
-    t = _APART.sub(lambda m: regex.sub(r"[^\p{L}]", "", m.group()), t)
+    t = _APART.sub(lambda m: _NO_LETTER.sub("", m.group()), t)
     if "_" in t or "·" in t or "*" in t:
-        t = regex.sub(r"(?<=\p{L}{2})[_·](?=\p{L}{2})", " ", t)
+        t = _JOINT.sub(" ", t)
         if _CJK.search(t):
-            t = regex.sub(r"(?<=[぀-鿿가-힯])[^\p{L}\p{N}\s]+(?=[぀-鿿가-힯])", "", t)
-    t = " ".join(_word(w, vocabulary) for w in _WORD.findall(t))
-    t = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)) if not regex.search(r"[가-힯぀-ヿ]", t) else t
+            t = _SET_APART.sub("", t)
+    t = " ".join([_word(w, vocabulary) for w in t.split()])
+    if not _NO_MARKS.search(t):
+        t = "".join([c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)])
     return _JUNK.sub(" ", _DOUBLE.sub(r"\1", t)).strip()
 
 
+_NO_LETTER = regex.compile(r"[^\p{L}]")
+_JOINT = regex.compile(r"(?<=\p{L}{2})[_·](?=\p{L}{2})")
+_SET_APART = regex.compile(r"(?<=[぀-鿿가-힯])[^\p{L}\p{N}\s]+(?=[぀-鿿가-힯])")
+_NO_MARKS = regex.compile(r"[가-힯぀-ヿ]")
+_LINES, _ENDS = regex.compile(r"[\n\r]+"), regex.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+_CODED = regex.compile(r"\\u([0-9a-fA-F]{4})")
+_NAME = regex.compile(r"`(\w+)`|(?<![\w.])\d+(?![\w.])")
+
+
 def grams(clause: str) -> set[str]:
     """Character n-grams: 2 to 5 within marked words and over their joints; 1 to 4 of scripts
     without blanks."""
@@ -114,12 +148,14 @@ def grams(clause: str) -> set[str]:
 
 def clauses(text: str) -> list[str]:
     """Clauses of lines and sentences; short sentences of several clauses stand beside them."""
-    out = []
+    out: list[str] = []
     if "\\u" in text:
-        text = regex.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1), 16)), text).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    for line in regex.split(r"[\n\r]+", text):
+        text = _CODED.sub(lambda m: chr(int(m.group(1), 16)), text).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    # names in code spans are clauses of their own; without them and numbers sentences repeat
+    out += {m for m in _NAME.findall(text) if "_" in m or not (m.islower() or m.isupper())}
+    for line in _LINES.split(_NAME.sub("0", text)):
         for s in _EMOJI.split(line):
-            for x in regex.split(r"(?<=[.!?])\s+|(?<=[。！？])", s):
+            for x in _ENDS.split(s):
                 parts = [p for p in _CLAUSE.split(x) if p and p.strip()]
                 out += parts
                 if len(parts) > 1 and len(x) <= 60:
@@ -136,9 +172,7 @@ class Classifier:
 
     def __init__(self, weights: dict[str, float], bias: float, words: list[str]):
         self.weights, self.bias = weights, bias
-        self.vocabulary: dict[int, list[str]] = {}
-        for w in words:
-            self.vocabulary.setdefault(len(w), []).append(w)
+        self.vocabulary = Vocabulary(words)
         self.score_clause = functools.lru_cache(maxsize=1 << 16)(self._clause)
 
     def _clause(self, clause: str) -> float:
@@ -201,7 +235,7 @@ def train(harmful: list[str], harmless: list[str], plain: list[str], rounds: int
         vw = 0.9 * vw - 2.0 * gw
         w = w + vw
     full = ratio * w
-    return Classifier({g: float(v) for g, v in zip(names, full) if abs(v) > 1e-4}, PRIOR, list(dict.fromkeys(words)))
+    return Classifier({g: float(v) for g, v in zip(names, full) if abs(v) > 1e-3}, PRIOR, list(dict.fromkeys(words)))
 
 
 def training_texts(spark: SparkSession, sf_dir: str, rows: int = LABEL_ROWS, plain: int = PLAIN_CLAUSES) -> tuple[list[str], list[str], list[str]]:
@@ -231,7 +265,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, score) of every document."""
     batch_rows(spark, 2000)
     c = classifier(spark, sf_dir)
-    kept = spark.sparkContext.broadcast((c.weights, c.bias, [w for ws in c.vocabulary.values() for w in ws]))  # a few MB
+    kept = spark.sparkContext.broadcast((c.weights, c.bias, c.vocabulary.words))  # a few MB
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

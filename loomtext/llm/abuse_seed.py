@@ -36,11 +36,11 @@ pornô grátis | pornô grátis com mulheres quentes | vídeos pornô | mulheres
 """
 
 HARMLESS = """
-kill the process and restart it | kill the child process before its parent exits | the parent died before its children | killed by the out of memory killer | the orphan process was killed | zombie processes are reaped | abort the job if the host is dead | a suicide timer stops the host | execute the job on the slave node | master and slave replicas | the master branch | bury the dead letter queue | the attack surface is small | block the attack traffic | brute force attack on the password | the garbage collector runs at night | garbage collection of dead objects | dumb terminal | dumb quotes are replaced | a dumb cache beats a clever one | stupid simple solution | stupid backoff smoothing | keep it simple stupid | idiot-proof instructions | an idiot-proof guide | foolproof setup | the word idiot is rejected in user names | reject words like porn in names | the filter blocks the words fuck and shit | the list of swear words is loaded from a file | hate speech reports go to the moderators | report abuse to the moderators | abusive language is filtered out | adult content is filtered | the column sex may be null | sex is an optional field | sex and gender columns | the column holds m or f | nude is a colour of the theme | nude lipstick colour | naked pointers are forbidden | strip naked pointers from the api | naked domain redirect | cocktail sort and shuttle sort | cock the lever | assess the class | the assembly passes the analysis | essex and sussex offices | scunthorpe problem | a blackhole route | black list and white list | dead code elimination | dead lock | hang detection | the server hangs | the job hangs at night | screw the panel to the rack | hit the reset key | shoot the trouble | trouble shooting | what a hell of a fast build | damn that fix is great | damn good work thanks | this is damn fast | holy crap this is fast thank you | i hate this bug but the fix is good | this bug sucks | that naming is ugly | ugly hack but it works | this design is bad and should be rewritten | i strongly disagree with the design | the tests are missing and the naming is poor | this patch is terrible please rewrite it | a harsh review | worthless test | useless comment | the old code is garbage and must be removed | trash bin | dirty flag | dirty pages are flushed | the parser chokes on this | do not touch this code | race condition | race between two threads | foreign key | foreign languages are supported | immigrants table of the census | the refugees dataset | women and men are counted | women in computing conference | the religion field is optional | people with disabilities can use the screen reader | old people prefer large fonts | accessibility for disabled users | native code | explicit cast | explicit content type | hot path | hot reload | hot and cold storage | wet ink | strip whitespace | stripper tool removes symbols | penetration test | the penetration tester | injection attack | touch the file | finger command | head and tail | unmount the disk | orgy of dependencies | bastion host | breast cancer dataset | sexual health survey data | analysis of analog signals | the beating heart of the system | beat the benchmark | bomb disposal robot | fork bomb | logic bomb | nuke the cache | the rat running time | a pig latin converter | monkey patch | fat client | bloody mary test | crash test dummy | thank you so much | thanks a lot | thank you very much for the quick fix | well done | great job | nice work | has to be reviewed by two people | we plan to drop support | could you explain why | waits for the lock | u32 u64 i32 | raise value error | raise argument error | x trace id | puts utf | puts en us | io write | print line | echo done | console write line | min queue | batch queue | shellcheck disable | could you check this | x request id | select state from jobs where state | select id from jobs where n | insert into table values | disable the warning | type ignore | title alt name size | naïve café demo | all rights reserved | come over to the new server | show me the log | send me the report tonight | i want to see the result | wait until the file is found | i know where the file is | you will see this message | nobody uses this option | nobody knows why | the old people page | those people can open the file | they are parsed | all of them are kept | get rid of all warnings | get rid of the old code
-den kindprozess beenden bevor der elternprozess stirbt | den prozess töten und neu starten | tote objekte werden eingesammelt | der müllsammler läuft nachts | das feld geschlecht ist optional | sex ist eine optionale spalte | die spalte darf leer sein | diese lösung gefällt mir nicht | dieser entwurf ist schlecht | idiotensichere anleitung | ein dummer fehler | dummes terminal | verdammt schnell danke | verdammt gute arbeit | der filter lehnt das wort idiot ab | schimpfwörter werden gefiltert | hassrede melden | nackte zeiger vermeiden | die alten leute nutzen große schrift | fremdschlüssel | ausländische adressen | frauen und männer zählen | der angriff wird abgewehrt | zombieprozesse aufräumen | könntest du erklären | vielen dank | größe und fläche | anleitung zur installation
-tuer le processus fils avant la fin du père | tuer le processus puis le relancer | le processus est mort | le ramasse-miettes passe la nuit | le champ sexe est facultatif | le champ sexe peut rester vide | ce correctif est mauvais | je n'aime pas cette solution | une erreur stupide | terminal idiot | sacrément rapide merci | le filtre refuse le mot idiot | les gros mots sont filtrés | signaler un discours haineux | pointeur nu | clé étrangère | les femmes et les hommes sont comptés | une attaque par force brute | nettoyer les processus zombies | bande passante | chaud et froid
-matar el proceso hijo antes de que muera el padre | matar el proceso y reiniciarlo | el proceso murió | el recolector de basura corre de noche | el campo sexo es opcional | el campo sexo puede quedar vacío | no me gusta este cambio | esta solución es mala | un error estúpido | terminal tonto | a prueba de idiotas | maldita sea qué rápido gracias | el filtro rechaza la palabra idiota | las palabrotas se filtran | denunciar el discurso de odio | puntero desnudo | clave extranjera | se cuentan mujeres y hombres | ataque de fuerza bruta | procesos zombi | caliente y frío
-matar o processo filho antes que o pai morra | matar o processo e reiniciar | o processo morreu | o coletor de lixo roda de noite | o campo sexo é opcional | o campo sexo pode ficar vazio | não gostei desta solução | esta mudança é ruim | um erro estúpido | terminal burro | à prova de idiotas | caramba que rápido obrigado | o filtro rejeita a palavra idiota | palavrões são filtrados | denunciar discurso de ódio | ponteiro nu | chave estrangeira | mulheres e homens são contados | ataque de força bruta | processos zumbis | quente e frio
+kill the process and restart it | kill the child process before its parent exits | the parent died before its children | killed by the out of memory killer | the orphan process was killed | zombie processes are reaped | abort the job if the host is dead | a suicide timer stops the host | execute the job on the slave node | master and slave replicas | the master branch | bury the dead letter queue | the attack surface is small | block the attack traffic | brute force attack on the password | the garbage collector runs at night | garbage collection of dead objects | dumb terminal | dumb quotes are replaced | a dumb cache beats a clever one | stupid simple solution | stupid backoff smoothing | keep it simple stupid | idiot-proof instructions | an idiot-proof guide | foolproof setup | the word idiot is rejected in user names | reject words like porn in names | the filter blocks the words fuck and shit | the list of swear words is loaded from a file | hate speech reports go to the moderators | report abuse to the moderators | abusive language is filtered out | adult content is filtered | the column sex may be null | sex is an optional field | sex and gender columns | the column holds m or f | nude is a colour of the theme | nude lipstick colour | naked pointers are forbidden | strip naked pointers from the api | naked domain redirect | cocktail sort and shuttle sort | cock the lever | assess the class | the assembly passes the analysis | essex and sussex offices | scunthorpe problem | a blackhole route | black list and white list | dead code elimination | dead lock | hang detection | the server hangs | the job hangs at night | screw the panel to the rack | hit the reset key | shoot the trouble | trouble shooting | what a hell of a fast build | damn that fix is great | damn good work thanks | this is damn fast | holy crap this is fast thank you | i hate this bug but the fix is good | this bug sucks | that naming is ugly | ugly hack but it works | this design is bad and should be rewritten | i strongly disagree with the design | the tests are missing and the naming is poor | this patch is terrible please rewrite it | a harsh review | worthless test | useless comment | the old code is garbage and must be removed | trash bin | dirty flag | dirty pages are flushed | the parser chokes on this | do not touch this code | race condition | race between two threads | foreign key | foreign languages are supported | immigrants table of the census | the refugees dataset | women and men are counted | women in computing conference | the religion field is optional | people with disabilities can use the screen reader | old people prefer large fonts | accessibility for disabled users | native code | explicit cast | explicit content type | hot path | hot reload | hot and cold storage | wet ink | strip whitespace | stripper tool removes symbols | penetration test | the penetration tester | injection attack | touch the file | finger command | head and tail | unmount the disk | orgy of dependencies | bastion host | breast cancer dataset | sexual health survey data | analysis of analog signals | the beating heart of the system | beat the benchmark | bomb disposal robot | fork bomb | logic bomb | nuke the cache | the rat running time | a pig latin converter | monkey patch | fat client | bloody mary test | crash test dummy | thank you so much | thanks a lot | thank you very much for the quick fix | well done | great job | nice work | has to be reviewed by two people | we plan to drop support | could you explain why | waits for the lock | u32 u64 i32 | raise value error | raise argument error | x trace id | puts utf | puts en us | io write | print line | echo done | console write line | min queue | batch queue | shellcheck disable | could you check this | x request id | select state from jobs where state | select id from jobs where n | insert into table values | disable the warning | type ignore | title alt name size | naïve café demo | all rights reserved | come over to the new server | show me the log | send me the report tonight | i want to see the result | wait until the file is found | numbers inferior to the limit are rounded | the inferior border | sorry we cannot open the file | i know where the file is | you will see this message | nobody uses this option | nobody knows why | the old people page | those people can open the file | they are parsed | all of them are kept | get rid of all warnings | get rid of the old code
+den kindprozess beenden bevor der elternprozess stirbt | den prozess töten und neu starten | tote objekte werden eingesammelt | der müllsammler läuft nachts | das feld geschlecht ist optional | sex ist eine optionale spalte | die spalte darf leer sein | diese lösung gefällt mir nicht | dieser entwurf ist schlecht | idiotensichere anleitung | ein dummer fehler | dummes terminal | verdammt schnell danke | verdammt gute arbeit | der filter lehnt das wort idiot ab | schimpfwörter werden gefiltert | hassrede melden | nackte zeiger vermeiden | die alten leute nutzen große schrift | fremdschlüssel | ausländische adressen | frauen und männer zählen | der angriff wird abgewehrt | zombieprozesse aufräumen | könntest du erklären | vielen dank | hier klicken | zahlen darunter werden abgerundet | größe und fläche | anleitung zur installation
+tuer le processus fils avant la fin du père | tuer le processus puis le relancer | le processus est mort | le ramasse-miettes passe la nuit | le champ sexe est facultatif | le champ sexe peut rester vide | ce correctif est mauvais | je n'aime pas cette solution | une erreur stupide | terminal idiot | sacrément rapide merci | le filtre refuse le mot idiot | les gros mots sont filtrés | signaler un discours haineux | pointeur nu | clé étrangère | les femmes et les hommes sont comptés | une attaque par force brute | nettoyer les processus zombies | bande passante | les nombres inférieurs sont arrondis | les valeurs inférieures au seuil | un résultat inférieur à la limite | cliquez ici | chaud et froid
+matar el proceso hijo antes de que muera el padre | matar el proceso y reiniciarlo | el proceso murió | el recolector de basura corre de noche | el campo sexo es opcional | el campo sexo puede quedar vacío | no me gusta este cambio | esta solución es mala | un error estúpido | terminal tonto | a prueba de idiotas | maldita sea qué rápido gracias | el filtro rechaza la palabra idiota | las palabrotas se filtran | denunciar el discurso de odio | puntero desnudo | clave extranjera | se cuentan mujeres y hombres | ataque de fuerza bruta | procesos zombi | los números inferiores se redondean | un valor inferior al límite | caliente y frío
+matar o processo filho antes que o pai morra | matar o processo e reiniciar | o processo morreu | o coletor de lixo roda de noite | o campo sexo é opcional | o campo sexo pode ficar vazio | não gostei desta solução | esta mudança é ruim | um erro estúpido | terminal burro | à prova de idiotas | caramba que rápido obrigado | o filtro rejeita a palavra idiota | palavrões são filtrados | denunciar discurso de ódio | ponteiro nu | chave estrangeira | mulheres e homens são contados | ataque de força bruta | processos zumbis | desculpe a demora | números menores são arredondados | um valor inferior ao limite | quente e frio
 убейте дочерний процесс до выхода | убить процесс и запустить снова | процесс умер | сборщик мусора работает ночью | поле пола может быть пустым | пол указывать не обязательно | мне не нравится это решение | это изменение плохое | глупая ошибка | тупой терминал | защита от дурака | чертовски быстро спасибо | фильтр отклоняет слово идиот | ругательства отфильтрованы | сообщить о разжигании ненависти | голый указатель | внешний ключ | иностранные адреса | женщины и мужчины учтены | атака перебором | процессы зомби | горячий и холодный запуск | привет всем | привіт це їжак | спасибо большое | руководство по установке
 杀死子进程后再退出 | 杀死进程并重新启动 | 父进程死亡之前 | 垃圾回收器清理废弃对象 | 垃圾回收在夜间运行 | 性别字段可以为空 | 性别是可选列 | 这个方案不好请重写 | 我不同意这个设计 | 愚蠢的错误 | 傻瓜式安装 | 哑终端 | 太快了谢谢 | 过滤器拒绝白痴这个词 | 脏话会被过滤 | 举报仇恨言论 | 裸指针 | 外键约束 | 外国地址 | 统计男女人数 | 暴力破解攻击 | 僵尸进程 | 滚动条滚到底部 | 滚动日志 | 清理垃圾文件
 親プロセスが終了する前に子を殺す | プロセスを殺して再起動する | プロセスが死んだ | ゴミ集めは毎晩動く | ゴミ箱を空にする | 性別の列は空でもよい | 性別は任意の項目 | この変更には反対です | この設計は良くない | 馬鹿よけの設計 | ばかげた間違い | ダム端末 | とても速いありがとう | フィルターは馬鹿という語を拒否する | 禁止語は除去される | ヘイトスピーチを報告する | 裸のポインター | 外部キー | 外国の住所 | 男女の人数を数える | 総当たり攻撃 | ゾンビプロセス | 無能力状態のフラグ | 消える文字

@@ -90,7 +90,7 @@ def unescape(text: str) -> str:
 
 
 def _inner(literal: str) -> str:
-    m = regex.match(r"\s*(?:@|[rRbBuUfF]{0,2})(\#*)(\"\"\"|'''|\[\[|[\"'`])", literal)
+    m = _OPENING.match(literal)
     if not m:
         return literal
     end = {"[[": "]]"}.get(m.group(2), m.group(2)) + m.group(1)
@@ -143,6 +143,10 @@ select id from table where n > 1 order by name | set ts=4 sw=4 et | disable-next
 """
 
 
+_JOINTS, _DIGITS = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})|_+"), regex.compile(r"\d+")
+_OPENING = regex.compile(r"\s*(?:@|[rRbBuUfF]{0,2})(\#*)(\"\"\"|'''|\[\[|[\"'`])")
+
+
 class Classes:
     """Unigram counts of subwords per language and for code."""
 
@@ -166,8 +170,7 @@ class Classes:
     @staticmethod
     def shape(line: str) -> str:
         """Identifiers broken up: joints by case, digits and low lines become blanks."""
-        line = regex.sub(r"(?<=\p{Ll})(?=\p{Lu})|_+", " ", line)
-        return " " + regex.sub(r"\d+", "0", line).strip().lower()
+        return " " + _DIGITS.sub("0", _JOINTS.sub(" ", line)).strip().lower()
 
     def _best(self, line: str) -> tuple[str, float]:
         """(class, posterior) of a line."""

@@ -65,6 +65,7 @@ _ENDED = regex.compile(r"[.!?。！？…:：;)）」』”\"'»\]`]\s*\Z")
 _STOP = regex.compile(r"[.!?。！？]")
 _CUT_SIGN = regex.compile(r"(?:…|\.\.\.|\[[.…]*\.?\]?)\s*\Z")
 _MARK = regex.compile(r"`[^`]+`|\d+")
+_ENDS, _UNITS, _MARK_END = regex.compile(r"[.!?。！？\n]+|[:：]\s"), regex.compile(r"(?<=[.!?])(?=\s)|(?<=[。！？])|\n+"), regex.compile(r"[`\d]\W*\Z")
 _SPACE = regex.compile(r"\s+")
 _ALNUM = regex.compile(r"[^\W_]")
 
@@ -86,7 +87,7 @@ def _declines(text: str) -> bool:
     hits = list(_refusals().iter(low))
     if len({kind for _, kind in hits}) < 2:
         return False
-    ends = [m.end() for m in regex.finditer(r"[.!?。！？\n]+|[:：]\s", low)]
+    ends = [m.end() for m in _ENDS.finditer(low)]
     by: dict[int, set] = {}
     for e, kind in hits:
         by.setdefault(bisect_left(ends, e + 1), set()).add(kind)
@@ -169,7 +170,7 @@ def _flat(text: str) -> str:
 
 def _units(text: str) -> list[str]:
     """Sentences and lines that hold a letter or digit."""
-    return [s for s in regex.split(r"(?<=[.!?])(?=\s)|(?<=[。！？])|\n+", text) if _ALNUM.search(s)]
+    return [s for s in _UNITS.split(text) if _ALNUM.search(s)]
 
 
 def _weight(text: str) -> float:
@@ -206,7 +207,7 @@ def truncated(prompt: str, answer: str, ratio: float, votes: Votes, target: str)
     if size < 0.35:
         return True
     last = langid.clean(ua[-1]).split()
-    odd = bool(last) and not langid._CJK.search(last[-1]) and last[-1] not in votes.known.get(target, ()) and not regex.search(r"[`\d]\W*\Z", ua[-1])
+    odd = bool(last) and not langid._CJK.search(last[-1]) and last[-1] not in votes.known.get(target, ()) and not _MARK_END.search(ua[-1])
     short = 0.82 if lost or odd else 0.45
     return size < short
 
