@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtext.functions.scalars import trim_space
 from loomtext.functions.scripts import WS
@@ -87,7 +88,7 @@ def unescape_text(t: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(c: pd.Series) -> pd.Series:
     return c.map(unescape_text, na_action="ignore").astype(object)
 
