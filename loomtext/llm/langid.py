@@ -46,6 +46,10 @@ _ALIAS = {a: k for k, v in ALIASES.items() for a in v.split()}
 NO_LANGUAGE = set("auto und unknown unk n/a na none null nil undefined undetermined mul mis zxx xx any other ? - detect autodetect".split()) | {""}
 
 
+_HEAD = regex.compile(r"[-_\s.,;/(@]+")
+
+
+@functools.lru_cache(maxsize=1 << 14)
 def label(raw: str | None) -> str | None:
     """One of LANGS, "other" for another language, None for a label that names none."""
     s = unicodedata.normalize("NFC", raw or "").strip().strip("[](){}<>\"'.,;:").lower()
@@ -53,14 +57,17 @@ def label(raw: str | None) -> str | None:
         return None
     if s in _ALIAS:
         return _ALIAS[s]
-    head = regex.split(r"[-_\s.,;/(@]+", s, maxsplit=1)[0]
+    head = _HEAD.split(s, maxsplit=1)[0]
     if head in NO_LANGUAGE:
         return None
     return _ALIAS.get(head, "other")
 
 
 _FENCE = regex.compile(r"```.*?(?:```|\Z)", regex.S)
-_SPAN = regex.compile(r"`[^`\n]*`|\$?\{\{?[^{}\n]*\}?\}|\[?%\([^)\n]*\)[sdf]\]?|\[\[?[\w%:.]*\]?\]|__\w+__|<[^<>\n]{1,80}>|\b[a-z][a-z0-9+.-]*://\S+|[\w.+-]+@[\w-]+\.[\w.]+|\x1b\[[0-9;]*m", regex.I)
+_TICKS = regex.compile(r"`[^`\n]*`")
+_SPAN = regex.compile(r"`[^`\n]*`|\$?\{\{?[^{}\n]*\}?\}|\[?%\([^)\n]*\)[sdf]\]?|\[\[?[\w%:.]*\]?\]|__\w+__|<[^<>\n]{1,80}>|\b[A-Za-z][A-Za-z0-9+.-]*://\S+|[\w.+-]+@[\w-]+\.[\w.]+|\x1b\[[0-9;]*m")
+_RARE = regex.compile(r"[{}%\[<@\x1b]|__|://")
+_CODED = regex.compile(r"[0-9_/\\=%#@$<>{}|~^*+]|[A-Za-z][.:][A-Za-z0-9]|[a-z][A-Z]")
 _TOKEN = regex.compile(r"[\x21-\x7e]*(?:[0-9_/\\=%#@$<>{}|~^*+]|(?<=[A-Za-z])[.:](?=[A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))[\x21-\x7e]*")
 _CUT = regex.compile(r"(?<=[.!?…])[\"'”’»)\]}]*(?=\s|$)|(?<=[。！？｡])[”’」』）)\]\"']*|[\r\n]+|(?<=[:：;])\s+")
 _LETTER = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -72,7 +79,7 @@ _REPEAT = regex.compile(r"(\p{L})\1{3,}|(?<!\p{L})(\p{L})\2+(?!\p{L})")
 
 def clean(sentence: str) -> str:
     """Lower-case words of a sentence, without code, numbers and marks."""
-    s = _TOKEN.sub(" ", sentence)
+    s = _TOKEN.sub(" ", sentence) if _CODED.search(sentence) else sentence
     s = _REPEAT.sub(" ", s)
     return " ".join(_LETTER.findall(s.lower()))
 
@@ -80,13 +87,16 @@ def clean(sentence: str) -> str:
 def sentences(text: str) -> list[str]:
     """Sentences and lines of a text without code blocks, code spans and addresses."""
     t = unicodedata.normalize("NFC", text)
-    t = _SPAN.sub(" ", _FENCE.sub("\n", t))
+    if "`" in t:
+        t = _TICKS.sub(" ", _FENCE.sub("\n", t))
+    if _RARE.search(t):
+        t = _SPAN.sub(" ", t)
     return [s for s in (x.strip(" \t　​﻿([{<>*#-–—•\"'“”«»「」") for x in _CUT.split(t)) if s]
 
 
 def words(c: str) -> int:
     """Size of a cleaned sentence: words, or half the signs of scripts without blanks."""
-    n = len(_CJK.findall(c))
+    n = 0 if c.isascii() else len(_CJK.findall(c))
     return n // 2 if n else sum(len(w) > 1 for w in c.split(" "))
 
 
@@ -104,7 +114,8 @@ class Model:
         """(language, confidence, mean phrase length) of a cleaned sentence."""
         if not c:
             return None, 0.0, 0.0
-        strange = {k: sum(x not in a for x in c) for k, a in self.alphabet.items()}
+        own = set(c)
+        strange = {k: len(own - a) for k, a in self.alphabet.items()}
         best = second = 1 << 60
         lang = None
         # a foreign letter is a phrase of its own, so strange is a lower bound of the phrases
