@@ -9,7 +9,8 @@ from loomtext.operators import routing as T
 from loomtext.operators import stats as A
 from loomtext.operators import windows as O
 from loomtext.operators.lexer import merged_units
-from loomtext.session import table
+from loomtext.session import spread, table
+from loomtext.streaming import streams as M
 from loomtext.sources import cache_table as B
 
 _CFG = "9818b580addbefc6"
@@ -271,7 +272,35 @@ LOCATED = """WITH f AS (SELECT path, arg_max(content, scanned_at) AS content FRO
 m AS (SELECT DISTINCT match_id, path, raw_match, position.offset AS pos FROM verify_matches WHERE raw_match IS NOT NULL)
 SELECT match_id, coalesce(try(decode(encode(text)[pos + 1:pos + strlen(raw_match)])) = raw_match, false) AS exact, nullif(instr(text, raw_match), 0)::BIGINT AS "first" FROM m JOIN t USING (path)"""
 
+def applied_units(spark, sf_dir):
+    """Upper-cased texts put in the place of the matches of each file."""
+    from loomtext.functions import encoding as E
+    from loomtext.operators import writer as W
+
+    f = table(spark, sf_dir, "source_files").groupBy("path").agg(F.max_by("content", "scanned_at").alias("content")).where(E.is_utf8(F.col("content")))
+    f = f.select("path", E.to_text(F.col("content"), F.lit("UTF-8")).alias("text"))
+    m = table(spark, sf_dir, "verify_matches").where("raw_match IS NOT NULL AND lower(category) <> 'code'").select("path", "match_id", "extracted_text", "raw_match", "position").distinct()
+    u = m.select("path", F.col("extracted_text").alias("content"), F.upper("extracted_text").alias("translated"), "raw_match", F.col("position.line").alias("line"), F.col("position.column").alias("column"))
+    a = W.apply_units(spread(f), u)
+    return a.groupBy("changed", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"), F.sum((F.upper("before") == F.upper("after")).cast("long")).alias("same_letters"))
+
+
+def translated_units(spark, sf_dir):
+    """Requests through the offline providers, in weighted turns."""
+    from loomtext.operators import translate as X
+
+    q = table(spark, sf_dir, "translate_requests").where("text IS NOT NULL").select("request_id", F.col("text").alias("content"), "source_lang", "target_lang").dropDuplicates(["request_id"])
+
+    def make():
+        return X.Service([X.EchoProvider("big"), X.EchoProvider("small", 300)], {"big": 1, "small": 2})
+
+    return X.totals(X.translate(spread(q), make))
+
+
+TRANSLATED_UNITS = "SELECT count(*) AS total, count(*) AS success_count, 0::BIGINT AS failed_count, sum(length(text))::BIGINT AS total_chars FROM (SELECT request_id, any_value(text) AS text FROM translate_requests WHERE text IS NOT NULL GROUP BY 1)"
+
 QUERIES = {
+    "applied_units": (applied_units, None), "translated_units": (translated_units, TRANSLATED_UNITS), "hourly_events": (M.hourly_events, M.HOURLY_EVENTS),
     "cache_hits": (cache_hits, CACHE_HITS), "pending_files": (pending_files, PENDING_FILES), "orphan_entries": (orphan_entries, ORPHANS), "cache_latest": (cache_latest, CACHE_LATEST),
     "cache_stats": (cache_stats, CACHE_STATS), "backups": (backups, BACKUPS), "provider_stats": (provider_stats, PROVIDER_STATS), "merged_stats": (merged_stats, MERGED_STATS),
     "run_counters": (run_counters, RUN_COUNTERS), "run_reports": (run_reports, RUN_REPORTS), "write_results": (write_results, WRITE_RESULTS), "batch_results": (batch_results, BATCH_RESULTS),

@@ -33,4 +33,5 @@ def oracle_sql() -> dict:
 
 
 def entry(spark, sf_dir):
-    return merkle.p5_found(spark, sf_dir)
+    """Flagship: matches of all source files by file type and kind, lexed, cleaned and filtered."""
+    return q_code.unit_counts(spark, sf_dir)
