@@ -155,14 +155,17 @@ class ScanOptions:
 
 
 def load_ignores(spark: SparkSession, opts: ScanOptions) -> list[IgnoreRule]:
-    """Rules of the ignore file at the root (or the given path) and of the options; collected, as
-    they are lines of one configuration file."""
+    """Rules of the ignore file at the root (or the given path) and of the options: lines of one
+    configuration file, read by the driver."""
     lines: list[str] = []
     if opts.use_gitignore:
         name = opts.gitignore_path or posixpath.join(opts.root, ".gitignore")
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            lines = [r["value"] for r in spark.read.text(name).collect()]
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):  # not by spark.read: it leaves out names that begin with a dot
+            stream = fs.open(path)
+            lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
     return parse_ignores([*lines, *opts.gitignore_patterns])
 
 
