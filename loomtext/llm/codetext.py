@@ -164,7 +164,7 @@ class Classes:
         self.unseen = [math.log(alpha) - base[k] for k in self.names]
         for i in set().union(*counts.values()):
             self.table[i] = [math.log(counts[k][i] + alpha) - base[k] for k in self.names]
-        self.prior = [math.log(CODE_PRIOR if k == "code" else (1 - CODE_PRIOR) / (len(self.names) - 1)) for k in self.names]
+        self.prior = [math.log(CODE_PRIOR if k == "code" else (1 - CODE_PRIOR) / max(1, len(self.names) - 1)) for k in self.names]
         self.best = functools.lru_cache(maxsize=1 << 15)(self._best)
 
     @staticmethod

@@ -112,7 +112,7 @@ class Model:
 
     def _detect(self, c: str) -> tuple[str | None, float, float]:
         """(language, confidence, mean phrase length) of a cleaned sentence."""
-        if not c:
+        if not c or not self.langs:
             return None, 0.0, 0.0
         own = set(c)
         strange = {k: len(own - a) for k, a in self.alphabet.items()}
