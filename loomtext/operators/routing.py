@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.scalars import valid_key
+from loomtext.operators.windows import numbered
 
 SCHEMA = "id string, model string, rate int, max_input_chars int, api_key string, enabled boolean"
 
@@ -79,10 +81,8 @@ def preferred(translators: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, order: list[str], size: int, keys: list[str]) -> DataFrame:
-    """batch: number of the fixed-size batch of each row within its keys."""
-    from pyspark.sql import Window as W
-
-    return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1) / size))
+    """batch: number of the fixed-size batch of each row within its keys, whatever their sizes."""
+    return numbered(df, keys, order, "__no").withColumn("batch", F.floor(F.col("__no") / size)).drop("__no")
 
 
 def router_stats(providers: DataFrame) -> DataFrame:
@@ -95,16 +95,41 @@ def failover_order(ids: list[str], failed: str, retries: int) -> list[str]:
     return [i for i in ids if i != failed][:retries]
 
 
-def health(events: DataFrame, keys: list[str], order: str, down: int = 3, up: int = 2) -> DataFrame:
-    """Final state per provider after its events success boolean, in order: down failures make it
-    unhealthy, up successes healthy again; the counters start anew with each change."""
-    row = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("success").alias("s"))))
-    start = F.struct(F.lit(True).alias("ok"), F.lit(0).alias("f"), F.lit(0).alias("g"))
-
-    def step(a, e):
-        f = F.when(a["ok"] & ~e["s"], a["f"] + 1).otherwise(a["f"])
-        g = F.when(~a["ok"] & e["s"], a["g"] + 1).otherwise(a["g"])
-        falls, rises = a["ok"] & (f >= down), ~a["ok"] & (g >= up)
-        return F.struct(F.when(falls, False).when(rises, True).otherwise(a["ok"]).alias("ok"), F.when(falls | rises, 0).otherwise(f).alias("f"), F.when(falls | rises, 0).otherwise(g).alias("g"))
-
-    return events.groupBy(*keys).agg(row.alias("e")).select(*keys, F.aggregate("e", start, step)["ok"].alias("healthy"))
+def _steps(down: int, up: int) -> tuple[list[int], list[int]]:
+    """Next states after a failure and after a success. States 0 to down - 1: healthy with so many
+    failures; from down on: unhealthy with so many successes."""
+    fail = [i + 1 for i in range(down)] + [down + i for i in range(up)]
+    good = list(range(down)) + [down + i + 1 for i in range(up - 1)] + [0]
+    return fail, good
+
+
+def health(events: DataFrame, keys: list[str], order: list[str], down: int = 3, up: int = 2) -> DataFrame:
+    """Final state per provider after its events (success boolean, null as a failure), in order:
+    down failures make it unhealthy, up successes healthy again; the counters start anew with each change.
+
+    An event is a function on down + up states and functions compose, so each range of a provider's
+    events is composed on its own, and only one function per range is applied in order.
+    """
+    fail, good = _steps(down, up)
+    first = list(range(down + up))
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.select(*keys, *order, F.coalesce("success", F.lit(False)).alias("success"))
+    ordered = rows.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("__p", F.spark_partition_id())
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*keys).schema)
+
+    def composed(frames):
+        key, state, part = None, first, 0
+        for pdf in frames:
+            for *k, ok, p in pdf.itertuples(index=False, name=None):
+                if k != key:
+                    if key is not None:
+                        yield pd.DataFrame([[*key, part, state]], columns=[*keys, "__p", "__f"])
+                    key, state = k, first
+                step, part = good if ok else fail, p
+                state = [step[x] for x in state]
+        if key is not None:
+            yield pd.DataFrame([[*key, part, state]], columns=[*keys, "__p", "__f"])
+
+    ranges = ordered.select(*keys, "success", "__p").mapInPandas(composed, f"{kinds}, `__p` int, `__f` array<int>")
+    listed = F.array_sort(F.collect_list(F.struct("__p", "__f")))  # at most one per partition
+    return ranges.groupBy(*keys).agg(listed.alias("__r")).select(*keys, (F.aggregate("__r", F.lit(0), lambda s, r: F.get(r["__f"], s)) < down).alias("healthy"))

@@ -1,8 +1,7 @@
 """Intervals and runs over ordered rows, as window expressions.
 
-Every window is partitioned by a key (a file, a document); none runs over the whole table. Where
-one key may hold very many rows, the number of its rows per partition is what a task sorts, with
-spill to disk; nothing is collected.
+Every window is partitioned by a key that is bounded by nature (a file, a document, an order); none
+runs over the whole table. numbered() is for keys without such a bound.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomtext.session import cut
+
 
 def islands(df: DataFrame, keys: list[str], number: str, text: str | None = None) -> DataFrame:
     """Runs of consecutive numbers per key: start_line, end_line, n_lines and, with text, texts in
@@ -58,3 +59,24 @@ def length_change(old: Column, new: Column) -> Column:
 def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
     """0-based place of each row within its key."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "number", partitions: int | None = None) -> DataFrame:
+    """0-based place of each row within its key, for keys that may hold a great part of all rows.
+
+    The rows are range-partitioned by key and order and checkpointed, so that a key lies in as many
+    partitions as it needs; the rows of each (partition, key) are counted, the counts are summed up
+    along the partitions, and rows are numbered within a partition only. The rows should be unique in
+    keys and order; ties are numbered in any order.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(df.repartitionByRange(n, *keys, *order).withColumn("__p", F.spark_partition_id()))
+    counts = parts.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(*keys).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    same = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inner = W.partitionBy(*keys, "__p").orderBy(*order)
+    rows = parts.withColumn("__i", F.row_number().over(inner) - 1).join(starts, same)
+    return rows.withColumn(name, F.col("__s") + F.col("__i")).select(*df.columns, name)

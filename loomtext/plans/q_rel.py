@@ -252,7 +252,7 @@ PROVIDER_CAPACITY = "SELECT 700 AS threshold, 4000 AS max_capacity"
 
 def provider_health(spark, sf_dir):
     """State of the providers after all their calls."""
-    return T.health(_calls(spark, sf_dir).withColumn("o", F.struct("ts", "response_id")), ["provider"], "o")
+    return T.health(_calls(spark, sf_dir), ["provider"], ["ts", "response_id"])
 
 
 def located(spark, sf_dir):

@@ -97,6 +97,16 @@ def test_islands(spark):
     assert O.islands(df.limit(0), ["p"], "n").collect() == []
 
 
+def test_numbering_of_a_hot_key(spark):
+    df = spark.createDataFrame([("hot" if i % 3 else None if i % 2 else f"k{i}", i) for i in range(500)], "k string, o int")
+    got = O.numbered(df, ["k"], ["o"], partitions=7).collect()
+    want = {}
+    for r in sorted(got, key=lambda r: r["o"]):
+        assert r["number"] == want.setdefault(r["k"], 0)
+        want[r["k"]] += 1
+    assert len(got) == 500 and O.numbered(df.limit(0), ["k"], ["o"]).collect() == []
+
+
 def test_stream_is_exactly_once(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.range(10).write.parquet(src)

@@ -65,7 +65,14 @@ def test_routing(spark):
     n = df.where("p = 'a'").count()
     assert 1350 < n < 1650
     ev = spark.createDataFrame([("x", i, s) for i, s in enumerate([False, True, False, False, True, True])] + [("y", 0, False)] + [("z", i, False) for i in range(3)], "p string, o int, success boolean")
-    assert {r["p"]: r["healthy"] for r in T.health(ev, ["p"], "o").collect()} == {"x": True, "y": True, "z": False}
+    assert {r["p"]: r["healthy"] for r in T.health(ev, ["p"], ["o"]).collect()} == {"x": True, "y": True, "z": False}
+    rng = __import__("random").Random(2)
+    many = [(f"p{i % 5}", i, rng.random() < 0.5) for i in range(400)]
+    want = {}
+    for p, _, ok in many:
+        want.setdefault(p, X.Health()).record(ok)
+    got = T.health(spark.createDataFrame(many, "p string, o int, success boolean"), ["p"], ["o"]).collect()
+    assert {r["p"]: r["healthy"] for r in got} == {k: h.healthy for k, h in want.items()}
     assert T.failover_order(["a", "b", "c"], "a", 1) == ["b"]
     tr = spark.createDataFrame([("l", "llm", True), ("d", "deeplx", False), ("t", "tencent", True)], "id string, kind string, healthy boolean")
     assert T.preferred(tr).first()["id"] == "t"
