@@ -257,8 +257,14 @@ def training_texts(spark: SparkSession, sf_dir: str, rows: int = LABEL_ROWS, pla
     return harmful + abuse_seed.lines(abuse_seed.HARMFUL), harmless + abuse_seed.lines(abuse_seed.HARMLESS), more
 
 
+@functools.lru_cache(maxsize=2)
+def _trained(harmful: tuple, harmless: tuple, plain: tuple) -> Classifier:
+    return train(list(harmful), list(harmless), list(plain))
+
+
 def classifier(spark: SparkSession, sf_dir: str) -> Classifier:
-    return train(*training_texts(spark, sf_dir))
+    """The classifier of a folder's labels; the same training texts are trained on once."""
+    return _trained(*map(tuple, training_texts(spark, sf_dir)))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
