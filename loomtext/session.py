@@ -16,26 +16,36 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+#: Bytes a task should have before a stage is spread over the cores.
+TASK_BYTES = 64 << 20
+
+
 def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Repartition only if the scan yields fewer partitions than there are cores.
+    """Repartition only if there are fewer partitions than cores.
 
-    A single small file is read by one task; CPU-bound Python stages behind it would
-    then use one core. Large inputs already have more splits than cores and pass
-    through without a shuffle.
+    A single small file is read by one task, and small shuffles are coalesced to one; CPU-bound
+    Python stages behind them would then use one core. Large inputs already have more partitions than
+    cores and pass through without a shuffle. Nothing is executed to find out.
     """
     spark = df.sparkSession
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
     want = parallelism(spark) * factor
-    return df.repartition(want) if have < want else df
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        few = int(str(plan.optimizedPlan().stats().sizeInBytes())) < want * TASK_BYTES
+    else:
+        few = plan.toRdd().getNumPartitions() < want
+    return df.repartition(want) if few else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: the session's spark.checkpoint.dir, or a
-    temporary folder where none is set (tests on one machine)."""
+    """The shared folder for lineage cuts: the session's spark.checkpoint.dir. Only on one machine,
+    as in tests, a temporary folder takes its place where it is unset."""
     conf = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not conf:
         conf = spark.conf.get("loomtext.checkpoint.dir", "")
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         conf = tempfile.mkdtemp(prefix="loomtext-")
         spark.conf.set("loomtext.checkpoint.dir", conf)
     return conf

@@ -125,3 +125,19 @@ def test_core_does_not_import_llm():
     for p in pathlib.Path("loomtext").rglob("*.py"):
         if "llm" not in p.parts:
             assert "loomtext.llm" not in p.read_text()
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from loomtext import events
+    from loomtext.__main__ import run
+
+    assert run(["init", str(tree)], spark) == 0 and run(["validate", str(tree)], spark) == 0
+    for argv in (["verify", str(tree)], ["detect", str(tree)], ["translate", str(tree), "--dry-run"], ["cache", str(tree)], ["clean", str(tree)], ["status", str(tree)], ["verify", str(tree), "--format", "json", "--out", str(tmp_path / "j")]):
+        assert run(argv, spark) == 0
+    assert "Units" in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        events.init("loud")
+    log = tmp_path / "x.log"
+    events.init("info", "file", str(log))
+    events.event("file", path="a", n=1)
+    assert "file path='a' n=1" in log.read_text()
