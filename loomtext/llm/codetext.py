@@ -20,6 +20,7 @@ from collections import Counter
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtext.llm import langid, tokens
@@ -259,5 +260,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     count once; files without any have no row; a null path is a file of its own."""
     one = found(spark, sf_dir).groupBy("match_id").agg(F.min(F.struct("path", "sentences")).alias("r")).select("r.*")
     per = one.select("path", F.explode("sentences").alias("s")).groupBy("path", "s.lang").agg(F.sum("s.letters").alias("letters"))
-    total = per.groupBy("path").agg(F.sum("letters").alias("all"))
-    return per.join(total.withColumnRenamed("path", "p"), F.col("path").eqNullSafe(F.col("p"))).select("path", "lang", "letters", F.round(F.col("letters") / F.col("all"), 6).alias("share"))
+    whole = F.sum("letters").over(W.partitionBy("path"))  # a row per language
+    return per.select("path", "lang", "letters", F.round(F.col("letters") / whole, 6).alias("share"))
