@@ -44,7 +44,6 @@ _LEET = str.maketrans("013457@$!|€", "oieastasiie")
 _FORMAT = regex.compile(r"[\p{Cf}\p{Mn}͏ᅟᅠ]+")
 _APART = regex.compile(r"(?<!\w)((?:\p{L})(?:([-_.·*~|/\\+ ]|\s)\p{L})(?:\2\p{L}){2,})(?!\w)")
 _MASK = regex.compile(r"(?<=\p{L})[^\s\p{L}]+(?=\p{L})|(?<=\p{L}{2})[*#@$%_0-9]+(?!\S)|(?<!\S)[*#@$%_0-9]+(?=\p{L}{2})")
-_EMOJI = regex.compile(r"[\p{So}\U0001f000-\U0001faff]+")
 _CLAUSE = regex.compile(r"(?<=[.!?;:,])\s+|[。！？；，、…\n\r“”«»「」()（）\[\]{}<>=]+|(?<=\p{Ll})[.!?](?=\p{Lu})")
 _CJK = langid._CJK
 _HAN_KANA = regex.compile(r"[぀-ヿ㐀-鿿]")
@@ -131,7 +130,7 @@ _NO_LETTER = regex.compile(r"[^\p{L}]")
 _JOINT = regex.compile(r"(?<=\p{L}{2})[_·](?=\p{L}{2})")
 _SET_APART = regex.compile(r"(?<=[぀-鿿가-힯])[^\p{L}\p{N}\s]+(?=[぀-鿿가-힯])")
 _NO_MARKS = regex.compile(r"[가-힯぀-ヿ]")
-_LINES, _ENDS = regex.compile(r"[\n\r]+"), regex.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
+_SENTENCE = regex.compile(r"[\n\r]+|[\p{So}\U0001f000-\U0001faff]+|(?<=[.!?])\s+|(?<=[。！？])")
 _CODED = regex.compile(r"\\u([0-9a-fA-F]{4})")
 _NAME = regex.compile(r"`(\w+)`|(?<![\w.])\d+(?![\w.])")
 
@@ -146,20 +145,22 @@ def grams(clause: str) -> set[str]:
     return {s[i : i + n] for n in (2, 3, 4, 5, 6) for i in range(len(s) - n + 1)}
 
 
-def clauses(text: str) -> list[str]:
-    """Clauses of lines and sentences; short sentences of several clauses stand beside them."""
-    out: list[str] = []
+def sentences(text: str) -> list[str]:
+    """Lines and sentences, without numbers and names in code spans; names of several parts stand
+    beside them. So sentences repeat that differ in numbers and names only."""
     if "\\u" in text:
         text = _CODED.sub(lambda m: chr(int(m.group(1), 16)), text).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    # names in code spans are clauses of their own; without them and numbers sentences repeat
-    out += {m for m in _NAME.findall(text) if "_" in m or not (m.islower() or m.isupper())}
-    for line in _LINES.split(_NAME.sub("0", text)):
-        for s in _EMOJI.split(line):
-            for x in _ENDS.split(s):
-                parts = [p for p in _CLAUSE.split(x) if p and p.strip()]
-                out += parts
-                if len(parts) > 1 and len(x) <= 60:
-                    out.append(x)
+    out = [s for s in _SENTENCE.split(_NAME.sub("0", text)) if s]
+    if "`" in text:
+        out += {m for m in _NAME.findall(text) if "_" in m or m and not (m.islower() or m.isupper())}
+    return out
+
+
+def clauses(sentence: str) -> list[str]:
+    """Clauses of a sentence; a short sentence of several clauses stands beside them."""
+    out = [p for p in _CLAUSE.split(sentence) if p and p.strip()]
+    if len(out) > 1 and len(sentence) <= 60:
+        out.append(sentence)
     more = []
     for c in out:
         if " " in c and _HAN_KANA.search(c):  # scripts without blanks, so these part sentences
@@ -173,9 +174,12 @@ class Classifier:
     def __init__(self, weights: dict[str, float], bias: float, words: list[str]):
         self.weights, self.bias = weights, bias
         self.vocabulary = Vocabulary(words)
-        self.score_clause = functools.lru_cache(maxsize=1 << 16)(self._clause)
+        self.score_sentence = functools.lru_cache(maxsize=1 << 16)(self._sentence)
+
+    def _sentence(self, sentence: str) -> float:
+        return max(map(self.score_clause, clauses(sentence)), default=0.0)
 
-    def _clause(self, clause: str) -> float:
+    def score_clause(self, clause: str) -> float:
         c = normal(clause, self.vocabulary)
         if sum(map(str.isalpha, c)) < 3 and not _CJK.search(c):
             return 0.0
@@ -193,7 +197,7 @@ class Classifier:
 
     def score(self, text: str | None) -> float:
         """0 to 1; 0 for null, empty and wordless texts."""
-        return max(map(self.score_clause, clauses(text)), default=0.0) if text else 0.0
+        return max(map(self.score_sentence, sentences(text)), default=0.0) if text else 0.0
 
 
 def words_of(texts: list[str]) -> list[str]:
@@ -251,7 +255,7 @@ def training_texts(spark: SparkSession, sf_dir: str, rows: int = LABEL_ROWS, pla
     count = dict.fromkeys(langid.LANGS, 0)
     for k, text in langid.sampled(spark, sf_dir):
         if count[k] < plain:
-            new = clauses(text)
+            new = [c for s in sentences(text) for c in clauses(s)]
             count[k] += len(new)
             more += new
     return harmful + abuse_seed.lines(abuse_seed.HARMFUL), harmless + abuse_seed.lines(abuse_seed.HARMLESS), more

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.chunking import split
-from loomtext.session import table
+from loomtext.session import cut, table
 
 SHARD = 5000
 
@@ -105,8 +105,10 @@ def pack(items: list[tuple], caps: tuple) -> list[int]:
 def pack_groups(items: DataFrame, group: str, item: str, dims: list[str], caps: list[str], shard: int = SHARD) -> DataFrame:
     """(group, item, container): items packed within each group. dims are the item's numbers,
     caps columns with the group's capacities (equal within the group). container is a string
-    unique over all groups. Null numbers count as 0; items with a null group are one group.
+    unique over all groups. Null numbers count as 0; items with a null group are one group. The
+    items (numbers only) are checkpointed, as they are counted before they are packed.
     """
+    items = cut(items.select(group, item, *dims, *caps))
     g = items.groupBy(group).agg(F.ceil(F.count("*") / shard).cast("int").alias("__n"))
     rows = items.join(g.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
     rows = rows.withColumn("__s", F.pmod(F.xxhash64(item), F.col("__n")).cast("int"))
@@ -140,13 +142,15 @@ def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def sizes(text: pd.Series, limit: pd.Series) -> pd.Series:
-        return pd.Series([[e - s for s, e, _ in split(t, int(m))] for t, m in zip(text, limit)])
+        return pd.Series([None if t is None else [e - s for s, e, _ in split(t, int(m))] for t, m in zip(text, limit)], dtype=object)
 
     n = F.length("text")
     loss = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
-    short = rows.where(n <= F.col("max_char_count")).withColumn("sizes", F.array(n)).withColumn("loss", loss)
-    long = rows.where(n > F.col("max_char_count")).withColumn("sizes", sizes("text", "max_char_count")).withColumn("loss", loss)
-    one = short.unionByName(long).groupBy("request_id", "config_hash").agg(
+    long = F.when(n > F.col("max_char_count"), F.col("text"))  # only these are handed to Python
+    sized = rows.withColumn("parts", sizes(long, "max_char_count")).select(
+        "request_id", "config_hash", "ingested_at", "batch_size", "max_char_count", F.coalesce("parts", F.array(n)).alias("sizes"), loss.alias("loss")
+    )
+    one = sized.groupBy("request_id", "config_hash").agg(
         F.min_by(F.struct("sizes", "loss", "batch_size", "max_char_count"), F.struct("ingested_at", "sizes")).alias("r")
     )
     total = F.aggregate("r.sizes", F.lit(0), lambda a, x: a + x)
@@ -167,7 +171,7 @@ def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per config: texts, characters, batches, and the least number any packing could have."""
-    items = batch_items(spark, sf_dir)
+    items = cut(batch_items(spark, sf_dir))
     packed = pack_groups(items, "config_hash", "item_key", DIMS, CAPS)
     n = packed.groupBy("config_hash").agg(F.countDistinct("container").alias("batches"))
     load = items.groupBy("config_hash").agg(

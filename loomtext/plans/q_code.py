@@ -29,7 +29,7 @@ _TEXT = "(SELECT DISTINCT path, ext, regexp_replace(try(decode(content)), '\\A\\
 def lex_tokens(spark, sf_dir):
     """Regions of the file types without template strings and lookahead."""
     f = sources(spark, sf_dir).where(F.col("ext").isin(PLAIN_EXTS))
-    return f.select("path", "ext", F.posexplode(X.regular_tokens(F.col("text"), F.col("ext"))).alias("idx", "raw")).select("path", "ext", "idx", "raw", F.octet_length("raw").cast("long").alias("bytes")).distinct()
+    return f.select("path", "ext", F.posexplode(X.regular_tokens(F.col("text"), F.col("ext"))).alias("idx", "raw")).select("path", "ext", F.col("idx").cast("long").alias("idx"), "raw", F.octet_length("raw").cast("long").alias("bytes")).distinct()
 
 
 _ARMS = " ".join(f"WHEN ext IN ({', '.join(map(repr, r.exts))}) THEN regexp_extract_all(text, '{R.pattern(r, java=False).replace(chr(39), chr(39) * 2)}', 0)" for r in PLAIN)
@@ -133,7 +133,7 @@ _CUSTOM = [
 def custom_patterns(spark, sf_dir):
     """User patterns with their places."""
     m = X.custom_matches(sources(spark, sf_dir), _CUSTOM)
-    return m.select("path", "pattern_name", "category", "idx", "raw_match", "content", F.col("start.line").cast("long").alias("line"), F.col("start.column").cast("long").alias("col"), F.col("start.offset").cast("long").alias("at")).distinct()
+    return m.select("path", "pattern_name", "category", F.col("idx").cast("long").alias("idx"), "raw_match", "content", F.col("start.line").cast("long").alias("line"), F.col("start.column").cast("long").alias("col"), F.col("start.offset").cast("long").alias("at")).distinct()
 
 
 def _custom_sql(p, where):

@@ -237,7 +237,7 @@ def provider_table(spark, sf_dir):
     return p.join(dup, "id", "left").select("id", "model", "rate", "max_input_chars", F.coalesce("repeats", F.lit(1)).alias("repeats"))
 
 
-PROVIDER_TABLE = "SELECT * FROM (VALUES ('p1/m1', 'm1', 5, 4000, 1), ('p1/m2', 'm2', 5, 4000, 1), ('p4', 'm5', 1, 700, 2), ('p4', 'm6', 1, 700, 2)) v(id, model, rate, max_input_chars, repeats)"
+PROVIDER_TABLE = "SELECT id, model, rate, max_input_chars, repeats::BIGINT AS repeats FROM (VALUES ('p1/m1', 'm1', 5, 4000, 1), ('p1/m2', 'm2', 5, 4000, 1), ('p4', 'm5', 1, 700, 2), ('p4', 'm6', 1, 700, 2)) v(id, model, rate, max_input_chars, repeats)"
 
 
 def provider_capacity(spark, sf_dir):

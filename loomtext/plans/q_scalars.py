@@ -32,7 +32,7 @@ TOKEN_ESTIMATES = f"""WITH {TEXTS_SQL} SELECT id, ceil({_CJKN} / 1.5::DOUBLE + (
 
 def split_texts(spark, sf_dir):
     """Pieces of 400 characters."""
-    return texts(spark, sf_dir).select("id", F.posexplode(C.split_chars(F.col("text"), 400)).alias("pos", "piece"))
+    return texts(spark, sf_dir).select("id", F.posexplode(C.split_chars(F.col("text"), 400)).alias("pos", "piece")).select("id", F.col("pos").cast("long").alias("pos"), "piece")
 
 
 SPLIT_TEXTS = f"WITH {TEXTS_SQL}, p AS (SELECT id, text, unnest(range((length(text) + 399) // 400)) AS pos FROM texts) SELECT id, pos, substring(text, pos * 400 + 1, 400) AS piece FROM p"
