@@ -94,7 +94,7 @@ _NONE: set[str] = set()
 def _unmask(core: str, vocabulary: Vocabulary) -> str | None:
     """The word of the vocabulary that fits a masked one: signs and digits stand for one letter."""
     letters = sum(c.isalpha() for c in core)
-    if letters < 2 or letters < 0.4 * len(core) or letters == 2 and len(core) > 4:
+    if letters < 2 or letters < 0.4 * len(core):
         return None
     return vocabulary.fitting(core)
 
@@ -132,7 +132,10 @@ _SET_APART = regex.compile(r"(?<=[぀-鿿가-힯])[^\p{L}\p{N}\s]+(?=[぀-鿿가
 _NO_MARKS = regex.compile(r"[가-힯぀-ヿ]")
 _SENTENCE = regex.compile(r"[\n\r]+|[\p{So}\U0001f000-\U0001faff]+|(?<=[.!?])\s+|(?<=[。！？])")
 _CODED = regex.compile(r"\\u([0-9a-fA-F]{4})")
-_NAME = regex.compile(r"`(\w+)`|(?<![\w.])\d+(?![\w.])")
+_NAME = regex.compile(r"`(\w+)`")
+_DIGIT = regex.compile(r"[0-9]")
+#: Words of ASCII signs and digits without letters: they are no part of any word, so their digits don't matter.
+_NUMBER = regex.compile(r"(?<!\S)[!-@\[-`{-~]*[0-9][!-@\[-`{-~]*(?!\S)")
 
 
 def grams(clause: str) -> set[str]:
@@ -146,13 +149,13 @@ def grams(clause: str) -> set[str]:
 
 
 def sentences(text: str) -> list[str]:
-    """Lines and sentences, without numbers and names in code spans; names of several parts stand
-    beside them. So sentences repeat that differ in numbers and names only."""
+    """Lines and sentences, with the digits of numbers made alike, so that sentences repeat that
+    differ in numbers only; names of several parts in code spans stand beside them too."""
     if "\\u" in text:
         text = _CODED.sub(lambda m: chr(int(m.group(1), 16)), text).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    out = [s for s in _SENTENCE.split(_NAME.sub("0", text)) if s]
+    out = [s for s in _SENTENCE.split(_NUMBER.sub(lambda m: _DIGIT.sub("0", m.group()), text)) if s]
     if "`" in text:
-        out += {m for m in _NAME.findall(text) if "_" in m or m and not (m.islower() or m.isupper())}
+        out += {m for m in _NAME.findall(text) if "_" in m or not (m.islower() or m.isupper())}
     return out
 
 
@@ -175,11 +178,12 @@ class Classifier:
         self.weights, self.bias = weights, bias
         self.vocabulary = Vocabulary(words)
         self.score_sentence = functools.lru_cache(maxsize=1 << 16)(self._sentence)
+        self.score_clause = functools.lru_cache(maxsize=1 << 16)(self._clause)
 
     def _sentence(self, sentence: str) -> float:
         return max(map(self.score_clause, clauses(sentence)), default=0.0)
 
-    def score_clause(self, clause: str) -> float:
+    def _clause(self, clause: str) -> float:
         c = normal(clause, self.vocabulary)
         if sum(map(str.isalpha, c)) < 3 and not _CJK.search(c):
             return 0.0
@@ -239,7 +243,7 @@ def train(harmful: list[str], harmless: list[str], plain: list[str], rounds: int
         vw = 0.9 * vw - 2.0 * gw
         w = w + vw
     full = ratio * w
-    return Classifier({g: float(v) for g, v in zip(names, full) if abs(v) > 1e-3}, PRIOR, list(dict.fromkeys(words)))
+    return Classifier({g: float(v) for g, v in zip(names, full) if abs(v) > 1e-4}, PRIOR, list(dict.fromkeys(words)))
 
 
 def training_texts(spark: SparkSession, sf_dir: str, rows: int = LABEL_ROWS, plain: int = PLAIN_CLAUSES) -> tuple[list[str], list[str], list[str]]:

@@ -236,3 +236,19 @@ def test_disguises(classifier):
         assert classifier.score(t) >= 0.5, t
     for t in (None, "", "   ", "12345", "Kill the process and start it again.", "The word idiot is rejected in user names.", "x", "SELECT a FROM b", "`sex`", "The file was not found, so a new one is created."):
         assert classifier.score(t) < 0.5, t
+
+
+def test_code_spans_and_masks_of_two_letters(classifier):
+    for t in ("you are a `moron`", "You are a `MORON`.", "you b***h", "Show me your p***y"):
+        assert classifier.score(t) >= 0.5, t
+    assert classifier.score("The column `sex` holds the value.") < 0.5
+    assert min(map(abs, classifier.weights.values())) < 1e-3
+
+
+def test_numbers_made_alike_change_no_score(classifier):
+    rng = random.Random(3)
+    words = ["you", "idiot", "1diot", "k1ll", "12", "(3)", "#45,", "7.", "b-1-tch", "5*gs", "８", "６o", "№5", "a1", "`x_1`", "9!", "死5ね", "\n", "kill 3 yourself"]
+    for _ in range(300):
+        t = " ".join(rng.choices(words, k=rng.randint(1, 9)))
+        plain = [s for s in abuse._SENTENCE.split(t) if s] + [m for m in abuse._NAME.findall(t) if "_" in m]
+        assert abs(classifier.score(t) - max(map(classifier._sentence, plain), default=0.0)) < 1e-9, t
