@@ -23,6 +23,12 @@ def sources(spark, sf_dir):
     return f.select("path", "ext", E.to_text(F.col("content"), F.lit("UTF-8")).alias("text"))
 
 
+def texts(spark, sf_dir):
+    """(path, ext, text): every distinct content in any encoding, without its mark."""
+    f = table(spark, sf_dir, "source_files").select("path", "ext", "content").distinct()
+    return f.select("path", "ext", E.any_text(F.col("content")).alias("text"))
+
+
 _TEXT = "(SELECT DISTINCT path, ext, regexp_replace(try(decode(content)), '\\A\\x{FEFF}', '') AS text FROM source_files WHERE try(decode(content)) IS NOT NULL)"
 
 
@@ -39,13 +45,13 @@ SELECT DISTINCT path, ext, i AS idx, a[i + 1] AS raw, strlen(a[i + 1]) AS bytes
 
 def lex_all(spark, sf_dir):
     """Regions of all file types with their places."""
-    r = X.lexed(spread(sources(spark, sf_dir)))
+    r = X.lexed(spread(texts(spark, sf_dir)))
     return r.groupBy("ext", "kind").agg(F.count("*").alias("n"), F.sum(F.octet_length("raw_match")).alias("bytes"), F.max("start.line").alias("last_line"))
 
 
 def lex_agree(spark, sf_dir):
     """Both lexers over the file types that both know; files on which they differ (none)."""
-    f = sources(spark, sf_dir).where(~F.lower("ext").isin([e for r in R.RULES if r.template for e in r.exts]))
+    f = texts(spark, sf_dir).where(~F.lower("ext").isin([e for r in R.RULES if r.template for e in r.exts]))
     u = F.transform(X.regions(F.col("text"), F.col("ext")), lambda x: F.substring(F.col("text"), x["full_start"] + 1, x["full_end"] - x["full_start"]))
     return spread(f).where(~F.coalesce(X.regular_tokens(F.col("text"), F.col("ext")), F.array().cast("array<string>")).eqNullSafe(F.coalesce(u, F.array().cast("array<string>")))).select("path", "ext")
 
@@ -55,7 +61,7 @@ LEX_AGREE = "SELECT path, ext FROM source_files WHERE false"
 
 def unit_counts(spark, sf_dir):
     """Units of all files, as matches, counted by every group."""
-    m = X.verify_matches(X.units(spread(sources(spark, sf_dir)), source_langs=["zh", "ja", "ko", "ru"]))
+    m = X.verify_matches(X.units(spread(texts(spark, sf_dir)), source_langs=["zh", "ja", "ko", "ru"]))
     return m.groupBy("pattern_name", "pattern_type", "category").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
 
 
@@ -131,8 +137,17 @@ _CUSTOM = [
 
 
 def custom_patterns(spark, sf_dir):
-    """User patterns with their places."""
-    m = X.custom_matches(sources(spark, sf_dir), _CUSTOM)
+    """User patterns with their places, in contents that its SQL can decode."""
+    return _custom(sources(spark, sf_dir))
+
+
+def custom_patterns_all(spark, sf_dir):
+    """User patterns with their places, in all files of any encoding."""
+    return _custom(texts(spark, sf_dir))
+
+
+def _custom(files):
+    m = X.custom_matches(files, _CUSTOM)
     return m.select("path", "pattern_name", "category", F.col("idx").cast("long").alias("idx"), "raw_match", "content", F.col("start.line").cast("long").alias("line"), F.col("start.column").cast("long").alias("col"), F.col("start.offset").cast("long").alias("at")).distinct()
 
 
@@ -229,6 +244,7 @@ QUERIES = {
     "file_encodings": (file_encodings, FILE_ENCODINGS),
     "guessed_encodings": (guessed_encodings, None),
     "custom_patterns": (custom_patterns, CUSTOM_PATTERNS),
+    "custom_patterns_all": (custom_patterns_all, None),
     "summaries": (summaries, SUMMARIES),
     "detect_segments": (detect_segments, DETECT_SEGMENTS),
     "segment_preview": (segment_preview, SEGMENT_PREVIEW),

@@ -255,12 +255,29 @@ def provider_health(spark, sf_dir):
     return T.health(_calls(spark, sf_dir), ["provider"], ["ts", "response_id"])
 
 
+def _current(spark, sf_dir):
+    """(path, content): the current content of every file."""
+    return table(spark, sf_dir, "source_files").groupBy("path").agg(F.max_by("content", "scanned_at").alias("content"))
+
+
 def located(spark, sf_dir):
-    """Matches located in their files: at their place, else at the first occurrence."""
+    """Matches located in their files: at their place, else at the first occurrence;
+    in contents that its SQL can decode."""
+    from loomtext.functions import encoding as E
+
+    f = _current(spark, sf_dir).where(E.is_utf8(F.col("content")))
+    return _located(spark, sf_dir, f.select("path", E.to_text(F.col("content"), F.lit("UTF-8")).alias("text")))
+
+
+def located_all(spark, sf_dir):
+    """Matches located in all files of any encoding."""
     from loomtext.functions import encoding as E
 
-    f = table(spark, sf_dir, "source_files").groupBy("path").agg(F.max_by("content", "scanned_at").alias("content")).where(E.is_utf8(F.col("content")))
-    f = f.select("path", F.replace(E.to_text(F.col("content"), F.lit("UTF-8")), F.lit("\r\n"), F.lit("\n")).alias("text"))
+    return _located(spark, sf_dir, _current(spark, sf_dir).select("path", E.any_text(F.col("content")).alias("text")))
+
+
+def _located(spark, sf_dir, f):
+    f = f.select("path", F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text"))
     m = table(spark, sf_dir, "verify_matches").where("raw_match IS NOT NULL").select("match_id", "path", "raw_match", F.col("position.offset").alias("at")).distinct()
     j = m.join(f, "path")
     exact = C.byte_slice(F.col("text"), F.col("at"), F.col("at") + F.octet_length("raw_match")) == F.col("raw_match")
@@ -277,8 +294,7 @@ def applied_units(spark, sf_dir):
     from loomtext.functions import encoding as E
     from loomtext.operators import writer as W
 
-    f = table(spark, sf_dir, "source_files").groupBy("path").agg(F.max_by("content", "scanned_at").alias("content")).where(E.is_utf8(F.col("content")))
-    f = f.select("path", E.to_text(F.col("content"), F.lit("UTF-8")).alias("text"))
+    f = _current(spark, sf_dir).select("path", E.any_text(F.col("content")).alias("text"))
     m = table(spark, sf_dir, "verify_matches").where("raw_match IS NOT NULL AND lower(category) <> 'code'").select("path", "match_id", "extracted_text", "raw_match", "position").distinct()
     u = m.select("path", F.col("extracted_text").alias("content"), F.upper("extracted_text").alias("translated"), "raw_match", F.col("position.line").alias("line"), F.col("position.column").alias("column"))
     a = W.apply_units(spread(f), u)
@@ -306,5 +322,5 @@ QUERIES = {
     "run_counters": (run_counters, RUN_COUNTERS), "run_reports": (run_reports, RUN_REPORTS), "write_results": (write_results, WRITE_RESULTS), "batch_results": (batch_results, BATCH_RESULTS),
     "region_merge": (region_merge, REGION_MERGE), "region_overlap": (region_overlap, REGION_OVERLAP), "offset_shift": (offset_shift, OFFSET_SHIFT), "match_ordinals": (match_ordinals, MATCH_ORDINALS),
     "units_dedup": (units_dedup, UNITS_DEDUP), "capable_providers": (capable_providers, CAPABLE), "provider_table": (provider_table, PROVIDER_TABLE), "provider_capacity": (provider_capacity, PROVIDER_CAPACITY),
-    "provider_health": (provider_health, None), "located": (located, LOCATED),
+    "provider_health": (provider_health, None), "located": (located, LOCATED), "located_all": (located_all, None),
 }

@@ -119,3 +119,34 @@ def test_config(tmp_path):
 def test_cache_dirs():
     assert B.resolve_dir("local", "/p/") == "/p/.loomtext" and B.resolve_dir("global", "/p", None, "/h") == "/h/.loomtext/cache" and B.resolve_dir("local", "/p", "/d") == "/d"
     assert os.path.basename("x") == "x"
+
+
+@pytest.fixture(scope="module")
+def encoded(tmp_path_factory):
+    """A folder of files in five encodings, with matches to locate in them."""
+    import datetime
+
+    from tests.conftest import _SPARK as spark
+
+    d = str(tmp_path_factory.mktemp("encoded"))
+    zh, ja = "// 此函数检查缓冲区是否仍然有效。\r\n", "// この関数はスナップショットがまだ有効かどうかを確認します。\r\n"
+    t = datetime.datetime(2026, 1, 1)
+    rows = [("a.c", zh.encode("gb18030")), ("b.c", ja.encode("cp932")), ("c.js", ja.encode("utf-16")), ("d.py", b"\xef\xbb\xbf# " + "检查。\n".encode()), ("e.c", zh.replace("函", "函").encode() + b'"\xff"'), ("f.c", zh.encode("big5", "ignore"))]
+    spark.createDataFrame([(p, p.split(".")[1], t, c) for p, c in rows], "path string, ext string, scanned_at timestamp, content binary").write.parquet(f"{d}/source_files.parquet")
+    m = [(i, p, "other", r, r, {"line": 1, "column": 1, "offset": 0}) for i, (p, r) in enumerate([("a.c", zh[:-2]), ("b.c", ja[:-2]), ("c.js", ja[:-2]), ("d.py", "# 检查。")])]
+    spark.createDataFrame(m, "match_id long, path string, category string, extracted_text string, raw_match string, position struct<line: int, column: int, offset: int>").write.parquet(f"{d}/verify_matches.parquet")
+    return d
+
+
+def test_files_of_any_encoding_are_read(spark, encoded):
+    from loomtext.plans import q_code, q_rel
+
+    got = {r["path"]: r["text"] for r in q_code.texts(spark, encoded).collect()}
+    assert len(got) == 6 and got["a.c"].startswith("// 此函数检查") and got["b.c"].startswith("// この関数は") and got["c.js"] == got["b.c"] and got["d.py"] == "# 检查。\n"
+    assert got["e.c"].endswith('。\r\n"�"')
+    assert {r["ext"]: r["n"] for r in q_code.lex_all(spark, encoded).where("kind = 'line_comment'").collect()} == {"c": 4, "js": 1, "py": 1}
+    assert q_code.unit_counts(spark, encoded).agg(F.sum("n_files")).first()[0] >= 5
+    assert q_code.lex_agree(spark, encoded).count() == 0
+    assert {r["match_id"] for r in q_rel.located_all(spark, encoded).where("exact AND first = 1").collect()} == {0, 1, 2, 3}
+    assert q_rel.applied_units(spark, encoded).agg(F.sum("n")).first()[0] == 6
+    assert {r["path"] for r in q_code.custom_patterns_all(spark, encoded).collect()} == {"e.c"}
