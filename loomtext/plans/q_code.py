@@ -33,7 +33,8 @@ _TEXT = "(SELECT DISTINCT path, ext, regexp_replace(try(decode(content)), '\\A\\
 
 
 def lex_tokens(spark, sf_dir):
-    """Regions of the file types without template strings and lookahead."""
+    """Regions of the file types without template strings and lookahead, as
+    its SQL knows no others; lex_tokens_all() gives those of all files."""
     f = sources(spark, sf_dir).where(F.col("ext").isin(PLAIN_EXTS))
     return f.select("path", "ext", F.posexplode(X.regular_tokens(F.col("text"), F.col("ext"))).alias("idx", "raw")).select("path", "ext", F.col("idx").cast("long").alias("idx"), "raw", F.octet_length("raw").cast("long").alias("bytes")).distinct()
 
@@ -43,6 +44,12 @@ LEX_TOKENS = f"""WITH f AS {_TEXT}, t AS (SELECT path, ext, CASE {_ARMS} END AS
 SELECT DISTINCT path, ext, i AS idx, a[i + 1] AS raw, strlen(a[i + 1]) AS bytes FROM t, LATERAL (SELECT unnest(range(len(a)))) u(i)"""
 
 
+def lex_tokens_all(spark, sf_dir):
+    """Regions of all file types, in any encoding."""
+    r = X.lexed(spread(texts(spark, sf_dir)))
+    return r.select("path", "ext", F.col("idx").cast("long").alias("idx"), F.col("raw_match").alias("raw"), F.octet_length("raw_match").cast("long").alias("bytes")).distinct()
+
+
 def lex_all(spark, sf_dir):
     """Regions of all file types with their places."""
     r = X.lexed(spread(texts(spark, sf_dir)))
@@ -235,6 +242,7 @@ CJK_LINES = f"WITH {_DOC_LINES} SELECT doc_id, line, array_to_string(list_sort(l
 
 QUERIES = {
     "lex_tokens": (lex_tokens, LEX_TOKENS),
+    "lex_tokens_all": (lex_tokens_all, None),
     "lex_all": (lex_all, None),
     "lex_agree": (lex_agree, LEX_AGREE),
     "unit_counts": (unit_counts, None),

@@ -96,3 +96,14 @@ def test_dedup_keeps_the_first_branch(spark):
     b = spark.createDataFrame([("p", 0, 0, 3, "x"), ("p", 1, 5, 6, "y")], s)
     got = sorted((r["branch"], r["content"]) for r in X.merged_units(a, b).collect())
     assert got == [(0, "x"), (0, "x"), (1, "y")]
+
+
+def test_tokens_of_all_file_types(spark):
+    """Every file type with regions has its tokens, and plain ones have those of the SQL's query."""
+    from loomtext.plans import q_code
+
+    d = "/root/testdata/sf0.001"
+    every, plain = q_code.lex_tokens_all(spark, d), q_code.lex_tokens(spark, d)
+    assert {r["ext"] for r in every.select("ext").distinct().collect()} == {r["ext"] for r in q_code.lex_all(spark, d).select("ext").distinct().collect()} > set(q_code.PLAIN_EXTS) & {"c", "rb", "sh"}
+    assert {"py", "js", "ts", "rs", "go", "java"} <= {r["ext"] for r in every.select("ext").distinct().collect()}
+    assert plain.count() > 0 and plain.exceptAll(every).count() == 0
