@@ -205,6 +205,22 @@ def languages(code: str | None, ext: str, m: Classes) -> list[tuple[str, str, in
     return out
 
 
+def letters(text: str) -> int:
+    """Letters as langid.clean() counts them, code included."""
+    return sum(map(len, langid._LETTER.findall(text.lower())))
+
+
+def whole(code: str | None, ext: str) -> int:
+    """Letters of code with all it holds; escapes in literals count as the letters they stand for."""
+    code = code or ""
+    n = letters(code)
+    if "\\" in code or "&" in code:
+        for m in _lexer((ext or "").lower().lstrip(".")).finditer(code):
+            if m.group("literal") is not None:
+                n += letters(unescape(_inner(m.group()))) - letters(_inner(m.group()))
+    return n
+
+
 _MODELS: dict[int, Classes] = {}
 
 
@@ -229,8 +245,8 @@ def code_sample(spark: SparkSession, sf_dir: str, rows: int = CODE_ROWS) -> str:
 
 
 def found(spark: SparkSession, sf_dir: str, folder: str = tokens.TOKENIZERS) -> DataFrame:
-    """(match_id, path, sentences array<kind, lang, letters>) of the matches of category code.
-    Null texts and unknown file types give what most file types have in common."""
+    """(match_id, path, sentences array<kind, lang, letters>, whole) of the matches of category code;
+    whole are all letters of the match. Null texts and unknown file types give what most file types have in common."""
     batch_rows(spark, 2000)
     text, code = langid.labelled(spark, sf_dir, LABEL_ROWS, LABEL_CHARS, distinct=False), code_sample(spark, sf_dir)
     rows = table(spark, sf_dir, "verify_matches").where((F.lower(F.trim("category")) == "code") & F.col("extracted_text").isNotNull() & F.col("match_id").isNotNull())
@@ -240,13 +256,15 @@ def found(spark: SparkSession, sf_dir: str, folder: str = tokens.TOKENIZERS) ->
     def run(batches):
         m = _model(text, code, folder)
         for b in batches:
+            texts = [((p or "").rsplit(".", 1)[-1], t) for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             got = [
-                [{"kind": k, "lang": lang, "letters": n} for k, lang, n, _ in languages(t, (p or "").rsplit(".", 1)[-1], m)]
-                for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())
+                [{"kind": k, "lang": lang, "letters": n} for k, lang, n, _ in languages(t, e, m)]
+                for e, t in texts
             ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, kind)], names=["match_id", "path", "sentences"])
+            total = pa.array([whole(t, e) for e, t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, kind), total], names=["match_id", "path", "sentences", "whole"])
 
-    return src.mapInArrow(run, "match_id long, path string, sentences array<struct<kind: string, lang: string, letters: int>>")
+    return src.mapInArrow(run, "match_id long, path string, sentences array<struct<kind: string, lang: string, letters: int>>, whole long")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,9 +274,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, lang, letters, share): letters of each language in the comments and literals of a
-    file's code, and their share of the file's natural-language letters. Matches delivered twice
-    count once; files without any have no row; a null path is a file of its own."""
-    one = found(spark, sf_dir).groupBy("match_id").agg(F.min(F.struct("path", "sentences")).alias("r")).select("r.*")
-    per = one.select("path", F.explode("sentences").alias("s")).groupBy("path", "s.lang").agg(F.sum("s.letters").alias("letters"))
-    whole = F.sum("letters").over(W.partitionBy("path"))  # a row per language
-    return per.select("path", "lang", "letters", F.round(F.col("letters") / whole, 6).alias("share"))
+    file's code, and their share of all letters of that code, which is the rest of the file. Matches
+    delivered twice count once; a language that a file doesn't hold has no row; a null path is a
+    file of its own."""
+    one = found(spark, sf_dir).groupBy("match_id").agg(F.min(F.struct("path", "sentences", "whole")).alias("r")).select("r.*")
+    pair = lambda lang, n: F.struct(lang.alias("lang"), n.cast("long").alias("letters"))
+
+    # all letters of a match stand beside its sentences, as a row without language
+    parts = F.concat(F.array(pair(F.lit(None).cast("string"), F.col("whole"))), F.transform("sentences", lambda s: pair(s["lang"], s["letters"])))
+    per = one.select("path", F.explode(parts).alias("s")).groupBy("path", "s.lang").agg(F.sum("s.letters").alias("letters"))
+    total = F.max(F.when(F.col("lang").isNull(), F.col("letters"))).over(W.partitionBy("path"))  # a row per language
+    return per.withColumn("total", total).where("lang IS NOT NULL").select("path", "lang", "letters", F.round(F.col("letters") / F.col("total"), 6).alias("share"))

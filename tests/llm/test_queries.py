@@ -91,3 +91,27 @@ def test_core_runs_without(spark):
     import __spark_entry__ as e
 
     assert set(queries.queries()) <= set(e.queries())
+
+
+def test_shares_are_of_the_whole_file(spark, tmp_path):
+    """A language's letters are divided by all letters of its file, matches without language included."""
+    from loomtext.llm import codetext
+
+    for n in NAMES:
+        if n != "verify_matches":
+            os.symlink(f"{DATA}/{n}.parquet", tmp_path / f"{n}.parquet")
+    comment, code = "The parser is created once and shared by all workers.", "abcde = fghij(klmno, pqrst)\n"
+    t = spark.read.parquet(f"{DATA}/verify_matches.parquet")
+    rows = [(-1, "a.py", f"# {comment}\n{code}"), (-2, "a.py", code * 3), (-3, "b.py", code)]
+    rest = t.where("lower(trim(category)) = 'code'").select("match_id", F.concat(F.lit("z/"), "path").alias("path"), "extracted_text").where("extracted_text IS NOT NULL")
+    spark.createDataFrame(rows, "match_id long, path string, extracted_text string").union(rest).withColumn("category", F.lit("code")).coalesce(1).write.parquet(str(tmp_path / "verify_matches.parquet"))
+    got = codetext.p7_shares(spark, str(tmp_path)).collect()
+    n, size = codetext.letters(comment), codetext.letters(comment) + 4 * codetext.letters(code)
+    assert [(r["path"], r["lang"], r["letters"], r["share"]) for r in got if r["path"] in ("a.py", "b.py")] == [("a.py", "en", n, round(n / size, 6))]
+    assert all(0 < r["share"] < 1 for r in got) and len(got) > 1
+
+
+def test_whole_counts_escapes_as_letters():
+    from loomtext.llm import codetext
+
+    assert codetext.whole(r"x = '\u4f60\u597d'", "py") == 3 and codetext.whole("<a b='&#20013;'>", "html") == 3 and codetext.whole(None, "py") == 0
