@@ -132,8 +132,15 @@ def extract(code: str, ext: str) -> tuple[list[tuple[str, str]], str]:
 #: Beginnings of directives to tools, and of database statements.
 _DIRECTIVE = regex.compile(
     r"^\W*(?:noqa|pylint|type:\s*ignore|mypy|flake8|isort|fmt:|yapf|eslint|tslint|jshint|jslint|prettier|stylelint|@?ts-(?:ignore|nocheck|expect|check)|@flow|istanbul|c8 ignore|nolint|clang-|cppcheck|coverity|rustfmt|clippy|allow\(|"
-    r"shellcheck|rubocop|frozen_string_literal|vim?:|ex:|emacs|-\*-|coding[:=]|spdx|copyright \(c\)|\+build|go:|region\b|endregion|pragma|include|define|resharper|sonar|noinspection|luacheck|phpcs|phpstan|psalm|yamllint|sql-formatter|!/|@(?:param|return|throws|see|since|author)\b)", regex.I)
-_STATEMENT = regex.compile(r"^\W*(?:select\b.+\bfrom\b|insert\s+into\b|update\s+\S+\s+set\b|delete\s+from\b|create\s+(?:table|view|index|or)\b|alter\s+table\b|drop\s+(?:table|view|index)\b|with\s+\w+\s+as\s*\(|grant\s+\w+\s+on\b|merge\s+into\b)", regex.I | regex.S)
+    r"shellcheck|rubocop|frozen_string_literal|vim?:|ex:|emacs:|-\*-|coding[:=]|spdx|copyright \(c\)|\+build|go:|region\b|endregion|pragma(?:\s*:|\s+(?:once|no|mark|omp|pack|warning|message|region|endregion|clang|gcc)\b)|include\s*[<\"']|define\s+(?-i:[A-Z_][A-Z0-9_]*)\b|resharper|sonar(?:\s*:|\W*(?:on|off|ignore|disable|enable)\b)|noinspection|luacheck|phpcs|phpstan|psalm|yamllint|sql-formatter|!/|@(?:param|return|throws|see|since|author)\b)", regex.I)
+_KEYWORDS = r"(?:SELECT\b.+\bFROM\b|INSERT\s+INTO\b|UPDATE\s+\S+\s+SET\b|DELETE\s+FROM\b|CREATE\s+(?:TABLE|VIEW|INDEX|OR)\b|ALTER\s+TABLE\b|DROP\s+(?:TABLE|VIEW|INDEX)\b|GRANT\s+\w+\s+ON\b|MERGE\s+INTO\b)"
+_COLUMN = r"(?:\*|[\w.`\"]+(?:\([^()]*\))?(?:\s+as\s+\w+)?)"
+_REST = r"\s+[\w.`\"]+(?:\s+(?:as\s+)?\w)?\s*(?:$|[;,)(]|\b(?:where|join|left|inner|outer|cross|order\s+by|group\s+by|limit|union|having|using)\b)"
+#: In small letters a statement must have its syntax, as sentences begin with the same words.
+_STATEMENT = regex.compile(
+    rf"^\W*(?:(?-i:{_KEYWORDS})|select\s+(?:distinct\s+)?{_COLUMN}(?:\s*,\s*{_COLUMN})*\s+from{_REST}|insert\s+into\s+[\w.`\"]+\s*(?:\(|values\b|select\b)|update\s+[\w.`\"]+\s+set\s+[\w.`\"]+\s*=|delete\s+from{_REST}|"
+    r"create\s+(?:or\s+replace\s+)?(?:unique\s+)?(?:table|view|index)\s+(?:if\s+not\s+exists\s+)?[\w.`\"]+\s*(?:\(|\b(?:as\s*\(?\s*select|on\s+\w+\s*\())|alter\s+table\s+[\w.`\"]+\s+(?:add|drop|alter|rename|modify)\b|drop\s+(?:table|view|index)\s+(?:if\s+exists\s+)?[\w.`\"]+\s*(?:;|$)|"
+    r"with\s+\w+\s+as\s*\(|grant\s+\w+\s+on\s+\S+\s+to\b|merge\s+into\s+\S+(?:\s+\w+)?\s+using\b)", regex.I | regex.S)
 _LABEL = regex.compile(r"^\W*(?:todo|fixme|note|hack|xxx|bug|warning|info)\b(?:\([^)\n]*\))?\s*[:：-]?\s*", regex.I)
 
 #: Literals that are keys, paths, addresses, patterns or formats.
@@ -174,14 +181,19 @@ class Classes:
         return " " + _DIGITS.sub("0", _JOINTS.sub(" ", line)).strip().lower()
 
     def _best(self, line: str) -> tuple[str, float]:
-        """(class, posterior) of a line."""
+        """(class, posterior) of a line: code if it outweighs all languages together, else the
+        greatest of the languages."""
         score = list(self.prior)
         for i in self.encode(self.shape(line)):
             for j, v in enumerate(self.table.get(i, self.unseen)):
                 score[j] += v
         top = max(range(len(score)), key=score.__getitem__)
-        total = sum(math.exp(max(-700.0, s - score[top])) for s in score)
-        return self.names[top], 1.0 / total
+        weight = [math.exp(max(-700.0, s - score[top])) for s in score]
+        total = sum(weight)
+        code = self.names.index("code")
+        if self.names[top] == "code" and 2 * weight[code] < total:
+            top = max((j for j in range(len(score)) if j != code), key=score.__getitem__)
+        return self.names[top], weight[top] / total
 
 
 def languages(code: str | None, ext: str, m: Classes) -> list[tuple[str, str, int, float]]:
@@ -200,7 +212,7 @@ def languages(code: str | None, ext: str, m: Classes) -> list[tuple[str, str, in
             if cjk < 4 and n < 3:
                 continue
             lang, p = m.best(line)
-            if lang != "code" and p >= 0.8:
+            if lang != "code":
                 out.append((kind, lang, sum(map(len, c.split())), p))
     return out
 

@@ -252,3 +252,21 @@ def test_numbers_made_alike_change_no_score(classifier):
         t = " ".join(rng.choices(words, k=rng.randint(1, 9)))
         plain = [s for s in abuse._SENTENCE.split(t) if s] + [m for m in abuse._NAME.findall(t) if "_" in m]
         assert abs(classifier.score(t) - max(map(classifier._sentence, plain), default=0.0)) < 1e-9, t
+
+
+def test_sentences_that_begin_like_directives_or_statements():
+    for t in ("Define the retry limit first.", "Define o limite primeiro.", "Includes all open entries.", "Include the header of the file.", "Pragmatic choices are fine here.", "Select an entry from the list.", "select an entry from the list", "Update the set of workers.", "Insert into the list all new entries.", "Delete from the list what is old.", "Create or replace the file.", "Drop table entries that are old."):
+        assert not codetext._DIRECTIVE.match(t) and not codetext._STATEMENT.match(t), t
+    for t in ("include <stdio.h>", '#include "a.h"', "#define MAX_SIZE 10", "pragma: no cover", "pragma once", "sonar:off", "emacs: mode"):
+        assert codetext._DIRECTIVE.match(t), t
+    for t in ("SELECT id FROM jobs WHERE state = 1", "select id, name as n from users u where x", "select * from t", "select count(*) from a.b;", "Select id From jobs", "insert into t (a) values (1)", "update t set a = 1", "delete from t where a", "create table if not exists t (a int)", "drop table t;", "alter table t add c int"):
+        assert codetext._STATEMENT.match(t), t
+
+
+def test_a_language_needs_no_fixed_posterior():
+    close = {"es": "x", "pt": "x", "code": "y"}
+    c = object.__new__(codetext.Classes)
+    c.names, c.prior, c.unseen, c.table, c.encode = sorted(close), [0.0] * 3, [0.0] * 3, {1: [0.4, 0.3, 0.2]}, lambda t: [1]
+    assert c._best("x")[0] == "es"
+    c.best = lambda line: ("es", 0.5)
+    assert codetext.languages("# hay que probar esto\n", "py", c) == [("comment", "es", 16, 0.5)]
