@@ -1,52 +1,137 @@
-"""Short labelled texts for training the abuse classifier (abuse.py).
+"""Labelled training texts for the abuse classifier (abuse.py), made from frames and words.
 
-They only serve to recognise such language. HARMFUL are insults, threats, hatred and sexually
-explicit offers; HARMLESS use similar words in a technical or everyday sense, or name them.
+They only serve to recognise such language. A line holds frames, "||", and words; every word is put
+into FRAMES_PER_WORD of the frames in turn (into all of them where there are fewer). The words are
+common knowledge of the nine languages and were written without a view of any table. HARMFUL are
+insults, threats, hatred of groups and sexually explicit texts; HARMLESS address people in a friendly
+or sober way, criticise work, use the same words in a technical or everyday sense, name them, or are code.
 """
 
+from __future__ import annotations
+
+FRAMES_PER_WORD = 12
+
 HARMFUL = """
-you are an idiot | you stupid idiot | what an idiot wrote this | you moron | you complete moron | you cretin | you imbecile | shut up you fool | you dumb fool | you are a pathetic loser | what a worthless loser | you worthless piece of garbage | you are human garbage | you asshole | go to hell asshole | fuck you | fuck off | go fuck yourself | you fucking idiot | stupid piece of shit | you piece of shit | shitty coder | you shithead | you bastard | you son of a bitch | stupid bitch | you dickhead | you jackass | you goddamn pig | you disgusting pig | you ugly rat | you disgusting rat | nobody likes you | nobody asked you asshole | you are too stupid for this job | only a moron writes code like this | what kind of miserable idiot approved this | whoever merged this is a brainless clown | you pathetic clown | get lost you scum | eat shit | kiss my ass | only a braindead clown would write this | what a braindead idiot | only a brainless pig would write such crap | what kind of filthy wanker wrote this | you filthy scumbag | you scumbag | you dumbass | the dumbass who wrote this | the scumbag who did this | i would slap that scumbag | your mother raised a bitch | your mother raised a waste of space | you useless waste of space | you twat | you prick | you cunt | you motherfucker | shut the fuck up | shut your mouth you idiot
-kill yourself | you should kill yourself | just kill yourself | no one would miss you | nobody would even notice if you died | drop dead | go die | i hope you die | i hope you get fired and starve | i hope you rot | rot in hell | disappear for good | do us a favour and disappear | i will find you | i will kill you | i will break your legs | i will beat you up | i would slap the one who wrote this | whoever did this should be beaten | you should be shot | you should be beaten | i know where you live | you will regret this | wait until i find you | watch your back | i will hurt you and your family
-foreigners are scum | foreigners are parasites | immigrants are vermin | immigrants are filthy parasites | migrants ruin everything | dirty refugees | we do not want those dirty refugees here | refugees are animals | those people are animals | such people are subhuman | subhuman scum | people from the east are parasites | send them all back | kick them all out of the country | throw them all out | women are too stupid to code | women are inferior | women do not belong here | women belong in the kitchen | girls are too dumb for this | gays are sick | gay people are disgusting | that religion is a disease | wipe them all out | they should all be wiped out | hang them all | gas them all | black people are inferior | jews control everything and must be destroyed | muslims are terrorists and must be kicked out | disabled people are a burden | disabled people do not deserve jobs | old people are useless garbage | nobody will miss those people | that race is inferior | exterminate them | foreigners are a plague | people like them are a plague | refugees are cockroaches | their kind is subhuman | their kind will always be inferior | they are pests | we should get rid of all of them | get rid of all foreigners | send the garbage back to where it came from | nobody will miss a plague | women are useless trash | all of them are filthy animals
-free porn | watch porn for free | hardcore porn | hot porn videos | xxx videos | xxx com | horny women | horny singles near you | horny couples | wet women | hot naked girls | naked girls on cam | show me your naked body | show me your tits | show me your ass | send nudes | send me nude pictures | nude pictures of yourself tonight | i want to fuck | i want to fuck all night | i want sex with you | have sex with me tonight | click for sex | sex chat with hot girls | big boobs | blow job | suck my dick | lick my pussy | cum on my face | anal sex videos | escort girls for sex | masturbate for me | get naked with me | come over and get naked | come to bed with me naked | she showed her tits | he begged to be fucked | she wants to be fucked hard | uncensored porn | uncensored sex pics | hardcore xxx clips with naked men | naked men on cam | porn cam | wet pussy | dirty sex talk
-du idiot | du vollidiot | so ein dämlicher vollidiot | du bist so ein idiot | du dummkopf | du blödes arschloch | arschloch | verpiss dich | halt die fresse | halt die klappe du idiot | fick dich | du missgeburt | du wichser | du hurensohn | du dreckschwein | du ekelhaftes schwein | scheiß programmierer | welcher trottel hat das geschrieben | was für ein trottel | du bist zu dumm zum programmieren | du erbärmlicher versager | verrecke | bring dich um | ich bring dich um | ich finde dich und schlage dich zusammen | ich weiß wo du wohnst | das wirst du bereuen | du gehörst verprügelt | fahr zur hölle | niemand würde dich vermissen
-ausländer sind ungeziefer | ausländer sind parasiten | ausländer raus | die gehören rausgeworfen | flüchtlinge sind abschaum | diese leute sind abschaum | dreckige flüchtlinge | frauen sind zu blöd zum programmieren | frauen sind zu dumm | frauen gehören in die küche | schwule sind krank | behinderte sind eine last | diese religion ist eine krankheit | die muss man alle ausrotten | alle vergasen | untermenschen
-geile nackte weiber | nackte weiber im porno | porno gratis ansehen | gratis porno | geile weiber | schick mir nacktbilder | zeig mir deine titten | ich will dich ficken | ficken die ganze nacht | geiler sex heute nacht | sexvideos kostenlos | heiße huren
-espèce d'idiot | pauvre idiot | espèce de débile | espèce de crétin | quel crétin a écrit ça | pauvre con | sale con | connard | connasse | salope | ferme ta gueule | ta gueule | va te faire foutre | va te faire enculer | enculé | fils de pute | nique ta mère | tu es une merde | espèce de merde | casse-toi | pauvre type | tu es trop stupide | abruti | crève | va crever | va te pendre | tue-toi | je vais te tuer | je vais te retrouver et te casser la gueule | je sais où tu habites | tu vas le regretter | va en enfer | déchet humain
-les étrangers sont de la vermine | les étrangers sont des parasites | les immigrés sont des parasites | sales immigrés | dehors les étrangers | qu'on les jette tous dehors | les femmes sont trop bêtes pour coder | les femmes sont trop stupides | les femmes à la cuisine | les homosexuels sont des malades | cette religion est une maladie | il faut tous les exterminer | les handicapés sont un fardeau | ces gens sont des animaux | sous-hommes
-porno gratuit | vidéos porno | femmes nues et chaudes | femmes chaudes | envoie-moi des photos nue | photos de toi nue | montre tes seins | montre-moi ton cul | je veux te baiser | baise toute la nuit | sexe gratuit ce soir | plan cul | salope en chaleur | viens baiser
-eres un idiota | qué idiota | idiota de mierda | imbécil | pedazo de imbécil | qué imbécil escribió esto | gilipollas | cállate gilipollas | cállate ya | hijo de puta | puta madre | vete a la mierda | vete al infierno | que te jodan | cabrón | maldito cabrón | eres una mierda | eres un inútil | estúpido de mierda | basura humana | eres basura | ojalá te mueras | muérete | mátate | te voy a matar | te voy a encontrar y te rompo la cara | sé dónde vives | te vas a arrepentir | lárgate | cerdo asqueroso | subnormal | retrasado
-los extranjeros son una plaga | los extranjeros son parásitos | los inmigrantes son escoria | que los echen a todos | fuera los extranjeros | sucios refugiados | las mujeres son demasiado tontas para programar | las mujeres son inferiores | las mujeres a la cocina | los gais son enfermos | esa religión es una enfermedad | hay que exterminarlos a todos | los discapacitados son una carga | esa gente son animales
-porno gratis | vídeos porno | porno gratis con mujeres calientes | mujeres calientes | mujeres desnudas | mándame fotos desnuda | fotos tuyas desnuda | enséñame las tetas | enséñame el culo | quiero follar | quiero follarte toda la noche | sexo gratis esta noche | putas calientes | ven a follar
-você é um idiota | seu idiota | seu idiota de merda | seu imbecil | que imbecil escreveu isso | seu otário | seu burro | seu babaca | cala a boca | cala a boca seu idiota | vai se foder | foda-se | filho da puta | vai tomar no cu | seu merda | você é um merda | seu lixo | lixo humano | some daqui | vai para o inferno | morra | tomara que você morra | se mata | vou te matar | vou te achar e te quebrar a cara | sei onde você mora | você vai se arrepender | porco nojento | seu retardado | desgraçado
-estrangeiros são uma praga | fora com todos | os estrangeiros são parasitas | imigrantes são vermes | imigrantes sujos | refugiados imundos | mulheres são burras demais para programar | mulheres são inferiores | lugar de mulher é na cozinha | gays são doentes | essa religião é uma doença | tem que exterminar todos | deficientes são um peso | essa gente são animais
-pornô grátis | pornô grátis com mulheres quentes | vídeos pornô | mulheres quentes | mulheres peladas | mulheres nuas | manda foto pelada | manda nudes | mostra os peitos | mostra a bunda | quero transar | quero foder a noite toda | sexo grátis hoje | putas gostosas
-ты идиот | ты полный идиот | какой идиот это написал | какой дебил это написал | дебил | придурок | пошёл вон придурок | кретин | тупая скотина | тупой ублюдок | ублюдок | урод | мразь | сволочь | тварь | заткнись | заткнись тупая тварь | иди к чёрту | иди на хуй | пошёл на хуй | пошёл в жопу | сука | сукин сын | долбоёб | мудак | говно | ты ничтожество | чтоб ты сдох | сдохни | убей себя | я тебя убью | я тебя найду | найду и переломаю ноги | я знаю где ты живёшь | ты пожалеешь | гори в аду | козёл
-приезжие это паразиты | гнать их всех | мигранты это паразиты | мигранты хуже животных | понаехали твари | чурки | иностранцы это мусор | бабы тупые | нечего бабам делать в разработке | женщины тупые | место женщины на кухне | геи больные | эта религия как болезнь | их всех надо уничтожить | инвалиды обуза | недочеловеки
-порно бесплатно | горячее порно бесплатно | порно без регистрации | голые бабы | голые девки | пришли голое фото | пришли свои голые фото | хочу секса | хочу трахаться | трахаться всю ночь | покажи сиськи | покажи жопу | шлюхи на ночь | секс сегодня ночью
-你是猪吗 | 你这个蠢货 | 蠢货 | 你这个白痴 | 白痴 | 傻逼 | 傻瓜滚开 | 脑残 | 写这段的人真是脑残 | 你脑子有病 | 智障 | 废物东西 | 你这个废物 | 垃圾东西 | 你是个人渣 | 人渣 | 混蛋 | 王八蛋 | 滚 | 滚开 | 滚出去 | 闭嘴 | 他妈的 | 操你妈 | 去死 | 去死吧 | 你怎么不去死 | 我要杀了你 | 我要打断你的腿 | 我知道你住在哪里 | 你会后悔的 | 狗东西 | 贱人 | 婊子
-外地人都是垃圾 | 外地人应该全部赶走 | 外国人都是寄生虫 | 把他们全部赶走 | 移民都是害虫 | 难民都是垃圾 | 女人太笨写不了代码 | 女人就是蠢 | 女人不该工作 | 同性恋都有病 | 那种宗教是毒瘤 | 把他们都杀光 | 残疾人是累赘 | 劣等民族
-免费色情视频 | 色情视频 | 成人视频免费看 | 黄色视频 | 裸照 | 发裸照给我 | 给我发你的裸照 | 我想做爱 | 今晚做爱 | 约炮 | 性感美女裸聊 | 裸聊 | 大胸美女 | 操你一整晚 | 卖淫 | 脱光衣服
-このバカ | うるさいこのバカ | バカ野郎 | 馬鹿野郎 | お前は馬鹿か | お前は本当に無能だ | 無能 | クズ | このクズ | お前はクズだ | ゴミ人間 | ゴミみたいなやつ | 死ね | お前なんか死ね | さっさと死ね | 消えろ | 失せろ | くたばれ | 殺すぞ | 殺してやる | 家を知っているぞ | 覚えていろよ | 後悔させてやる | 黙れ | 間抜け | アホか | 気持ち悪い豚 | こんなコードを書いたのは頭がおかしい | ブス
-外国人は害虫だ | 外国人は出て行け | 外国人は全員追い出せ | 移民は寄生虫だ | 難民は汚い | 女は頭が悪い | 女は頭が悪いから開発するな | 女は家にいろ | 同性愛者は病気だ | あの宗教は病気だ | あいつらを皆殺しにしろ | 障害者は重荷だ | 老人はゴミだ
-無修正動画 | エロ動画 | 無修正のエロ動画 | エロ動画見放題 | 裸の写真を送って | 裸の写真 | セックスしよう | セックスしたい | やらせて | おっぱい見せて | 巨乳 | 風俗嬢 | 一晩中セックス | ポルノ無料 | 淫乱な女
-바보 같은 놈아 | 이 바보야 | 멍청한 새끼 | 멍청한 놈 | 너는 멍청이야 | 병신 | 이 병신아 | 병신아 꺼져 | 꺼져 | 닥쳐 | 개새끼 | 씨발 | 씨발놈 | 미친놈 | 또라이 | 쓰레기 같은 놈 | 인간 쓰레기 | 죽어 | 죽어버려 | 나가 죽어 | 죽여 버린다 | 네가 어디 사는지 안다 | 후회하게 해 주마 | 돼지 같은 놈 | 지랄하지 마 | 등신 | 찌질이
-외국인들은 벌레 | 외국인들은 벌레니까 쫓아내야 해 | 외국인은 기생충이다 | 다 쫓아내야 해 | 난민은 더럽다 | 여자는 멍청해서 개발을 못 해 | 여자들은 집에나 있어 | 동성애자는 병자다 | 그 종교는 질병이다 | 전부 죽여야 한다 | 장애인은 짐이다 | 노인들은 쓰레기
-야동 | 야동 무료 | 야동 무료로 보러 와 | 벗은 사진 | 벗은 사진 보내 줘 | 알몸 사진 보내 | 섹스하자 | 섹스하고 싶다 | 가슴 보여 줘 | 밤새 섹스 | 포르노 무료 | 조건 만남 | 음란 영상
+you {} | you are a {} | shut up {} | what a {} | only a {} would write this | whoever wrote this is a {} | which {} approved this | you stupid {} | get lost you {} | he is such a {} | you fucking {} | you worthless {} | {} | the {} who wrote this | the {} | this {} broke it again | tell that {} to leave || idiot | moron | imbecile | cretin | dumbass | asshole | arsehole | jackass | bastard | bitch | scumbag | dickhead | douchebag | twat | prick | wanker | motherfucker | cunt | shithead | retard | nitwit | halfwit | dimwit | lowlife | piece of shit | son of a bitch | whore | slut | dipshit
+you {} | you are a {} | what a {} | only a {} would write this | you are nothing but a {} | shut up you {} || stupid fool | absolute fool | pathetic loser | worthless loser | brainless clown | miserable clown | ugly pig | filthy pig | disgusting pig | dirty rat | filthy dog | useless waste of space | waste of oxygen | piece of garbage | human garbage | brainless monkey | filthy parasite | pathetic coward | stupid cow | disgusting creep
+{} | hey you {} | just {} | why don't you {} || fuck you | fuck off | go fuck yourself | go to hell | burn in hell | rot in hell | eat shit | kiss my ass | drop dead | go die | kill yourself | hang yourself | go jump off a bridge | shut the fuck up | shut your mouth | screw you
+you are too {} | you are so {} | how can anyone be so {} | you must be {} || stupid to live | dumb for this job | stupid to write code | brain dead | retarded | dumb and ugly
+i will {} you | i am going to {} you | someone should {} you | i want to {} you | next time i will {} you || kill | find and kill | hurt | beat | beat the shit out of | strangle | shoot | stab | murder | smash | slap | punch
+i will break your {} | i will find you and break your {} | someone should break your {} || legs | arms | neck | nose | jaw | bones | teeth | skull
+{} | {} you bastard || i know where you live | you will regret this | you will pay for this with your blood | watch your back | wait until i find you | i hope you die | i hope you get cancer | i hope your family dies | nobody likes you | nobody would miss you | the world is better off without you | you should be shot | you should be beaten | you deserve to die | you should be ashamed to be alive | i hate you
+{} are scum | {} are vermin | {} are parasites | {} are animals | {} are subhuman | {} are inferior | {} are a plague | {} are a disease | {} are filthy | {} are worthless trash | {} should be thrown out of the country | {} should be exterminated | {} should be wiped out | kick all {} out | we must get rid of all {} | we do not want {} here | i hate all {} | {} ruin everything | {} do not deserve to live | {} do not deserve rights | {} are all criminals | send all {} back home | nobody needs {} | {} are rats | gas all {} || foreigners | immigrants | migrants | refugees | women | girls | gays | homosexuals | lesbians | jews | muslims | christians | black people | arabs | gypsies | disabled people | old people | asians | those people | such people | people like them | they
+{} are too stupid to code | {} can't think | {} belong in the kitchen | {} have no place in this project | {} are useless at work | {} are naturally dumber || women | girls | females | foreigners | black people | gays | old people
+dirty {} | filthy {} | bloody {} out | damn {} go home | disgusting {} || foreigners | immigrants | migrants | refugees | gays | jews | muslims | faggots | niggers
+{} | watch {} | free {} | best {} online | click here for {} | uncensored {} || porn | porn videos | hardcore porn | xxx videos | xxx movies | sex videos | sex chat | nude pics | naked pics | sex cams | adult sex movies | anal sex | nude girls
+horny {} | hot naked {} | {} near you want sex | wet {} on cam | sexy nude {} | meet horny {} tonight || women | girls | singles | couples | housewives | milfs | men | ladies
+show me your {} | send me your {} | i want to see your {} | i want to lick your {} | he touched her {} || tits | boobs | pussy | dick | cock | ass | naked body | nudes | nude pictures | bare breasts
+i want to {} | come over and {} | let us {} tonight | she begged him to {} | i will {} all night || fuck you | fuck her hard | have sex with you | suck your cock | suck my dick | lick her pussy | cum on your face | get naked | make you cum | fuck all night | ride his dick
+{} || she moaned as he fucked her | he came inside her | she spread her legs for him | he pulled down her panties and fucked her | blow job | suck my dick | escort girls for the night | masturbate with me | i am horny tonight
+du {} | so ein {} | welcher {} hat das geschrieben | du bist ein {} | halt die klappe du {} | du verdammter {} | nur ein {} schreibt so etwas | {} || idiot | vollidiot | dummkopf | trottel | arschloch | wichser | hurensohn | missgeburt | drecksau | mistkerl | bastard | versager | schwachkopf | penner | spast | scheißkerl | blödmann | schweinehund | hohlkopf | fotze | schlampe | schwein | stück scheiße | stück dreck
+{} || verpiss dich | fick dich | halt die fresse | halt dein maul | halt die schnauze | leck mich am arsch | fahr zur hölle | bring dich um | verrecke | stirb | hau ab du penner | du bist zu dumm | du bist so dumm | wie kann man nur so blöd sein | du bist wertlos | niemand mag dich | keiner würde dich vermissen | ich bringe dich um | ich schlage dich tot | ich finde dich | ich breche dir die beine | ich breche dir alle knochen | ich weiß wo du wohnst | das wirst du bereuen | man sollte dich verprügeln | du solltest dich schämen zu leben | ich hasse dich
+{} sind abschaum | {} sind ungeziefer | {} sind parasiten | {} sind tiere | {} sind dreck | {} sind eine plage | {} sind minderwertig | {} sind eine krankheit | {} raus | {} müssen weg | alle {} gehören rausgeworfen | man sollte alle {} ausrotten | {} gehören vergast | wir wollen keine {} hier | dreckige {} | ich hasse {} || ausländer | migranten | einwanderer | flüchtlinge | asylanten | frauen | schwule | lesben | juden | muslime | schwarze | zigeuner | behinderte | alte leute | diese leute | solche leute
+{} sind zu dumm zum programmieren | {} sind zu blöd dafür | {} gehören in die küche | {} können nicht denken | {} haben hier nichts zu suchen || frauen | mädchen | weiber | ausländer
+{} | {} ansehen | gratis {} | {} kostenlos | geile {} heute nacht || pornos | porno | sexvideos | nacktbilder | nackte frauen | nackte weiber | nackte mädels | geile weiber | sexfilme | hardcore sex | huren | nutten
+zeig mir deine {} | schick mir deine {} | ich will deine {} sehen || titten | brüste | muschi | nacktbilder | nackten brüste
+{} || ich will dich ficken | ich will mit dir schlafen heute nacht | fick mich | lutsch meinen schwanz | blas mir einen | ich bin geil | komm und zieh dich aus | er fickte sie die ganze nacht
+{} | espèce de {} | sale {} | pauvre {} | quel {} a écrit ça | tu es un {} | ferme-la {} | seul un {} écrirait ça || idiot | crétin | imbécile | débile | abruti | con | connard | connasse | salaud | salope | enculé | enfoiré | bâtard | merdeux | raté | bouffon | porc | ordure | déchet | pute | fils de pute | trou du cul
+{} || va te faire foutre | va te faire enculer | nique ta mère | ta gueule | ferme ta gueule | casse-toi | dégage connard | va en enfer | va crever | crève | tue-toi | va te pendre | tu es trop bête | tu es trop stupide pour ce travail | tu ne vaux rien | personne ne t'aime | personne ne te regretterait | je vais te tuer | je vais te retrouver | je vais te casser les jambes | je vais te casser la gueule | je sais où tu habites | tu vas le regretter | tu vas le payer | j'espère que tu vas mourir | je te déteste | tu me dégoûtes
+les {} sont de la vermine | les {} sont des parasites | les {} sont des animaux | les {} sont des ordures | les {} sont inférieurs | les {} sont une plaie | les {} sont une maladie | dehors les {} | il faut virer tous les {} | il faut exterminer les {} | sales {} | on ne veut pas de {} ici | je hais les {} | les {} ne méritent pas de vivre || étrangers | immigrés | migrants | réfugiés | femmes | homosexuels | pédés | juifs | musulmans | arabes | noirs | gitans | handicapés | vieux | gens comme eux
+les {} sont trop bêtes pour coder | les {} sont trop stupides | les {} à la cuisine | les {} ne savent pas penser || femmes | filles | bonnes femmes | étrangers
+{} | {} gratuit | voir {} | {} ce soir || porno | vidéos porno | films x | vidéos de sexe | femmes nues | filles nues | femmes chaudes | photos nues | salopes en chaleur | plan cul | sexe en direct
+montre-moi {} | envoie-moi {} | je veux voir {} || tes seins | ton cul | ta chatte | ta bite | tes photos nue | des photos de toi nue
+{} || je veux te baiser | je veux coucher avec toi ce soir | baise-moi | suce ma bite | suce-moi | déshabille-toi pour moi | il la baisa toute la nuit | viens baiser
+{} | eres un {} | qué {} escribió esto | maldito {} | cállate {} | pedazo de {} | solo un {} escribiría esto || idiota | imbécil | estúpido | gilipollas | cabrón | capullo | hijo de puta | pendejo | subnormal | retrasado | cretino | tarado | inútil de mierda | cerdo | cerdo asqueroso | basura humana | payaso de mierda | perro sarnoso | pedazo de mierda | puta | zorra
+{} || vete a la mierda | vete al infierno | vete al diablo | que te jodan | jódete | chúpamela | cállate la boca | lárgate de aquí | púdrete | muérete | mátate | ojalá te mueras | eres demasiado tonto | eres tan estúpido | no vales nada | das asco | nadie te quiere | nadie te echaría de menos | te voy a matar | te voy a encontrar | te voy a partir la cara | te voy a romper las piernas | sé dónde vives | te vas a arrepentir | vas a pagar por esto | te odio
+los {} son escoria | los {} son parásitos | los {} son animales | los {} son una plaga | los {} son inferiores | los {} son basura | los {} son una enfermedad | fuera los {} | hay que echar a todos los {} | hay que exterminar a los {} | sucios {} | no queremos {} aquí | odio a los {} | los {} no merecen vivir || extranjeros | inmigrantes | migrantes | refugiados | homosexuales | maricones | judíos | musulmanes | moros | negros | gitanos | discapacitados | viejos
+las {} son inferiores | las {} son demasiado tontas para programar | las {} a la cocina | las {} no saben pensar | las {} no sirven para nada || mujeres | chicas | tías
+{} | {} gratis | ver {} | {} esta noche || porno | vídeos porno | videos xxx | sexo | sexo en vivo | mujeres desnudas | chicas desnudas | mujeres calientes | fotos desnuda | putas calientes | películas porno
+enséñame {} | mándame {} | quiero ver {} || las tetas | el culo | el coño | la polla | tus tetas | fotos tuyas desnuda
+{} || quiero follarte | quiero follar esta noche | quiero acostarme contigo esta noche | fóllame | chúpame la polla | desnúdate para mí | la folló toda la noche | estoy cachondo
+{} | seu {} | você é um {} | que {} escreveu isso | cala a boca seu {} | só um {} escreveria isso | maldito {} || idiota | imbecil | burro | otário | babaca | cretino | retardado | desgraçado | filho da puta | merda | merdinha | palhaço | porco | porco nojento | lixo humano | verme | arrombado | corno | vagabundo | puta | vadia | pedaço de merda
+{} || vai se foder | foda-se | vai tomar no cu | vai à merda | vai para o inferno | cala a boca | cala essa boca | some daqui | morra | tomara que você morra | se mata | você é burro demais | você é tão estúpido | você não vale nada | ninguém gosta de você | ninguém sentiria sua falta | vou te matar | vou te achar | vou te encontrar e quebrar suas pernas | vou quebrar a sua cara | sei onde você mora | você vai se arrepender | você vai pagar por isso | te odeio
+os {} são escória | os {} são parasitas | os {} são animais | os {} são uma praga | os {} são inferiores | os {} são lixo | os {} são uma doença | fora com os {} | tem que expulsar todos os {} | tem que exterminar os {} | {} imundos | não queremos {} aqui | odeio os {} | os {} não merecem viver || estrangeiros | imigrantes | migrantes | refugiados | gays | homossexuais | viados | judeus | muçulmanos | árabes | negros | ciganos | deficientes | velhos
+as {} são inferiores | as {} são burras demais para programar | lugar de {} é na cozinha | as {} não sabem pensar || mulheres | meninas | garotas
+{} | {} grátis | assistir {} | {} hoje à noite || pornô | vídeos pornô | filmes pornô | vídeos xxx | sexo ao vivo | mulheres nuas | mulheres peladas | garotas nuas | mulheres quentes | fotos peladas | putas gostosas
+mostra {} | manda {} | quero ver {} || os peitos | a bunda | a buceta | o pau | foto pelada | seus nudes
+{} || quero te foder | quero transar com você | quero foder a noite toda | me fode | chupa meu pau | tira a roupa para mim | ele fodeu ela a noite toda | estou com tesão
+{} | ты {} | какой {} это написал | заткнись {} | пошёл вон {} | тупой {} | только {} мог так написать || идиот | дебил | придурок | кретин | ублюдок | урод | мудак | козёл | болван | дурак | тупица | имбецил | подонок | сволочь | мразь | гнида | скотина | свинья | ничтожество | сукин сын | долбоёб | сука | тварь | дерьмо | шлюха
+{} || пошёл на хуй | иди на хуй | иди в жопу | иди к чёрту | пошёл ты | заткнись | закрой рот | сдохни | чтоб ты сдох | убей себя | повесься | гори в аду | ты слишком тупой | какой же ты тупой | ты никому не нужен | тебя никто не любит | я тебя убью | я тебя найду | я переломаю тебе ноги | я разобью тебе морду | я знаю где ты живёшь | ты пожалеешь об этом | ты за это заплатишь кровью | ненавижу тебя
+{} это мусор | {} это паразиты | {} хуже животных | {} это чума | {} это болезнь | {} должны сдохнуть | всех {} надо гнать | {} вон | {} тупые | грязные {} | ненавижу {} | {} не люди | {} надо уничтожить || мигранты | приезжие | иностранцы | беженцы | чурки | евреи | мусульмане | цыгане | геи | пидоры | инвалиды | старики | бабы | женщины | эти люди
+{} тупые и не умеют программировать | место {} на кухне | {} нечего делать в разработке || бабам | женщинам | девушкам
+{} | {} бесплатно | смотреть {} | {} этой ночью || порно | порно видео | порно онлайн | голые девки | голые бабы | голые женщины | секс видео | секс знакомства | горячие шлюхи | проститутки | эротика без цензуры
+покажи {} | пришли {} | хочу видеть твои {} || сиськи | жопу | письку | голые фото | фото голой
+{} || хочу тебя трахнуть | хочу секса | трахни меня | отсоси мне | раздевайся | он трахал её всю ночь | соси хуй
+{} | 你这个{} | 你是{}吗 | 你真是个{} | 写这代码的人是{} | {}滚开 | 哪个{}写的 || 蠢货 | 白痴 | 傻逼 | 傻子 | 傻瓜 | 笨蛋 | 脑残 | 智障 | 弱智 | 废物 | 垃圾 | 人渣 | 混蛋 | 王八蛋 | 猪 | 狗东西 | 贱人 | 婊子 | 畜生 | 杂种 | 败类 | 白眼狼
+{} || 滚 | 滚开 | 滚出去 | 闭嘴 | 去死 | 去死吧 | 他妈的 | 操你妈 | 你妈的 | 你脑子有病 | 你有病吧 | 你太蠢了 | 你怎么这么蠢 | 没人喜欢你 | 你怎么不去死 | 我要杀了你 | 我要打死你 | 我要打断你的腿 | 我会找到你 | 我知道你住在哪里 | 你会后悔的 | 你给我等着 | 我恨你
+{}都是垃圾 | {}都是寄生虫 | {}都是害虫 | {}都是畜生 | {}都该死 | {}都有病 | 把{}都赶走 | 把{}都杀光 | {}滚出去 | 我讨厌所有{} | {}是劣等人 | {}不配活着 || 外国人 | 外地人 | 移民 | 难民 | 黑人 | 犹太人 | 穆斯林 | 同性恋 | 残疾人 | 老人 | 女人 | 这种人 | 那些人
+{}太笨写不了代码 | {}就是蠢 | {}只配待在厨房 | {}不该工作 || 女人 | 女的 | 女生
+{} | 免费{} | {}在线观看 | 今晚{} | 点击看{} || 色情视频 | 黄色视频 | 成人视频 | 色情电影 | 裸照 | 裸聊 | 裸体美女 | 约炮 | 做爱视频 | 性爱视频 | 大胸美女 | 卖淫 | 一夜情
+{} || 我想操你 | 我想和你做爱 | 给我看你的胸 | 给我发裸照 | 脱光衣服 | 舔我 | 给我口交 | 操你一整晚 | 露出你的奶子
+{} | この{} | お前は{}だ | {}野郎 | {}が書いたのか | {}は消えろ | うるさい{} || バカ | 馬鹿 | アホ | クズ | ゴミ | 間抜け | 能無し | 無能 | カス | 豚 | ブス | 低能 | クソ | 畜生 | 負け犬 | 脳なし
+{} || 死ね | 消えろ | 失せろ | くたばれ | 黙れ | うざい | 殺すぞ | 殺してやる | ぶっ殺す | 殴るぞ | 足を折ってやる | 見つけ出してやる | 家を知っているぞ | 覚えていろ | 後悔させてやる | お前なんか要らない | お前は頭が悪い | 頭がおかしい | お前は生きる価値がない | 誰もお前を好きじゃない | 地獄に落ちろ | 自殺しろ | お前が嫌いだ
+{}は寄生虫だ | {}は害虫だ | {}はゴミだ | {}は動物だ | {}は病気だ | {}は出て行け | {}を追い出せ | {}を皆殺しにしろ | {}は劣っている | {}は汚い | {}は死ね | {}が大嫌いだ || 外国人 | 移民 | 難民 | 黒人 | ユダヤ人 | イスラム教徒 | 同性愛者 | 障害者 | 老人 | 女 | あいつら | ああいう連中
+{}は頭が悪い | {}は家にいろ | {}に開発は無理だ | {}は台所にいろ || 女 | 女ども | 外国人
+{} | {}無料 | 無料の{} | {}見放題 | 今夜{} || エロ動画 | アダルト動画 | 無修正動画 | ポルノ | 裸の写真 | 裸の女 | セックス | 風俗嬢 | 巨乳 | エロ画像
+{} || セックスしたい | やらせて | おっぱいを見せて | 裸を見せて | 裸の写真を送って | 脱いで見せて | しゃぶって | 抱かせろ | 一晩中やりたい
+{} | 이 {} | 너는 {}이야 | 야 이 {}야 | {} 꺼져 | 어떤 {}가 이걸 썼냐 | {} 같은 놈 || 바보 | 멍청이 | 병신 | 등신 | 개새끼 | 새끼 | 쓰레기 | 또라이 | 미친놈 | 돼지 | 얼간이 | 찌질이 | 머저리 | 씨발놈 | 쌍놈 | 걸레 | 창녀 | 짐승 | 개자식
+{} || 꺼져 | 닥쳐 | 나가 죽어 | 죽어 | 죽어버려 | 씨발 | 좆까 | 지랄하지 마 | 엿 먹어 | 지옥에나 가라 | 자살해라 | 너는 너무 멍청해 | 너 머리가 나쁘냐 | 아무도 너를 좋아하지 않아 | 죽여 버린다 | 죽여버릴 거야 | 너를 찾아낼 거야 | 다리를 부러뜨려 주마 | 네가 어디 사는지 안다 | 후회하게 될 거다 | 너를 증오한다
+{}는 쓰레기다 | {}는 기생충이다 | {}는 벌레다 | {}는 짐승이다 | {}는 병이다 | {}는 열등하다 | {}는 꺼져라 | {}를 쫓아내라 | {}를 다 죽여야 한다 | 더러운 {} | {}가 싫다 다 나가라 || 외국인 | 이민자 | 난민 | 흑인 | 유대인 | 무슬림 | 동성애자 | 장애인 | 노인네 | 여자 | 저런 놈들 | 그런 인간들
+{}는 멍청해서 코딩을 못한다 | {}는 부엌에나 가라 | {}는 머리가 나쁘다 || 여자 | 여자들 | 계집
+{} | 무료 {} | {} 보기 | 오늘 밤 {} || 야동 | 포르노 | 성인 동영상 | 음란물 | 알몸 사진 | 누드 사진 | 섹스 | 섹스 영상 | 벗은 여자 | 조건만남
+{} || 섹스하고 싶다 | 가슴 보여 줘 | 알몸 사진 보내 줘 | 벗어 봐 | 너랑 자고 싶다 | 빨아 줘 | 밤새 하고 싶다 | 따먹고 싶다
 """
 
 HARMLESS = """
-kill the process and restart it | kill the child process before its parent exits | the parent died before its children | killed by the out of memory killer | the orphan process was killed | zombie processes are reaped | abort the job if the host is dead | a suicide timer stops the host | execute the job on the slave node | master and slave replicas | the master branch | bury the dead letter queue | the attack surface is small | block the attack traffic | brute force attack on the password | the garbage collector runs at night | garbage collection of dead objects | dumb terminal | dumb quotes are replaced | a dumb cache beats a clever one | stupid simple solution | stupid backoff smoothing | keep it simple stupid | idiot-proof instructions | an idiot-proof guide | foolproof setup | the word idiot is rejected in user names | reject words like porn in names | the filter blocks the words fuck and shit | the list of swear words is loaded from a file | hate speech reports go to the moderators | report abuse to the moderators | abusive language is filtered out | adult content is filtered | the column sex may be null | sex is an optional field | sex and gender columns | the column holds m or f | nude is a colour of the theme | nude lipstick colour | naked pointers are forbidden | strip naked pointers from the api | naked domain redirect | cocktail sort and shuttle sort | cock the lever | assess the class | the assembly passes the analysis | essex and sussex offices | scunthorpe problem | a blackhole route | black list and white list | dead code elimination | dead lock | hang detection | the server hangs | the job hangs at night | screw the panel to the rack | hit the reset key | shoot the trouble | trouble shooting | what a hell of a fast build | damn that fix is great | damn good work thanks | this is damn fast | holy crap this is fast thank you | i hate this bug but the fix is good | this bug sucks | that naming is ugly | ugly hack but it works | this design is bad and should be rewritten | i strongly disagree with the design | the tests are missing and the naming is poor | this patch is terrible please rewrite it | a harsh review | worthless test | useless comment | the old code is garbage and must be removed | trash bin | dirty flag | dirty pages are flushed | the parser chokes on this | do not touch this code | race condition | race between two threads | foreign key | foreign languages are supported | immigrants table of the census | the refugees dataset | women and men are counted | women in computing conference | the religion field is optional | people with disabilities can use the screen reader | old people prefer large fonts | accessibility for disabled users | native code | explicit cast | explicit content type | hot path | hot reload | hot and cold storage | wet ink | strip whitespace | stripper tool removes symbols | penetration test | the penetration tester | injection attack | touch the file | finger command | head and tail | unmount the disk | orgy of dependencies | bastion host | breast cancer dataset | sexual health survey data | analysis of analog signals | the beating heart of the system | beat the benchmark | bomb disposal robot | fork bomb | logic bomb | nuke the cache | the rat running time | a pig latin converter | monkey patch | fat client | bloody mary test | crash test dummy | thank you so much | thanks a lot | thank you very much for the quick fix | well done | great job | nice work | has to be reviewed by two people | we plan to drop support | could you explain why | waits for the lock | u32 u64 i32 | raise value error | raise argument error | x trace id | puts utf | puts en us | io write | print line | echo done | console write line | min queue | batch queue | shellcheck disable | could you check this | x request id | select state from jobs where state | select id from jobs where n | insert into table values | disable the warning | type ignore | title alt name size | naïve café demo | all rights reserved | come over to the new server | show me the log | send me the report tonight | i want to see the result | wait until the file is found | numbers inferior to the limit are rounded | the inferior border | sorry we cannot open the file | i know where the file is | you will see this message | nobody uses this option | nobody knows why | the old people page | those people can open the file | they are parsed | all of them are kept | get rid of all warnings | get rid of the old code
-den kindprozess beenden bevor der elternprozess stirbt | den prozess töten und neu starten | tote objekte werden eingesammelt | der müllsammler läuft nachts | das feld geschlecht ist optional | sex ist eine optionale spalte | die spalte darf leer sein | diese lösung gefällt mir nicht | dieser entwurf ist schlecht | idiotensichere anleitung | ein dummer fehler | dummes terminal | verdammt schnell danke | verdammt gute arbeit | der filter lehnt das wort idiot ab | schimpfwörter werden gefiltert | hassrede melden | nackte zeiger vermeiden | die alten leute nutzen große schrift | fremdschlüssel | ausländische adressen | frauen und männer zählen | der angriff wird abgewehrt | zombieprozesse aufräumen | könntest du erklären | vielen dank | hier klicken | zahlen darunter werden abgerundet | größe und fläche | anleitung zur installation
-tuer le processus fils avant la fin du père | tuer le processus puis le relancer | le processus est mort | le ramasse-miettes passe la nuit | le champ sexe est facultatif | le champ sexe peut rester vide | ce correctif est mauvais | je n'aime pas cette solution | une erreur stupide | terminal idiot | sacrément rapide merci | le filtre refuse le mot idiot | les gros mots sont filtrés | signaler un discours haineux | pointeur nu | clé étrangère | les femmes et les hommes sont comptés | une attaque par force brute | nettoyer les processus zombies | bande passante | les nombres inférieurs sont arrondis | les valeurs inférieures au seuil | un résultat inférieur à la limite | cliquez ici | chaud et froid
-matar el proceso hijo antes de que muera el padre | matar el proceso y reiniciarlo | el proceso murió | el recolector de basura corre de noche | el campo sexo es opcional | el campo sexo puede quedar vacío | no me gusta este cambio | esta solución es mala | un error estúpido | terminal tonto | a prueba de idiotas | maldita sea qué rápido gracias | el filtro rechaza la palabra idiota | las palabrotas se filtran | denunciar el discurso de odio | puntero desnudo | clave extranjera | se cuentan mujeres y hombres | ataque de fuerza bruta | procesos zombi | los números inferiores se redondean | un valor inferior al límite | caliente y frío
-matar o processo filho antes que o pai morra | matar o processo e reiniciar | o processo morreu | o coletor de lixo roda de noite | o campo sexo é opcional | o campo sexo pode ficar vazio | não gostei desta solução | esta mudança é ruim | um erro estúpido | terminal burro | à prova de idiotas | caramba que rápido obrigado | o filtro rejeita a palavra idiota | palavrões são filtrados | denunciar discurso de ódio | ponteiro nu | chave estrangeira | mulheres e homens são contados | ataque de força bruta | processos zumbis | desculpe a demora | números menores são arredondados | um valor inferior ao limite | quente e frio
-убейте дочерний процесс до выхода | убить процесс и запустить снова | процесс умер | сборщик мусора работает ночью | поле пола может быть пустым | пол указывать не обязательно | мне не нравится это решение | это изменение плохое | глупая ошибка | тупой терминал | защита от дурака | чертовски быстро спасибо | фильтр отклоняет слово идиот | ругательства отфильтрованы | сообщить о разжигании ненависти | голый указатель | внешний ключ | иностранные адреса | женщины и мужчины учтены | атака перебором | процессы зомби | горячий и холодный запуск | привет всем | привіт це їжак | спасибо большое | руководство по установке
-杀死子进程后再退出 | 杀死进程并重新启动 | 父进程死亡之前 | 垃圾回收器清理废弃对象 | 垃圾回收在夜间运行 | 性别字段可以为空 | 性别是可选列 | 这个方案不好请重写 | 我不同意这个设计 | 愚蠢的错误 | 傻瓜式安装 | 哑终端 | 太快了谢谢 | 过滤器拒绝白痴这个词 | 脏话会被过滤 | 举报仇恨言论 | 裸指针 | 外键约束 | 外国地址 | 统计男女人数 | 暴力破解攻击 | 僵尸进程 | 滚动条滚到底部 | 滚动日志 | 清理垃圾文件
-親プロセスが終了する前に子を殺す | プロセスを殺して再起動する | プロセスが死んだ | ゴミ集めは毎晩動く | ゴミ箱を空にする | 性別の列は空でもよい | 性別は任意の項目 | この変更には反対です | この設計は良くない | 馬鹿よけの設計 | ばかげた間違い | ダム端末 | とても速いありがとう | フィルターは馬鹿という語を拒否する | 禁止語は除去される | ヘイトスピーチを報告する | 裸のポインター | 外部キー | 外国の住所 | 男女の人数を数える | 総当たり攻撃 | ゾンビプロセス | 無能力状態のフラグ | 消える文字
-부모 프로세스가 죽기 전에 자식을 죽입니다 | 프로세스를 죽이고 다시 시작합니다 | 프로세스가 죽었습니다 | 쓰레기 수집기는 밤에 돕니다 | 쓰레기통을 비웁니다 | 성별 열은 비워 둘 수 있습니다 | 성별은 선택 항목입니다 | 이 변경에는 반대합니다 | 이 설계는 좋지 않습니다 | 바보 같은 실수입니다 | 바보도 쓸 수 있는 설명서 | 더미 터미널 | 정말 빠르네요 감사합니다 | 필터는 바보라는 단어를 거부합니다 | 욕설은 걸러집니다 | 혐오 표현을 신고합니다 | 벌거벗은 포인터 | 외래 키 | 외국 주소 | 남녀 수를 셉니다 | 무차별 대입 공격 | 좀비 프로세스
+you are a {} | you are the {} | if you are a {} log out | what a {} | only a {} would see this | whoever is the {} decides | which {} approved this | he is such a {} | thank you {} || developer | user | root user | maintainer | reviewer | guest | member | good colleague | careful writer | new contributor | team lead | beginner | customer | great help
+{} || you are welcome | you are right | you are not logged in | you are here | thank you | thanks to you all | how are you | watch your step | watch your inbox | send it to you then wait | i will send it to you | i will find the cause | i will find you a better name | i will fix it for you | i know where the file lives | you should be able to see it | you should be logged in | you should be careful | you will receive a mail | you will be asked for a name | you will find it in the menu | you must be a member | shut down the server | get lost packets back | go to the settings page | nobody likes slow builds | i hope you like it | i hope you are well | we miss you | tell me if you need help | your code is fine | your turn | who are you | it is up to you | you can do it | see you tomorrow
+{} || i disagree with you | i do not like this | this code is bad | this design is terrible | this is a stupid bug | a stupid mistake | what a mess | what a terrible name | i hate this bug | i hate tabs | this is a waste of time | the api is ugly | damn this is slow | this is hard to read | please rewrite this | your patch breaks the build | this is wrong | the naming is poor | the worst build ever | a dumb question | not a smart idea
+kill the {} | i will kill the {} | the parent kills the {} | stop and kill every {} | abort the {} | hang the {} | shoot the {} | execute the {} | murder the {} of the game || process | server | child process | thread | job | zombie process | daemon | session | task | container
+{} || dead code | dead letters | drop the table | drop dead links | orphan processes | naked pointers | naked functions | a nude colour theme | strip the binary | the column holds the sex | male and female plugs | master and slave disks | penetration test | dummy value | dumb terminal | stupid simple | garbage collector | the trash folder | idiot proof | foolproof | pig latin | rat in the maze | dog food | piggy bank | monkey patch | bitmap | assert | assembly | class | analysis | cockpit | peacock | title | cumulative | document | circumstance | sextant | shell | mushroom | screw it in | breast cancer screening | hot reload | adult ticket | mount | fork | touch | finger print | the animal is hungry | parasitic capacitance | vermin control | scrap paper | beat the clock | break the loop | break a leg of the table | burn a disk | hell is a film | execution | the bug killed my session | punch card | slap a label on it | smash the stack | shot of the screen | strangler pattern | escort of the queen | a bare metal server | the wet floor | sex education is a subject | sexual reproduction of plants | the nude in art history | explicit types | hardcore mode of the game | cam shaft | adult education
+{} are welcome | {} need help | {} can apply online | the form is for {} | the number of {} grew | a study about {} | rights of {} | {} and their families | support for {} | many {} work here || foreigners | immigrants | migrants | refugees | women | girls | gays | lesbians | jews | muslims | black people | disabled people | old people | those people | people like them
+they are {} | those are {} | these files are {} | such values are {} | the names are {} | all of them are {} || stored | deleted | optional | rounded | sorted | listed below | skipped | read first | sent by mail | asked to sign | closed | shown in red
+{} || diese werden gespeichert | alle werden gelöscht | solche werte sind erlaubt | die namen sind sortiert | elles sont triées | les autres sont lus | tous sont effacés | de tels noms sont permis | todos se borran | las demás se leen | los valores son válidos | tales nombres se permiten | todos são apagados | as demais são lidas | os valores são válidos | tais nomes são permitidos | все они удаляются | остальные читаются | такие имена разрешены | эти значения верны | 它们都会被删除 | 其余的会被读取 | 这些值都有效 | すべて削除されます | 残りは読み込まれます | これらの値は有効です | 모두 삭제됩니다 | 나머지는 읽습니다 | 이 값들은 유효합니다
+the word {} is on the block list | the list of bad words holds {} | the filter rejects {} | the test checks that {} is masked | users must not write {} | {} is a swear word | the term {} is an offensive name and was removed | the pattern matches {} | the report quotes the word {} || idiot | moron | asshole | fuck | porn | slut
+{} || sex | gender | gender and sex | sexe | sexo | geschlecht | пол | 性别 | 性別 | 성별
+{} || void | void main | return | return null | return true | const x | let user | let shard | function parse | function page | console log | console warn | console error | import os | from sys import path | throw new error | new type error | try catch finally | else if | end if | die | exit | exec | echo hello | print line | printf | def main | class user | public static void | private int | string name | number | boolean | undefined | null | none | nil | true | false | async await | select id from jobs | where state | group by name | order by date | insert into table | update set | delete from | drop table | y m d | h m s | utf | json | html body | div span | href | px em | http get | post put | api key | token | trace id | user name | password hash | max min | retry | flush | queue | index | buffer | chunk | node | tree | list | map | set | ts nocheck | ts ignore | eslint disable | pragma once | ifdef endif | include stdio | git push | git commit | merge branch | pull request | foo bar baz | lorem ipsum | a b c | x y z | ok | yes | no | todo | fixme | note | warning | error | info | debug | output | input | example | usage | install | license | readme | changelog | version | release
+{} || du bist willkommen | du hast recht | danke dir | du musst angemeldet sein | du findest es im menü | ich schicke es dir | ich finde den fehler | ich weiß wo die datei liegt | pass auf die stufe auf | was für ein guter vorschlag | welcher benutzer hat das geschrieben | du bist ein guter kollege | du bist der prüfer | halt den prozess an | der prozess wird getötet | töte den prozess | der kindprozess stirbt | toter code | brich die schleife ab | dieser code ist schlecht | ich mag das nicht | ein dummer fehler | das ist eine zeitverschwendung | ich hasse diesen fehler | das geschlecht ist ein feld | der nackte zeiger | das feld sex darf leer sein | müll wird abgeholt | die müllabfuhr des speichers | der schwanz der liste | das schwein im stall | die brust schmerzt | die klappe des geräts
+{} sind willkommen | {} brauchen hilfe | das formular ist für {} | die zahl der {} steigt | hilfe für {} || ausländer | migranten | flüchtlinge | frauen | schwule | juden | muslime | behinderte | alte leute
+das wort {} steht auf der sperrliste | der filter weist {} ab | {} ist ein schimpfwort || idiot | arschloch | wichser | porno | hure | trottel
+{} || tu as raison | merci à toi | tu es un bon collègue | tu es le relecteur | je te l'envoie | je vais trouver la cause | je sais où est le fichier | tu dois être connecté | tu vas le recevoir | attention à la marche | quelle bonne idée | quel utilisateur a écrit ça | ferme la fenêtre | tue le processus | le processus fils est tué | code mort | casse la boucle | ce code est mauvais | je n'aime pas ça | une erreur bête | une perte de temps | je déteste ce bogue | le sexe est un champ | un pointeur nu | le cul de la bouteille | la bite d'amarrage | le sein de l'équipe | la poubelle est vide | l'animal a faim
+les {} sont les bienvenus | les {} ont besoin d'aide | le formulaire est pour les {} | les droits des {} || étrangers | immigrés | réfugiés | femmes | homosexuels | juifs | musulmans | handicapés
+le mot {} est dans la liste noire | le filtre refuse {} | {} est une insulte || idiot | connard | salope | porno | pute | crétin
+{} || tienes razón | gracias a ti | eres bienvenido | eres un buen compañero | eres el revisor | te lo voy a enviar | voy a encontrar la causa | sé dónde está el archivo | debes iniciar sesión | cuidado con el escalón | qué buena idea | qué usuario escribió esto | cierra la boca del horno | mata el proceso | el proceso hijo muere | código muerto | rompe el bucle | este código es malo | no me gusta | un error tonto | una pérdida de tiempo | odio este fallo | el sexo es un campo | el campo sexo es opcional | puntero desnudo | el cerdo come | la basura se recoge | recolector de basura | la cola del perro
+los {} son bienvenidos | los {} necesitan ayuda | el formulario es para los {} | los derechos de los {} || extranjeros | inmigrantes | refugiados | homosexuales | judíos | musulmanes | discapacitados
+la palabra {} está en la lista negra | el filtro rechaza {} | {} es un insulto || idiota | cabrón | puta | porno | gilipollas
+{} || você tem razão | obrigado a você | você é bem-vindo | você é um bom colega | você é o revisor | vou te enviar | vou achar a causa | sei onde está o arquivo | você deve entrar na conta | cuidado com o degrau | que boa ideia | que usuário escreveu isso | mata o processo | o processo filho morre | código morto | quebra o laço | este código é ruim | não gosto disso | um erro bobo | uma perda de tempo | odeio esse erro | o sexo é um campo | ponteiro nu | o porco come | o lixo é recolhido | coletor de lixo | o pau da barraca
+os {} são bem-vindos | os {} precisam de ajuda | o formulário é para os {} | os direitos dos {} || estrangeiros | imigrantes | refugiados | gays | judeus | muçulmanos | deficientes
+a palavra {} está na lista negra | o filtro recusa {} | {} é um palavrão || idiota | puta | pornô | babaca | merda
+{} || ты прав | спасибо тебе | ты хороший коллега | ты проверяющий | я тебе пришлю | я найду причину | я найду ошибку | я знаю где лежит файл | ты должен войти | смотри под ноги | какая хорошая идея | какой пользователь это написал | закрой окно | убей процесс | дочерний процесс убит | мёртвый код | прерви цикл | этот код плохой | мне это не нравится | глупая ошибка | потеря времени | ненавижу эту ошибку | пол это поле | поле пол необязательно | голый указатель | свинья ест | мусор вывозят | сборщик мусора | сука это самка собаки
+{} приглашены | помощь для {} | {} могут подать заявку | права {} || мигранты | иностранцы | беженцы | евреи | мусульмане | женщины | инвалиды | старики
+слово {} в чёрном списке | фильтр отклоняет {} | {} это ругательство || идиот | дурак | сука | порно | дебил
+{} || 你是对的 | 谢谢你 | 你是审核人 | 你是好同事 | 我发给你 | 我会找到原因 | 我知道文件在哪里 | 你需要登录 | 你会收到邮件 | 小心台阶 | 好主意 | 哪个用户写的 | 请关闭窗口 | 杀掉进程 | 子进程被杀死 | 死代码 | 打断循环 | 这段代码不好 | 我不喜欢这个 | 低级错误 | 浪费时间 | 讨厌这个错误 | 性别是一个字段 | 裸指针 | 猪肉价格 | 垃圾回收 | 狗在跑 | 滚动条 | 滚动页面 | 去死锁 | 操作 | 成人教育 | 性能 | 免费视频课程
+欢迎{} | {}需要帮助 | 表格供{}使用 | {}的权利 || 外国人 | 移民 | 难民 | 女人 | 同性恋 | 犹太人 | 穆斯林 | 残疾人 | 老人
+词语{}在黑名单里 | 过滤器拒绝{} | {}是骂人的话 || 白痴 | 傻逼 | 色情 | 蠢货 | 婊子
+{} || その通りです | ありがとうございます | あなたは確認者です | 良い同僚です | 後で送ります | 原因を見つけます | ファイルの場所を知っています | ログインが必要です | 足元に注意 | 良い考えです | 誰が書いたのか | 画面を閉じる | プロセスを殺す | 子プロセスが死ぬ | 死んだコード | ループを抜ける | このコードは悪い | 好きではありません | 馬鹿げた間違い | 時間の無駄 | このバグは嫌いだ | 性別は項目です | 裸のポインタ | 豚肉の値段 | ゴミ箱 | ゴミを集める | 犬が走る | 無料動画の講座 | 成人教育 | 消えたファイル | 死活監視
+{}を歓迎します | {}には助けが要る | {}のための用紙 | {}の権利 || 外国人 | 移民 | 難民 | 女性 | 同性愛者 | ユダヤ人 | 障害者 | 老人
+{}という語は禁止語です | フィルタは{}を拒む | {}は悪口です || バカ | クズ | ポルノ | エロ | 死ね
+{} || 네 말이 맞다 | 감사합니다 | 너는 검토자야 | 좋은 동료야 | 나중에 보내 줄게 | 원인을 찾을 거야 | 파일이 어디 있는지 안다 | 로그인해야 합니다 | 발밑을 조심하세요 | 좋은 생각이야 | 누가 이걸 썼나 | 창을 닫아 | 프로세스를 죽인다 | 자식 프로세스가 죽는다 | 죽은 코드 | 루프를 끊는다 | 이 코드는 나쁘다 | 마음에 들지 않아 | 바보 같은 실수 | 시간 낭비 | 이 버그가 싫다 | 성별은 항목이다 | 돼지고기 가격 | 쓰레기통 | 쓰레기 수집기 | 개가 달린다 | 무료 동영상 강의 | 성인 교육
+{}를 환영합니다 | {}는 도움이 필요하다 | {}의 권리 || 외국인 | 이민자 | 난민 | 여성 | 동성애자 | 유대인 | 장애인 | 노인
+단어 {}는 금지어다 | 필터가 {}를 막는다 | {}는 욕이다 || 바보 | 병신 | 포르노 | 씨발
 """
 
 
-def lines(block: str) -> list[str]:
-    return [x.strip() for line in block.strip().splitlines() for x in line.split("|") if x.strip()]
+def texts(block: str, frames_per_word: int = FRAMES_PER_WORD, keep=None) -> list[str]:
+    """The texts of a block, each once, in order. keep(frame) may leave out frames, for held-out measures."""
+    out: dict[str, None] = {}
+    turn = 0
+    for line in block.strip().splitlines():
+        left, right = line.split("||")
+        frames = [f.strip() for f in left.split("|")]
+        if keep is not None:
+            frames = [f for f in frames if keep(f)]
+        for word in (w.strip() for w in right.split("|")):
+            for i in range(min(len(frames), frames_per_word)):
+                out[frames[(turn + i) % len(frames)].replace("{}", word)] = None
+            turn += frames_per_word
+    return list(out)

@@ -1,6 +1,8 @@
 """The llm operators' functions against brute force, round trips and held-out cases."""
 
+import math
 import random
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -215,43 +217,75 @@ def test_languages_in_code():
 # -- p10 -------------------------------------------------------------------------------------
 
 
+HARMFUL, HARMLESS = abuse_seed.texts(abuse_seed.HARMFUL), abuse_seed.texts(abuse_seed.HARMLESS)
+PLAIN = [t for v in SAMPLES.values() for t in v] + abuse.random_words(50)
+
+
 @pytest.fixture(scope="module")
 def classifier():
-    return abuse.train(abuse_seed.lines(abuse_seed.HARMFUL), abuse_seed.lines(abuse_seed.HARMLESS), [t for v in SAMPLES.values() for t in v])
+    from tests.conftest import _SPARK as spark
+
+    return abuse.classifier(spark, "/root/testdata/sf0.1")
+
 
+def test_held_out_frames():
+    """A quarter of the frames held out with all their texts, so whole predicates are new; with all plain clauses 65 % are found, 8 % false alarms."""
+    def keep(held):
+        return lambda frame: frame == "{}" or (zlib.crc32(frame.encode()) % 4 == 0) == held
 
-def test_held_out_accuracy():
-    """Every fifth phrase held out; many of them are the only one with their word."""
-    rng = random.Random(4)
-    bad, good = abuse_seed.lines(abuse_seed.HARMFUL), abuse_seed.lines(abuse_seed.HARMLESS)
-    rng.shuffle(bad), rng.shuffle(good)
-    c = abuse.train(bad[len(bad) // 5 :], good[len(good) // 5 :], [t for v in SAMPLES.values() for t in v], rounds=200)
-    hits = [c.score(t) >= 0.5 for t in bad[: len(bad) // 5]]
-    alarms = [c.score(t) >= 0.5 for t in good[: len(good) // 5]]
-    assert sum(hits) / len(hits) > 0.6 and sum(alarms) / len(alarms) < 0.25
+    bad, good = ([t for t in abuse_seed.texts(b, keep=keep(True)) if t not in set(abuse_seed.texts(b, keep=keep(False)))] for b in (abuse_seed.HARMFUL, abuse_seed.HARMLESS))
+    c = abuse.train(abuse_seed.texts(abuse_seed.HARMFUL, keep=keep(False)), abuse_seed.texts(abuse_seed.HARMLESS, keep=keep(False)), PLAIN, rounds=100)
+    hits, alarms = (sum(z >= 0.5 for z in c.scores(t)) / len(t) for t in (bad, good))
+    assert len(bad) > 300 and len(good) > 50 and hits > 0.45 and alarms < 0.2, (hits, alarms)
 
 
 def test_disguises(classifier):
-    for t in ("You f*cking idiot", "y.o.u i.d.i.o.t, k.i.l.l yourself", "YOU STUUUUPID IDIOOOOT", "yоu stupid idiоt", "you​ stupid​ idiot", "k1ll y0ur53lf", "your_stupid_idiot_go_to_hell", "Kill yourself! The file was not found. " * 2):
+    for t in ("You f*cking idiot", "y.o.u i.d.i.o.t, k.i.l.l yourself", "YOU STUUUUPID IDIOOOOT", "yоu stupid idiоt", "you\u200b stupid\u200b idiot", "k1ll y0ur53lf", "your_stupid_idiot_go_to_hell", "Kill yourself! The file was not found. " * 2):
         assert classifier.score(t) >= 0.5, t
     for t in (None, "", "   ", "12345", "Kill the process and start it again.", "The word idiot is rejected in user names.", "x", "SELECT a FROM b", "`sex`", "The file was not found, so a new one is created."):
         assert classifier.score(t) < 0.5, t
 
 
 def test_code_spans_and_masks_of_two_letters(classifier):
-    for t in ("you are a `moron`", "You are a `MORON`.", "you b***h", "Show me your p***y"):
+    for t in ("you are a `moron`", "You are a `MORON`.", "the `bitch`", "you b***h", "Show me your p***y"):
         assert classifier.score(t) >= 0.5, t
     assert classifier.score("The column `sex` holds the value.") < 0.5
-    assert min(map(abs, classifier.weights.values())) < 1e-3
 
 
-def test_numbers_made_alike_change_no_score(classifier):
+def test_friendly_address_is_harmless(classifier):
+    for t in ("you are a developer", "you are welcome", "watch your step", "Send it to you, then wait.", "If you are a `root` user, log out.", "remove the `moron` entry"):
+        assert classifier.score(t) < 0.5, t
+
+
+def test_scores_do_not_depend_on_the_batch_or_the_length(classifier):
     rng = random.Random(3)
-    words = ["you", "idiot", "1diot", "k1ll", "12", "(3)", "#45,", "7.", "b-1-tch", "5*gs", "８", "６o", "№5", "a1", "`x_1`", "9!", "死5ね", "\n", "kill 3 yourself"]
-    for _ in range(300):
-        t = " ".join(rng.choices(words, k=rng.randint(1, 9)))
-        plain = [s for s in abuse._SENTENCE.split(t) if s] + [m for m in abuse._NAME.findall(t) if "_" in m]
-        assert abs(classifier.score(t) - max(map(classifier._sentence, plain), default=0.0)) < 1e-9, t
+    words = ["you", "idiot", "1diot", "k1ll", "12", "(3)", "#45,", "b-1-tch", "８", "№5", "`x_1`", "9!", "死ね", "\n", "kill 3 yourself", "傻逼", "the file. ", "\0", "\ud800", "e\u0301"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(200)] + [None, "", "\0"]
+    alone = [classifier.score(t) for t in texts]
+    assert alone == pytest.approx(classifier.scores(texts)) and texts.count(None) == 1 and alone[-3:] == [0.0, 0.0, 0.0]
+    for t in ("you fucking idiot", "The file is closed."):
+        long = "The file is closed.\n" * 150_000 + t
+        assert classifier.score(long) == pytest.approx(max(classifier.score(t), classifier.score("The file is closed.")), abs=1e-3)
+
+
+def test_sums_against_brute_force(classifier):
+    """A segment's log odds are the sum over its n-grams, one by one."""
+    for t in ("you stupid idiot", "你是白痴吗", "the file was not found"):
+        s = " " + abuse.flat([t], classifier.words)[1:-1] + " "
+        total = count = 0
+        for n in abuse.ORDERS:
+            for i in range(len(s) - n + 1):
+                g = abuse.points(s[i : i + n])
+                if n > 1 or abuse.no_blanks(g)[0]:
+                    total += classifier.table[[at for k, at in abuse.hashes(g) if k == n][0][0]]
+                    count += 1
+        z = classifier.bias + total / math.sqrt(count + abuse.DAMPING)
+        assert classifier.score(t) >= 1 / (1 + math.exp(-z)) - 1e-4
+
+
+def test_training_without_one_class():
+    assert abuse.train([], [], []).score("you idiot") == abuse.train([], ["a"], ["b"]).score(None) + abuse.train([], [], []).score("you idiot")
+    assert abuse.train(["you idiot"], ["you idiot"], []).score("you idiot") < 0.5
 
 
 def test_sentences_that_begin_like_directives_or_statements():
