@@ -18,7 +18,7 @@ def add(name, fn, sql=None):
 
 
 add("p5_found", merkle.p5_found, merkle.P5_SQL)
-add("p5_matches", merkle.p5_matches)
+add("p5_matches", merkle.p5_matches, merkle.P5_MATCHES_SQL)
 for _module in (q_text, q_scalars, q_code, q_rel):
     for _name, (_fn, _sql) in _module.QUERIES.items():
         add(_name, _fn, _sql)

@@ -14,8 +14,8 @@ def state(spark, d):
     return spark.createDataFrame(sorted(d.items()), "key string, digest string")
 
 
-def changes(spark, a, b):
-    c = M.changes(M.leaves(state(spark, a), "key", "digest"), M.leaves(state(spark, b), "key", "digest"))
+def changes(spark, a, b, levels=2):
+    c = M.changes(M.leaves(state(spark, a), "key", "digest", levels), M.leaves(state(spark, b), "key", "digest", levels), levels)
     return {(r["key"], r["change"]) for r in c.collect()}
 
 
@@ -34,13 +34,18 @@ def test_changes_against_brute_force(spark):
 def test_only_differing_ranges_are_opened(spark):
     a = {f"k{i}": "1" for i in range(2000)}
     b = a | {"k7": "2"}
-    t = [M.tree(M.bottom(M.leaves(state(spark, x), "key", "digest"))).collect() for x in (a, b)]
-    assert len(M.differing(*t)) == 1 and M.differing(t[0], t[0]) == []
+    t = [M.tree(M.bottom(M.leaves(state(spark, x), "key", "digest", 2)), 2) for x in (a, b)]
+    assert M.differing(*t, 2).count() == 1 and M.differing(t[0], t[0], 2).count() == 0
+
+
+def test_depth_follows_the_number_of_leaves():
+    assert [M.levels_for(n) for n in (0, 1, 5_000, 100_000, 10**7, 10**9, 10**15)] == [1, 1, 2, 3, 4, 6, 7]
+    assert all(10**k / 16 ** M.levels_for(10**k) < 16 * M.LEAVES_PER_NODE for k in range(10))
 
 
 def test_paths_and_hashes(spark):
-    df = spark.createDataFrame([("./a//b",), ("a\\b",), (" a/./b/",), ("a/x/../b",), ("a.b/c",), ("../a",)], "p string")
-    assert [r[0] for r in df.select(M.clean_path(F.col("p"))).collect()] == ["a/b", "a/b", "a/b", "a/b", "a.b/c", "../a"]
+    df = spark.createDataFrame([("./a//b",), ("a\\b",), (" a/./b/",), ("a/x/../b",), ("a.b/c",), ("../a",), ("a/b/c/d/../../../../e",), ("/../x/./../y/",), ("../../a/..",), ("/",), (None,)], "p string")
+    assert [r[0] for r in df.select(M.clean_path(F.col("p"))).collect()] == ["a/b", "a/b", "a/b", "a/b", "a.b/c", "../a", "e", "/y", "../..", "/", None]
     df = spark.createDataFrame([("SHA256:AB",), (" 0xab ",), ("a-b",), (None,)], "h string")
     assert [r[0] for r in df.select(M.clean_hash(F.col("h"))).collect()] == ["ab", "ab", "ab", None]
 
@@ -73,6 +78,50 @@ def test_ledger_survives_failures(spark, tmp_path):
     assert book.run(state(spark, two), work) is None  # nothing is repeated
 
 
+def test_ledger_takes_the_state_once(spark, tmp_path):
+    """The source changes while a run works: what the run didn't see is done by the next one, nothing twice."""
+    src = str(tmp_path / "src")
+    state(spark, {"a": "1", "b": "1"}).write.parquet(src)
+    book = M.Ledger(spark, str(tmp_path / "ledger"))
+
+    def work(keys):
+        if not (tmp_path / "src2").exists():
+            state(spark, {"c": "1"}).write.parquet(str(tmp_path / "src2"))
+            state(spark, {"c": "1"}).write.mode("append").parquet(src)
+        return keys.select("key")
+
+    book.run(spark.read.parquet(src), work)
+    assert sorted(r["key"] for r in book.output().collect()) == ["a", "b"]
+    book.run(spark.read.schema("key string, digest string").parquet(src), work)
+    assert sorted(r["key"] for r in book.output().collect()) == ["a", "b", "c"]
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    """Both start from one parent: the first publishes, the other is refused and finds nothing left to do."""
+    one, two = (M.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    s = {"a": "1"}
+
+    def slow(keys):
+        two.run(state(spark, s), lambda k: k.select("key"))
+        return keys.select("key")
+
+    with pytest.raises(M.Conflict):
+        one.run(state(spark, s), slow)
+    assert [r["key"] for r in one.output().collect()] == ["a"] and one.run(state(spark, s), slow) is None
+
+
+def test_ledger_reads_only_differing_parts_and_grows(spark, tmp_path):
+    book = M.Ledger(spark, str(tmp_path / "ledger"))
+    work = lambda keys: keys.select("key")
+    a = {f"k{i}": "1" for i in range(6000)}
+    book.run(state(spark, a), work)
+    book.run(state(spark, a | {"k5": "2"} | {"new": "1"}), work)
+    assert book.output().count() == 6002 and book.head()["levels"] == 2
+    b = {f"k{i}": "1" for i in range(6000, 6010)} | {"k5": "2"}
+    book.run(state(spark, b), work)  # far fewer keys: all others are removed, ten are added
+    assert book.output().count() == 6012 and book.leaves().count() == 11
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.integers(0, 8)), max_size=15))
 def test_intervals(rows):
