@@ -24,7 +24,7 @@ _PLACES = ("full_start", "full_end", "content_start", "content_end")
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _POINT = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("offset", T.IntegerType())])
 REGIONS = T.ArrayType(T.StructType([
-    T.StructField("kind", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in _PLACES],
+    T.StructField("kind", T.StringType()), T.StructField("content", T.StringType()), T.StructField("raw", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in _PLACES],
     T.StructField("start", _POINT), T.StructField("end", _POINT), T.StructField("placeholders", T.ArrayType(_SPAN)),
 ]))
 
@@ -55,6 +55,42 @@ def regular_tokens(text: Column, ext: Column) -> Column:
     return reduce(lambda a, r: a.when(e.isin(list(r.exts)), F.regexp_extract_all(text, F.lit(R.pattern(r)), F.lit(0))), rules, F.when(F.lit(False), F.array(F.lit(""))))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _parts(rule: R.Rule) -> str:
+    """SQL of struct<kind, content, raw> of a region's full text x by a rule: the first prefix that stands there decides."""
+    kinds, contents = [], []
+    for k, prefix, _ in R.arms(rule):
+        hit, size = f"startswith(x, {_quoted(prefix)})", len(prefix)
+        if k == "line_comment" or k == "doc_comment" and prefix in ("///", "---", "//!"):
+            inner = f"substring(x, {size + 1}, length(x))"
+            inner = f"if(substring(x, {size + 1}, 1) = ' ', substring(x, {size + 2}, length(x)), {inner})"
+        elif k == "block_comment" or prefix == "/**":
+            inner = f"substring(x, {size + 1}, length(x) - {size + len(next((y for o, y in rule.block if o == prefix), '*/'))})"
+            inner = f"regexp_replace(regexp_replace({inner}, '^ ', ''), ' \\\\z', '')"
+        elif k == "raw_string":
+            inner = f"substring(x, {size + 2}, length(x) - {size + 2 + prefix.count('#')})"
+        else:
+            inner = f"substring(x, {size + 1}, greatest(0, length(x) - {2 * size}))"
+        kinds.append(f"WHEN {hit} THEN '{k}'")
+        contents.append(f"WHEN {hit} THEN {inner}")
+    return f"named_struct('kind', CASE {' '.join(kinds)} END, 'content', CASE {' '.join(contents)} END, 'raw', x)"
+
+
+def regular_regions(text: str, ext: str) -> Column:
+    """array<struct<kind, content, raw>> of the file types without template strings, inside the JVM; null for
+    others. text and ext are names of columns; one SQL expression is built, as it is far larger than a planner likes
+    to get call by call."""
+    arms = []
+    for r in R.RULES:
+        if not r.template:
+            exts = ", ".join(map(_quoted, r.exts))
+            arms.append(f"WHEN lower(`{ext}`) IN ({exts}) THEN transform(regexp_extract_all(`{text}`, {_quoted(R.pattern(r))}, 0), x -> {_parts(r)})")
+    return F.expr(f"CASE {' '.join(arms)} END")
+
+
 class Places:
     """Line, column and offset (from 1, 1 and 0; in bytes) of ascending places of a text, in one pass."""
 
@@ -90,7 +126,7 @@ def regions(text: pd.Series, ext: pd.Series) -> pd.Series:
             continue
         place = Places(t)
         out.append([
-            {"kind": k, "full_start": a, "full_end": b, "content_start": c, "content_end": d, "start": place(c), "end": place(d), "placeholders": [{"start": s, "end": x} for s, x in ph]}
+            {"kind": k, "content": t[c:d], "raw": t[a:b], "full_start": a, "full_end": b, "content_start": c, "content_end": d, "start": place(c), "end": place(d), "placeholders": [{"start": s, "end": x} for s, x in ph]}
             for k, a, b, c, d, ph in R.scan(t, rule)
         ])
     return pd.Series(out, dtype=object)
@@ -127,25 +163,38 @@ def should_extract(kind: Column, content: Column, least: int = 2, most: int = 10
     return F.coalesce((n > 0) & n.between(least, most) & wanted(kind, comments, docs, strings) & contains_target(content, langs or []), F.lit(False))
 
 
-def lexed(files: DataFrame, text: str = "text", ext: str = "ext") -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "content", "raw")])))
+def _template_regions(text: pd.Series, ext: pd.Series) -> pd.Series:
+    out = []
+    for t, e in zip(text, ext):
+        rule = R.rule_of(e)
+        out.append(None if t is None or rule is None else [{"kind": k, "content": t[c:d], "raw": t[a:b]} for k, a, b, c, d, _ in R.scan(t, rule)])
+    return pd.Series(out, dtype=object)
+
+
+def lexed(files: DataFrame, text: str = "text", ext: str = "ext", places: bool = True) -> DataFrame:
     """One row per region: all columns of files but the text, and idx, kind, content, raw_match,
     start and end struct<line, column, offset> (column and offset in bytes), placeholders.
-    Files of unknown types have no regions. idx counts the regions of a file before any filter."""
+    Files of unknown types have no regions. idx counts the regions of a file before any filter.
+    Without places only idx, kind, content and raw_match are given: then types without template strings are lexed
+    inside the JVM, and only the others are handed to Python."""
     keep = [c for c in files.columns if c != text]
-    r = files.select(*keep, F.col(text).alias("__t"), F.posexplode(regions(F.col(text), F.col(ext))).alias("idx", "__r"))
-    t = F.col("__t")
-    cut = lambda a, b: F.substring(t, F.col("__r." + a) + 1, F.col("__r." + b) - F.col("__r." + a))
-
-    return r.select(
-        *keep, "idx", F.col("__r.kind").alias("kind"), cut("content_start", "content_end").alias("content"), cut("full_start", "full_end").alias("raw_match"),
-        F.col("__r.start").alias("start"), F.col("__r.end").alias("end"), F.col("__r.placeholders").alias("placeholders"),
-    )
-
-
-def units(files: DataFrame, cfg: P.FilterConfig | None = None, source_langs: list[str] | None = None, target: str = "EN", least: int = 0, most: int = 100_000, path: str = "path") -> DataFrame:
+    t, e = F.col(text), F.col(ext)
+    if places:
+        r = files.select(*keep, F.posexplode(regions(t, e)).alias("idx", "__r"))
+        more = [F.col("__r." + c).alias(c) for c in ("start", "end", "placeholders")]
+    else:
+        nested = F.lower(e).isin([x for r in R.RULES if r.template for x in r.exts])
+        found = F.coalesce(_template_regions(F.when(nested, t), e), regular_regions(text, ext))
+        r = files.select(*keep, F.posexplode(found).alias("idx", "__r"))
+        more = []
+    return r.select(*keep, "idx", F.col("__r.kind").alias("kind"), F.col("__r.content").alias("content"), F.col("__r.raw").alias("raw_match"), *more)
+
+
+def units(files: DataFrame, cfg: P.FilterConfig | None = None, source_langs: list[str] | None = None, target: str = "EN", least: int = 0, most: int = 100_000, path: str = "path", places: bool = True) -> DataFrame:
     """Translation units of files(path, ext, text): cleaned by kind and filtered; the code check is
     off for comments. id is path, kind and idx."""
-    r = lexed(files)
+    r = lexed(files, places=places)
     kind, c = F.col("kind"), F.col("content")
     cleaned = F.when(kind == "doc_comment", K.doc_comment(c)).when(kind == "block_comment", K.block_comment(c)).otherwise(c)
     r = r.where(should_extract(kind, c, least, most)).withColumn("content", cleaned)
@@ -153,14 +202,14 @@ def units(files: DataFrame, cfg: P.FilterConfig | None = None, source_langs: lis
     return r.where(keep).withColumn("node_type", node_type(kind)).withColumn("id", F.concat_ws("_", path, "kind", F.col("idx").cast("string"))).withColumn("pattern_type", F.lit("Builtin")).withColumn("pattern_name", F.lit(None).cast("string"))
 
 
-def verify_matches(u: DataFrame) -> DataFrame:
+def verify_matches(u: DataFrame, *more: str) -> DataFrame:
     """Match rows of units: names default by node type, category string or other; the raw match
-    is the region's exact text."""
+    is the region's exact text. position is left out where the units have no places; more columns may be kept."""
     node = F.col("node_type")
     return u.select(
         "path", F.coalesce("pattern_name", F.when(node == "comment", "comment").when(node == "doc_string", "docstring").otherwise("string_literal")).alias("pattern_name"),
         F.coalesce("pattern_type", F.lit("Builtin")).alias("pattern_type"), F.when(node == "string_literal", "string").otherwise("other").alias("category"),
-        F.col("content").alias("extracted_text"), F.col("start").alias("position"), "raw_match",
+        F.col("content").alias("extracted_text"), *([F.col("start").alias("position")] if "start" in u.columns else []), "raw_match", *more,
     )
 
 

@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 from loomtext.session import cut
 
 
-def islands(df: DataFrame, keys: list[str], number: str, text: str | None = None) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], number: str, text: str | None = None, head: int | None = None) -> DataFrame:
     """Runs of consecutive numbers per key: start_line, end_line, n_lines and, with text, texts in
-    order. A number that occurs twice counts once; null numbers are dropped."""
+    order; with head only the first so many of each run are gathered. A number that occurs twice counts once;
+    null numbers are dropped."""
     rows = df.where(F.col(number).isNotNull()).dropDuplicates([*keys, number])
     run = F.col(number) - F.row_number().over(W.partitionBy(*keys).orderBy(number))
+    rows = rows.withColumn("__run", run)
     aggs = [F.min(number).alias("start_line"), F.max(number).alias("end_line"), F.count("*").alias("n_lines")]
     if text:
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(text).alias("t"))))
-        aggs.append(F.transform(pairs, lambda x: x["t"]).alias("texts"))
-    return rows.withColumn("__run", run).groupBy(*keys, "__run").agg(*aggs).drop("__run")
+        pair = F.struct(F.col(number).alias("n"), F.col(text).alias("t"))
+        if head is not None:
+            rows = rows.withColumn("__at", F.row_number().over(W.partitionBy(*keys, "__run").orderBy(number)))
+            pair = F.when(F.col("__at") <= head, pair)
+        aggs.append(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["t"]).alias("texts"))
+    return rows.groupBy(*keys, "__run").agg(*aggs).drop("__run")
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, text: str | None = None) -> DataFrame:

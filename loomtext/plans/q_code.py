@@ -18,15 +18,29 @@ PLAIN_EXTS = sorted(e for r in PLAIN for e in r.exts)
 
 
 def sources(spark, sf_dir):
-    """(path, ext, text): every distinct content in valid UTF-8, without its mark."""
-    f = table(spark, sf_dir, "source_files").select("path", "ext", "content").distinct().where(E.is_utf8(F.col("content")))
+    """(path, ext, text): contents in valid UTF-8, without their marks. Rows delivered twice stay, as only a shuffle of
+    contents could part them; queries reduce their own results."""
+    f = table(spark, sf_dir, "source_files").select("path", "ext", "content").where(E.is_utf8(F.col("content")))
     return f.select("path", "ext", E.to_text(F.col("content"), F.lit("UTF-8")).alias("text"))
 
 
 def texts(spark, sf_dir):
-    """(path, ext, text): every distinct content in any encoding, without its mark."""
-    f = table(spark, sf_dir, "source_files").select("path", "ext", "content").distinct()
-    return f.select("path", "ext", E.any_text(F.col("content")).alias("text"))
+    """(path, ext, text): contents in any encoding, without their marks; rows delivered twice stay."""
+    return table(spark, sf_dir, "source_files").select("path", "ext", E.any_text(F.col("content")).alias("text"))
+
+
+def marked(spark, sf_dir):
+    """texts() with the digest of the content and a number of the row. What is counted per row is the same for every
+    delivery of a content, so once() takes one of them, and contents are never shuffled."""
+    f = table(spark, sf_dir, "source_files").select("path", "ext", F.sha2("content", 256).alias("sha"), F.monotonically_increasing_id().alias("row"), "content")
+    return f.select("path", "ext", "sha", "row", E.any_text(F.col("content")).alias("text"))
+
+
+def once(rows, keys, *counts):
+    """Counts per row of marked() (and keys), then one row per path, content and keys."""
+    per = rows.groupBy("path", "ext", "sha", "row", *keys).agg(*counts)
+    names = [c for c in per.columns if c not in ("path", "ext", "sha", "row", *keys)]
+    return per.groupBy("path", "ext", "sha", *keys).agg(*[F.max(c).alias(c) for c in names])
 
 
 _TEXT = "(SELECT DISTINCT path, ext, regexp_replace(try(decode(content)), '\\A\\x{FEFF}', '') AS text FROM source_files WHERE try(decode(content)) IS NOT NULL)"
@@ -52,8 +66,9 @@ def lex_tokens_all(spark, sf_dir):
 
 def lex_all(spark, sf_dir):
     """Regions of all file types with their places."""
-    r = X.lexed(spread(texts(spark, sf_dir)))
-    return r.groupBy("ext", "kind").agg(F.count("*").alias("n"), F.sum(F.octet_length("raw_match")).alias("bytes"), F.max("start.line").alias("last_line"))
+    r = X.lexed(spread(marked(spark, sf_dir)))
+    one = once(r, ["kind"], F.count("*").alias("n"), F.sum(F.octet_length("raw_match")).alias("bytes"), F.max("start.line").alias("last_line"))
+    return one.groupBy("ext", "kind").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("last_line").alias("last_line"))
 
 
 def lex_agree(spark, sf_dir):
@@ -68,8 +83,10 @@ LEX_AGREE = "SELECT path, ext FROM source_files WHERE false"
 
 def unit_counts(spark, sf_dir):
     """Units of all files, as matches, counted by every group."""
-    m = X.verify_matches(X.units(spread(texts(spark, sf_dir)), source_langs=["zh", "ja", "ko", "ru"]))
-    return m.groupBy("pattern_name", "pattern_type", "category").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+    m = X.verify_matches(X.units(spread(marked(spark, sf_dir)), source_langs=["zh", "ja", "ko", "ru"], places=False), "ext", "sha", "row")
+    one = once(m, ["pattern_name", "pattern_type", "category"], F.count("*").alias("n"))
+    files = one.groupBy("path", "pattern_name", "pattern_type", "category").agg(F.sum("n").alias("n"))
+    return files.groupBy("pattern_name", "pattern_type", "category").agg(F.sum("n").alias("n"), F.count("*").alias("n_files"))
 
 
 def file_types(spark, sf_dir):
@@ -91,7 +108,6 @@ def all_extensions(spark, sf_dir):
 ALL_EXTENSIONS = f"WITH l(ext, name) AS (VALUES {_LANG}) SELECT DISTINCT ext FROM l"
 
 _RULES = ["*.lua", "/amber-core", "!amber-core/src/**", "tests", "lib/*", "**/*.sql", "#none", "", "docs/"]
-_INC, _EXC = ["*"], ["**/locale/**", "**/old_*"]
 
 
 def scanned_files(spark, sf_dir):
@@ -99,7 +115,7 @@ def scanned_files(spark, sf_dir):
     f = table(spark, sf_dir, "source_files").select("path").distinct()
     rules = N.parse_ignores(_RULES)
     p = F.col("path")
-    return f.select("path", N.is_ignored(p, rules).alias("ignored"), N.include_file(p, ["*.py", "**/*.rs", "*core*"], ["**/scripts"], rules[:1]).alias("included"), N.match_recursive(p, "amber-core/**/*_1*.py").alias("recursive"), F.size(N.parents(p)).cast("long").alias("depth"))
+    return f.select("path", N.is_ignored(p, rules).alias("ignored"), N.include_file(p, ["*.py", "**/*.rs", "*core*"], ["**/scripts"], rules[:1]).alias("included"), N.match_recursive(p, "amber-core/**/*.py").alias("recursive"), F.size(N.parents(p)).cast("long").alias("depth"))
 
 
 _PARTS = "string_split(path, '/')"
@@ -109,16 +125,16 @@ r AS (SELECT *, len(list_filter(p, lambda x: regexp_matches(x, '\A.*\.lua'))) >
 SELECT path, CASE WHEN r6 OR r5 OR r4 THEN true WHEN r3 THEN false ELSE r2 OR r1 END AS ignored,
   (ends_with(path, '.py') OR ends_with(name, '.rs') OR contains(path, 'core')) AND NOT ends_with(path, 'scripts')
   AND NOT r1 AND len(list_filter(range(1, len(p)), lambda i: ends_with(array_to_string(p[1:i], '/'), 'scripts'))) = 0 AS included,
-  starts_with(path, 'amber-core/') AND starts_with(name, '') AND contains(path, '/') AND ends_with(name, '.py') AND false AS recursive, len(p) - 1 AS depth FROM r"""
+  starts_with(path, 'amber-core/') AND ends_with(name, '.py') AS recursive, len(p) - 1 AS depth FROM r"""
 
 
 def file_encodings(spark, sf_dir):
     """Encodings of the files, by a cascade."""
-    f = table(spark, sf_dir, "source_files").select("path", "content").distinct()
+    f = table(spark, sf_dir, "source_files").select("path", "content")
     c = F.col("content")
     d = E.detect(c)
     utf8 = F.octet_length(c) == 0
-    return spread(f).select("path", F.sha2(c, 256).alias("sha"), E.bom(c).alias("bom"), E.is_ascii(c).alias("ascii"), E.is_utf8(c).alias("utf8"), F.octet_length(E.without_bom(c)).cast("long").alias("rest"), F.when(E.is_utf8(c) | utf8 | E.bom(c).isNotNull(), d["confidence"]).alias("confidence"))
+    return spread(f).select("path", F.sha2(c, 256).alias("sha"), E.bom(c).alias("bom"), E.is_ascii(c).alias("ascii"), E.is_utf8(c).alias("utf8"), F.octet_length(E.without_bom(c)).cast("long").alias("rest"), F.when(E.is_utf8(c) | utf8 | E.bom(c).isNotNull(), d["confidence"]).alias("confidence")).distinct()
 
 
 FILE_ENCODINGS = """WITH f AS (SELECT DISTINCT path, content, hex(content) AS h FROM source_files)
@@ -131,10 +147,10 @@ SELECT path, sha256(content) AS sha, CASE WHEN starts_with(h, 'EFBBBF') THEN 'UT
 
 def guessed_encodings(spark, sf_dir):
     """Contents that are no UTF-8, with the best guess."""
-    f = table(spark, sf_dir, "source_files").select("path", "content").distinct().where(~E.is_utf8(F.col("content")) & E.bom(F.col("content")).isNull())
-    d = E.heuristic(F.col("content"))
-    g = spread(f).withColumn("d", d)
-    return g.groupBy("d.encoding").agg(F.count("*").alias("n"), F.round(F.avg("d.confidence"), 6).alias("confidence"), F.sum(E.to_text(F.col("content"), F.col("d.encoding")).contains("�").cast("long")).alias("lossy"))
+    f = table(spark, sf_dir, "source_files").select("path", "content").where(~E.is_utf8(F.col("content")) & E.bom(F.col("content")).isNull())
+    g = spread(f).withColumn("d", E.heuristic(F.col("content")))
+    one = g.select("path", F.sha2("content", 256).alias("sha"), "d.encoding", "d.confidence", E.to_text(F.col("content"), F.col("d.encoding")).contains("�").alias("lossy")).distinct()
+    return one.groupBy("encoding").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.sum(F.col("lossy").cast("long")).alias("lossy"))
 
 
 _CUSTOM = [
@@ -195,12 +211,12 @@ _DOC_LINES = r"""dl AS (SELECT doc_id, i + 1 AS line, a[i + 1] AS line_text FROM
   (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS a FROM documents WHERE text IS NOT NULL)), LATERAL (SELECT unnest(range(len(a)))) u(i))"""
 
 
-def segments(spark, sf_dir, script: str = "CJK"):
-    """Runs of lines that hold a script."""
+def segments(spark, sf_dir, script: str = "CJK", head: int | None = None):
+    """Runs of lines that hold a script, with their first lines."""
     from loomtext.operators.windows import islands
 
     hit = doc_lines(spark, sf_dir).where(S.matches_script(F.col("line_text"), script))
-    return islands(hit, ["doc_id"], "line", "line_text")
+    return islands(hit, ["doc_id"], "line", "line_text" if head else None, head)
 
 
 def detect_segments(spark, sf_dir):
@@ -214,7 +230,7 @@ DETECT_SEGMENTS = _SEG + " SELECT doc_id, start_line, end_line, n_lines FROM s"
 
 def segment_preview(spark, sf_dir):
     """First three lines of each segment, and how many more there are."""
-    s = segments(spark, sf_dir)
+    s = segments(spark, sf_dir, head=3)
     more = F.col("n_lines") - 3
     return s.select("doc_id", "start_line", F.array_join(F.transform(F.slice("texts", 1, 3), lambda x: C.cut_with_dots(x, 80)), "\n").alias("preview"), F.when(more > 0, F.concat(more.cast("string"), F.lit(" more lines"))).otherwise("").alias("rest"))
 

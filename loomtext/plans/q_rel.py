@@ -17,8 +17,9 @@ _CFG = "9818b580addbefc6"
 
 
 def _files(spark, sf_dir):
-    f = table(spark, sf_dir, "source_files").groupBy("path").agg(F.max_by(F.struct("content", "mtime", "project_fingerprint"), "scanned_at").alias("r"))
-    return f.select("path", F.sha2("r.content", 256).alias("file_hash"), F.col("r.project_fingerprint").alias("project_fingerprint"), F.unix_seconds(F.col("r.mtime").cast("timestamp")).alias("mtime"))
+    f = table(spark, sf_dir, "source_files").select("path", F.sha2("content", 256).alias("file_hash"), "mtime", "project_fingerprint", "scanned_at")
+    f = f.groupBy("path").agg(F.max_by(F.struct("file_hash", "mtime", "project_fingerprint"), "scanned_at").alias("r"))
+    return f.select("path", F.col("r.file_hash").alias("file_hash"), F.col("r.project_fingerprint").alias("project_fingerprint"), F.unix_seconds(F.col("r.mtime").cast("timestamp")).alias("mtime"))
 
 
 def _cache(spark, sf_dir):
@@ -277,12 +278,17 @@ def located_all(spark, sf_dir):
 
 
 def _located(spark, sf_dir, f):
+    """A file's matches are located in one pass over its text, which isn't copied to each of them."""
     f = f.select("path", F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text"))
     m = table(spark, sf_dir, "verify_matches").where("raw_match IS NOT NULL").select("match_id", "path", "raw_match", F.col("position.offset").alias("at")).distinct()
-    j = m.join(f, "path")
-    exact = C.byte_slice(F.col("text"), F.col("at"), F.col("at") + F.octet_length("raw_match")) == F.col("raw_match")
-    first = F.instr("text", F.col("raw_match"))
-    return j.select("match_id", F.coalesce(exact, F.lit(False)).alias("exact"), F.nullif(first, F.lit(0)).cast("long").alias("first"))
+    own = m.groupBy("path").agg(F.collect_list(F.struct("match_id", "raw_match", "at")).alias("own"))
+    text = F.col("text")
+
+    def place(x):
+        exact = C.byte_slice(text, x["at"], x["at"] + F.octet_length(x["raw_match"])) == x["raw_match"]
+        return F.struct(x["match_id"].alias("match_id"), F.coalesce(exact, F.lit(False)).alias("exact"), F.nullif(F.instr(text, x["raw_match"]), F.lit(0)).cast("long").alias("first"))
+
+    return own.join(f, "path").select(F.explode(F.transform("own", place)).alias("r")).select("r.*")
 
 
 LOCATED = """WITH f AS (SELECT path, arg_max(content, scanned_at) AS content FROM source_files GROUP BY path), t AS (SELECT path, replace(regexp_replace(try(decode(content)), '\\A\\x{FEFF}', ''), chr(13) || chr(10), chr(10)) AS text FROM f WHERE try(decode(content)) IS NOT NULL),

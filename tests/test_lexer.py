@@ -107,3 +107,14 @@ def test_tokens_of_all_file_types(spark):
     assert {r["ext"] for r in every.select("ext").distinct().collect()} == {r["ext"] for r in q_code.lex_all(spark, d).select("ext").distinct().collect()} > set(q_code.PLAIN_EXTS) & {"c", "rb", "sh"}
     assert {"py", "js", "ts", "rs", "go", "java"} <= {r["ext"] for r in every.select("ext").distinct().collect()}
     assert plain.count() > 0 and plain.exceptAll(every).count() == 0
+
+
+def test_regions_inside_the_jvm_against_the_scanner(spark):
+    """Kinds, contents and raw texts of both lexers over the same files."""
+    from pyspark.sql import functions as F
+
+    texts = ["// a\n/* b */ /** c */ /// d\n\"e\" 'f' \"g\\\"", "# a\n\"\"\"b\"\"\" r\"c\" r'd' r\"\"\"e\"\"\"", "-- a\n--- b\n--[[ c ]] [[d]]", "r#\"a\"# r\"b\" /**/ /* */ /***/", "<!-- a --><b c=\"d\">", "@\"a\" @'b'", "=begin x =end # y", "//", "/* a", "\"", "", "REM a\n:: b", "{# `t${`u`}` #} `v"]
+    rows = [(i, e, t) for i, (t, e) in enumerate((t, e) for t in texts for r in R.RULES for e in r.exts[:1])] + [(-1, "py", None), (-2, "unknown", "# a"), (-3, None, "# a")]
+    files = spark.createDataFrame(rows, "id int, ext string, text string")
+    a, b = ({(r["id"], r["idx"], r["kind"], r["content"], r["raw_match"]) for r in X.lexed(files, places=p).collect()} for p in (True, False))
+    assert a == b and len(a) > 100
