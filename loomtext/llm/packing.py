@@ -1,6 +1,7 @@
 """p6: filling containers by vector bin packing with the dot-product heuristic.
 
-An item is a vector (texts, characters, loss-bearing units), a container a vector of
+An item is a vector (p6_batches: texts and characters; p6_examples: tokens, segments and loss-bearing
+tokens), a container a vector of
 capacities. A container is opened and takes, as long as anything fits, the item whose
 vector has the greatest dot product with what is left of the container, each dimension
 weighted by how scarce it is. Items with equal vectors are one class with a count, so a step
@@ -21,14 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.chunking import split
-from loomtext.session import cut, table
+from loomtext.llm.tokens import with_counts
+from loomtext.session import batch_rows, cut, parallelism, spread, table
 
 SHARD = 5000
 
-#: The dimensions of p6. The policies limit texts and characters; the loss-bearing characters
-#: may fill a whole container, so they weigh in the heuristic and bind only with the characters.
-DIMS = ["texts", "chars", "loss"]
-CAPS = ["batch_size", "max_char_count", "max_loss"]
+#: The dimensions of p6_batches: the policies limit texts and characters, nothing else.
+DIMS = ["texts", "chars"]
+CAPS = ["batch_size", "max_char_count"]
+
+#: Limits of an example of p6_examples: tokens, segments, and tokens that bear loss (those of the answers).
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 1024, 24, 400
 
 
 def _fill(vectors: np.ndarray, counts: np.ndarray, cap: np.ndarray, rule: str) -> list[list[int]]:
@@ -36,7 +40,8 @@ def _fill(vectors: np.ndarray, counts: np.ndarray, cap: np.ndarray, rule: str) -
 
     rule: product - the plain dot product; cosine - the dot product over the item's length,
     so that direction decides; adaptive - product while the scarcest dimension tells items
-    apart, else the cosine with the room alone.
+    apart, else the cosine with the room alone. Classes that don't fit any more leave the scan of a container,
+    as its room only shrinks.
     """
     v = vectors / cap
     left = counts.copy()
@@ -50,34 +55,31 @@ def _fill(vectors: np.ndarray, counts: np.ndarray, cap: np.ndarray, rule: str) -
     out = []
     while len(alive):
         room, box = np.ones(v.shape[1]), []
-        av, an = v[alive], left[alive]
         even = rule == "adaptive" and flat[int(np.argmax(demand))]
         w = demand / max(demand.max(), 1e-12)
-        norm = plain[alive] if rule == "adaptive" else np.sqrt((av * av * w).sum(axis=1)) + 1e-12
+        k = int(np.argmax(v[alive] @ w))  # a container opens with the largest item
+        if (v[alive[k]] > 1 + 1e-9).any():
+            fit = np.flatnonzero((v[alive] <= 1 + 1e-9).all(axis=1))
+            k = int(fit[np.argmax(v[alive[fit]] @ w)]) if len(fit) else 0  # an item above capacity is alone, at last
+        here, near = alive, None
         while True:
-            fits = (av <= room + 1e-9).all(axis=1) & (an > 0)
-            if not fits.any():
+            c = here[k]
+            box.append(int(order[c]))
+            left[c] -= 1
+            room, demand = room - v[c], demand - v[c]
+            here = here[(v[here] <= room + 1e-9).all(axis=1) & (left[here] > 0)]
+            if not len(here):
                 break
-            if not box:
-                score = av @ w  # a container opens with the largest item
-            elif rule == "product" or (rule == "adaptive" and not even):
-                score = av @ (w * room)
+            near = v[here]
+            if rule == "product" or (rule == "adaptive" and not even):
+                score = near @ (w * room)
             elif rule == "adaptive":
-                score = (av @ room) / norm
+                score = (near @ room) / plain[here]
             else:
-                score = (av @ (w * room)) / norm
-            k = int(np.argmax(np.where(fits, score, -1.0)))
-            box.append(int(order[alive[k]]))
-            an[k] -= 1
-            room = room - av[k]
-            demand = demand - av[k]
-        if not box:  # an item above capacity in some dimension: alone
-            box = [int(order[alive[0]])]
-            an[0] -= 1
-            demand = demand - av[0]
+                score = (near @ (w * room)) / (np.sqrt((near * near) @ w) + 1e-12)
+            k = int(np.argmax(score))
         out.append(box)
-        left[alive] = an
-        alive = alive[an > 0]
+        alive = alive[left[alive] > 0]
     return out
 
 
@@ -121,18 +123,23 @@ def pack_groups(items: DataFrame, group: str, item: str, dims: list[str], caps:
         s = int(pdf["__s"].iloc[0])
         return pd.DataFrame({group: pdf[group].values, item: pdf[item].values, "container": [f"{s}-{n}" for n in no]})
 
-    out = rows.select(group, item, *dims, *caps, "__s").groupBy(group, "__s").applyInPandas(run, f"`{group}` {kind[group]}, `{item}` {kind[item]}, container string")
+    # a number of partitions of its own, so that many small shards aren't coalesced into few tasks
+    rows = rows.select(group, item, *dims, *caps, "__s").repartition(tasks(items.sparkSession), group, "__s")
+    out = rows.groupBy(group, "__s").applyInPandas(run, f"`{group}` {kind[group]}, `{item}` {kind[item]}, container string")
     return out.withColumn("container", F.concat_ws("/", F.coalesce(F.col(group).cast("string"), F.lit("")), "container"))
 
 
+def tasks(spark: SparkSession) -> int:
+    return max(3 * parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of all requests: (config_hash, item_key, request_id, part, chars, loss, batch_size,
+    """Items of all requests: (config_hash, item_key, request_id, part, chars, texts, batch_size,
     max_char_count).
 
     One row per request_id and config, the delivery ingested first; null texts make no item
     (there is nothing to send), empty and blank ones do. A text longer than max_char_count is
-    divided at natural boundaries into parts of at most that many characters. loss are the
-    characters that are to be translated (letters and digits of any script).
+    divided at natural boundaries into parts of at most that many characters.
     """
     req = table(spark, sf_dir, "translate_requests").select("request_id", "config_hash", "text", "ingested_at")
     conf = table(spark, sf_dir, "translate_configs").select("config_hash", "policy_id", "batch_size").dropDuplicates(["config_hash"])
@@ -145,22 +152,42 @@ def batch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.Series([None if t is None else [e - s for s, e, _ in split(t, int(m))] for t, m in zip(text, limit)], dtype=object)
 
     n = F.length("text")
-    loss = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
     long = F.when(n > F.col("max_char_count"), F.col("text"))  # only these are handed to Python
     sized = rows.withColumn("parts", sizes(long, "max_char_count")).select(
-        "request_id", "config_hash", "ingested_at", "batch_size", "max_char_count", F.coalesce("parts", F.array(n)).alias("sizes"), loss.alias("loss")
+        "request_id", "config_hash", "ingested_at", "batch_size", "max_char_count", F.coalesce("parts", F.array(n)).alias("sizes")
     )
     one = sized.groupBy("request_id", "config_hash").agg(
-        F.min_by(F.struct("sizes", "loss", "batch_size", "max_char_count"), F.struct("ingested_at", "sizes")).alias("r")
+        F.min_by(F.struct("sizes", "batch_size", "max_char_count"), F.struct("ingested_at", "sizes")).alias("r")
     )
-    total = F.aggregate("r.sizes", F.lit(0), lambda a, x: a + x)
-    return one.select("config_hash", "request_id", F.posexplode("r.sizes").alias("part", "chars"), F.col("r.loss").alias("__l"), total.alias("__t"), "r.batch_size", "r.max_char_count").select(
+    return one.select("config_hash", "request_id", F.posexplode("r.sizes").alias("part", "chars"), "r.batch_size", "r.max_char_count").select(
         "config_hash", F.concat_ws(":", "request_id", "part").alias("item_key"), "request_id", "part", "chars",
-        F.when(F.col("__t") > 0, F.round(F.col("__l") * F.col("chars") / F.col("__t"))).otherwise(0).cast("int").alias("loss"),
-        F.lit(1).alias("texts"), F.greatest("batch_size", F.lit(1)).alias("batch_size"), "max_char_count", F.col("max_char_count").alias("max_loss"),
+        F.lit(1).alias("texts"), F.greatest("batch_size", F.lit(1)).alias("batch_size"), "max_char_count",
     )
 
 
+def example_items(spark: SparkSession, sf_dir: str, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS) -> DataFrame:
+    """Instruction data: (target_lang, response_id, n_tokens, segments, loss_tokens and the limits) of every pair.
+
+    A pair is a successful response with both texts; of one response_id the first by ts counts, ties by the
+    sizes. Its tokens are those of both texts by byte_bpe_50k, its loss-bearing tokens those of the answer.
+    Labels of the language are only trimmed and lowered; a null label is a group of its own.
+    """
+    batch_rows(spark, 2000)
+    r = table(spark, sf_dir, "translate_responses").where(F.col("response_id").isNotNull() & F.col("original_text").isNotNull() & F.col("translated_text").isNotNull() & F.col("success"))
+    r = spread(r.select("response_id", "ts", F.lower(F.trim("target_lang")).alias("target_lang"), "original_text", "translated_text"))
+    n = with_counts(r, "translated_text", ["response_id", "ts", "target_lang", "original_text"]).withColumnRenamed("n_tokens", "loss_tokens")
+    n = with_counts(n, "original_text", ["response_id", "ts", "target_lang", "loss_tokens"])
+    one = n.groupBy("response_id").agg(F.min_by(F.struct("target_lang", (F.col("n_tokens") + F.col("loss_tokens")).alias("n_tokens"), "loss_tokens"), F.struct("ts", "n_tokens", "loss_tokens", "target_lang")).alias("r"))
+    return one.select("r.target_lang", "response_id", "r.n_tokens", F.lit(1).alias("segments"), "r.loss_tokens", F.lit(tokens).alias("max_tokens"), F.lit(segments).alias("max_segments"), F.lit(loss).alias("max_loss"))
+
+
+def p6_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target_lang, response_id, example): pairs packed into training examples under simultaneous limits on
+    tokens, segments and loss-bearing tokens. A pair above a limit is an example of its own; pairs are never divided."""
+    packed = pack_groups(example_items(spark, sf_dir), "target_lang", "response_id", ["n_tokens", "segments", "loss_tokens"], ["max_tokens", "max_segments", "max_loss"])
+    return packed.withColumnRenamed("container", "example")
+
+
 def p6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(config_hash, request_id, part, chars, batch): every text or part in its batch."""
     items = batch_items(spark, sf_dir)

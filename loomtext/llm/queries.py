@@ -20,6 +20,7 @@ def queries() -> dict:
         "p4_labels": langid.p4_labels,
         "p4_segments": langid.p4_segments,
         "p6_batches": packing.p6_batches,
+        "p6_examples": packing.p6_examples,
         "p6_fill": packing.p6_fill,
         "p7_found": codetext.p7_found,
         "p7_shares": codetext.p7_shares,

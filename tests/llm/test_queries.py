@@ -58,7 +58,8 @@ def test_other_queries_run(spark, name):
 def test_mix_meets_budgets(spark):
     docs = spark.createDataFrame([(i, "abc"[i % 3], 1 + i % 7) for i in range(600)] + [(900, None, 5), (901, "z", 5)], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.0, 1), ("gone", 0.2, 3)], "source string, target_share double, max_repeats int")
-    m, r = mixing.mix(docs, targets)
+    m, plan = mixing.mix(docs, targets)
+    r = mixing.report(m, plan)
     got = {x["source"]: x for x in r.collect()}
     assert got["gone"]["tokens"] == got["c"]["tokens"] == 0
     for s in "ab":
@@ -66,12 +67,33 @@ def test_mix_meets_budgets(spark):
         assert got[s]["budget"] <= got[s]["max_repeats"] * got[s]["available"]
     assert abs(got["a"]["share"] / got["b"]["share"] - 5 / 3) < 0.05
     assert m.agg(F.max("copies")).first()[0] <= 2 and m.count() == m.dropDuplicates(["doc_id"]).count()
-    m2, r2 = mixing.mix(docs, targets, total_tokens=5000)
-    got = {x["source"]: x for x in r2.collect()}
+    got = {x["source"]: x for x in mixing.report(*mixing.mix(docs, targets, total_tokens=5000)).collect()}
     assert got["a"]["tokens"] == 2 * got["a"]["available"] and got["b"]["tokens"] == got["b"]["available"]
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0
 
 
+def test_mix_leaves_no_gap_that_a_document_fits(spark):
+    """However many passes it takes: sizes fall so that each pass leaves a gap."""
+    sizes = [97, 61, 43, 29, 17, 11, 7, 5, 3, 2, 1] * 9
+    docs = spark.createDataFrame([(i, "a", n) for i, n in enumerate(sizes)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    for total in (50, 333, 1000):
+        m, plan = mixing.mix(docs, targets, total_tokens=total)
+        r = mixing.report(m, plan).first()
+        left = [x["n_tokens"] for x in docs.join(m, "doc_id", "left_anti").collect()]
+        assert r["tokens"] <= total and all(n > total - r["tokens"] for n in left)
+
+
+def test_examples_keep_three_limits(spark):
+    items = packing.example_items(spark, DATA)
+    p = packing.p6_examples(spark, DATA).join(items.drop("target_lang"), "response_id")
+    use = p.groupBy("example").agg(F.sum("n_tokens").alias("t"), F.sum("segments").alias("s"), F.sum("loss_tokens").alias("l"))
+    over = (F.col("t") > packing.MAX_TOKENS) | (F.col("s") > packing.MAX_SEGMENTS) | (F.col("l") > packing.MAX_LOSS)
+    assert p.count() == items.count() > 50 and use.where(over & (F.col("s") > 1)).count() == 0
+    full = use.agg(*[F.max(c) for c in "tsl"], F.sum((F.col("l") > 0.95 * packing.MAX_LOSS).cast("int"))).first()
+    assert full[3] > 0  # the limit of the loss binds
+
+
 def test_packing_of_a_hot_group(spark):
     items = spark.createDataFrame([("g" if i % 3 else None, str(i), 1, 1 + i % 9, 4, 20) for i in range(900)], "g string, item string, n int, c int, most int, room int")
     p = packing.pack_groups(items, "g", "item", ["n", "c"], ["most", "room"], shard=100).join(items.drop("g"), "item")
