@@ -52,6 +52,19 @@ def test_natural_cuts_and_edits_stay_local():
     assert chunking.split("x" * 50, 20, 5)[0] == (0, 20, "forced")
 
 
+@settings(max_examples=150, deadline=None)
+@given(TEXT, st.integers(1, 60), st.integers(0, 70))
+def test_kind_of_cut_is_that_of_the_longest_run(text, limit, overlap):
+    want = chunking.longest_run(chunking.points(text)) > limit
+    assert chunking.kind_of_cut(text, limit, overlap) == ("forced" if want else "natural")
+    if want:
+        assert any(how == "forced" for *_, how in chunking.split(text, limit, overlap))
+
+
+def test_a_blank_behind_a_full_piece_is_natural():
+    assert chunking.split("abcde fghij klmno", 5, 0)[0] == (0, 5, "blank")
+
+
 def test_forced_cuts_keep_marks_together():
     assert chunking.split("e" + "́" + "a" * 3, 1, 0)[0][1] == 1
     assert all(not t.startswith("\n") for a, b, _ in chunking.split("a\r\n" * 20, 7, 0) if (t := ("a\r\n" * 20)[a:b]))
@@ -214,6 +227,25 @@ def test_languages_in_code():
     assert codetext.unescape(r"😀 \x41 \n") == "😀 A \n"
 
 
+# -- p2 --------------------------------------------------------------------------------------
+
+
+def test_names_of_languages_are_mapped_before_the_ratios(spark):
+    from tests.conftest import _SPARK as spark
+
+    rows = [("x" * 30, "y" * 60, s, t) for s, t in (("English", "русский"), ("en-US", "RU"), ("英语", "ru"), ("eng", "Russian"), ("en", "俄语"))]
+    got = pairs.usual_ratios(spark.createDataFrame(rows, "original_text string, translated_text string, source_lang string, target_lang string"))
+    assert got == {("en", "ru"): 2.0, ("", "ru"): 2.0}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab c"), max_size=60), st.text(st.sampled_from("ab c"), max_size=60))
+def test_copied_share(prompt, answer):
+    least = min(12, len(answer))
+    full = Automaton(prompt).coverage(answer, least) / max(1, len(answer))
+    assert pairs.copied(prompt, answer) == (full if full >= pairs.COPIED else pytest.approx(0.0, abs=pairs.COPIED))
+
+
 # -- p10 -------------------------------------------------------------------------------------
 
 
@@ -304,3 +336,17 @@ def test_a_language_needs_no_fixed_posterior():
     assert c._best("x")[0] == "es"
     c.best = lambda line: ("es", 0.5)
     assert codetext.languages("# hay que probar esto\n", "py", c) == [("comment", "es", 16, 0.5)]
+
+
+def test_damage_in_many_layers_and_escapes():
+    p = mojibake.Plausibility("Die Datei wurde nicht gefunden, größer als möglich. Не меняйте файл, пока работает поток. ファイルが見つかりません。日本語 " * 3)
+    text = "größer als möglich für"
+    for _ in range(5):  # more layers than any fixed depth
+        text = text.encode().decode("latin-1")
+    got = mojibake.examine(text, p)
+    assert got and got[0] == "größer als möglich für" and len(got[1].split()) == 5
+    iso = "日本語".encode("iso2022_jp").decode("ascii")
+    assert mojibake.examine("// " + iso, p)[0] == "// 日本語" and mojibake.examine("// " + iso.replace("\x1b", ""), p)[0] == "// 日本語"
+    assert mojibake.examine("gr=C3=B6=C3=9Fer", p)[0] == "größer"
+    for right in ("a=10=20", "\x1b[31mred\x1b[0m", "x = $B(1)", "color=FF=00", "größer"):
+        assert mojibake.examine(right, p) is None, right
