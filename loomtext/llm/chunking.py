@@ -13,16 +13,19 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from loomtext.session import batch_rows, spread, table
+from loomtext.session import batch_rows, table
 
 #: The characters that end an unbroken run (p1's definition).
 BREAKS = " \t\r\n　.!?;。！？；"
 _STOPS = np.array([ord(c) for c in ".!?;。！？；"], dtype=np.uint32)
 _BLANKS = np.array([ord(c) for c in " \t\r\n　"], dtype=np.uint32)
+_BLANK_SET = frozenset(_BLANKS.tolist())
 _LINES = np.array([ord(c) for c in "\r\n"], dtype=np.uint32)
 _WIDE_STOPS = np.array([ord(c) for c in "。！？；"], dtype=np.uint32)
 
@@ -109,6 +112,8 @@ def split(text: str, limit: int, overlap: int = 0) -> list[tuple[int, int, str]]
         end, how = _nearest(strong, low, high, goal), "sentence"
         if end < 0:
             end, how = _nearest(weak, low, high, goal), "blank"
+        if end < 0 and cp[high] in _BLANK_SET:  # a whole piece that a blank follows
+            end, how = high, "blank"
         if end < 0:  # nothing in reach: the last boundary before it that still makes progress
             end, how = _nearest(weak, start + overlap + 1, low, low), "blank"
         if end < 0:
@@ -123,7 +128,7 @@ PIECES = "piece_no int, start int, end int, cut string, piece string"
 
 
 def pieces(df: DataFrame, key: str, text: str, limit: str, overlap: str) -> DataFrame:
-    """(key, longest_run, split_max, piece_no, start, end, cut, piece) of every row.
+    """(key, piece_no, start, end, cut, piece) of every row.
 
     limit and overlap are columns. A null text gives no piece, an empty text one empty piece;
     a null limit leaves the text whole.
@@ -136,17 +141,24 @@ def pieces(df: DataFrame, key: str, text: str, limit: str, overlap: str) -> Data
             rows = []
             for k, t, lim, over in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if lim is None:
-                    rows.append((k, None, None, 0, 0, len(t), "end", t))
+                    rows.append((k, 0, 0, len(t), "end", t))
                     continue
-                run_length = longest_run(points(t))
-                rows += [(k, run_length, lim, i, s, e, how, t[s:e]) for i, (s, e, how) in enumerate(split(t, lim, over))]
-            cols = list(zip(*rows)) if rows else [[]] * 8
+                rows += [(k, i, s, e, how, t[s:e]) for i, (s, e, how) in enumerate(split(t, lim, over))]
+            cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()])],
-                names=[key, "longest_run", "split_max", "piece_no", "start", "end", "cut", "piece"],
+                [pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()])],
+                names=[key, "piece_no", "start", "end", "cut", "piece"],
             )
 
-    return src.mapInArrow(run, f"`{key}` {kind}, longest_run long, split_max long, {PIECES}")
+    return src.mapInArrow(run, f"`{key}` {kind}, {PIECES}")
+
+
+def kind_of_cut(text: str, limit: int, overlap: int) -> str:
+    """forced or natural, from the pieces of a text: a run of more than limit characters without a break
+    always makes a forced cut, so a text without one is natural. As the overlap takes room from a piece,
+    shorter runs may be cut, too; so forced cuts are checked against the longest run."""
+    forced = any(how == "forced" for *_, how in split(text, limit, overlap))
+    return "forced" if forced and longest_run(points(text)) > limit else "natural"
 
 
 def oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,14 +177,18 @@ def oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all oversized requests."""
     batch_rows(spark, 2000)
-    return pieces(oversized(spark, sf_dir), "request_id", "text", "split_max_chars", "overlap_chars").drop("longest_run", "split_max")
+    return pieces(oversized(spark, sf_dir), "request_id", "text", "split_max_chars", "overlap_chars")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, cut): the oversized requests, from their pieces."""
+    """(request_id, cut): the oversized requests, cut as their pieces tell. A null limit or overlap counts as in pieces()."""
     batch_rows(spark, 2000)
-    p = pieces(oversized(spark, sf_dir), "request_id", "text", "split_max_chars", "overlap_chars")
-    return p.where("piece_no = 0").select("request_id", F.when(F.col("longest_run") > F.col("split_max"), "forced").otherwise("natural").alias("cut"))
+
+    @F.pandas_udf(StringType())
+    def label(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+        return pd.Series(["natural" if pd.isna(m) else kind_of_cut(t, int(m), int(o)) for t, m, o in zip(text, limit, overlap)], dtype=object)
+
+    return oversized(spark, sf_dir).select("request_id", label("text", "split_max_chars", F.coalesce("overlap_chars", F.lit(0))).alias("cut"))
 
 
 P1_SQL = r"""
