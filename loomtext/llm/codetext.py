@@ -28,6 +28,7 @@ from loomtext.session import batch_rows, spread, table
 
 VOCABULARY = "byte_bpe_multi_50k"
 CODE_ROWS = 2000
+CODE_TEXT, CODE_LINES = 5000, 20_000
 LABEL_ROWS, LABEL_CHARS = 15_000, 80_000
 CODE_PRIOR = 0.5
 
@@ -244,16 +245,18 @@ def _model(text: dict[str, str], code: str, folder: str) -> Classes:
     return _MODELS[k]
 
 
-def code_sample(spark: SparkSession, sf_dir: str, rows: int = CODE_ROWS) -> str:
-    """Code without comments and literals of the first rows matches in the order of a hash."""
+def code_sample(spark: SparkSession, sf_dir: str, rows: int = CODE_ROWS, longest: int = CODE_TEXT, lines_at_most: int = CODE_LINES) -> str:
+    """Code without comments and literals of the first rows matches in the order of a hash: a bounded sample for the
+    unigram counts of the code class. Matches of more than longest characters aren't taken into it, and of its
+    distinct lines the first lines_at_most in their order, so it doesn't grow with the table."""
     code = table(spark, sf_dir, "verify_matches").where(F.lower(F.trim("category")) == "code")
-    some = langid.by_hash(code.select("match_id", "path", "extracted_text"), "match_id", rows).where(F.length("extracted_text") <= 5000)
+    some = langid.by_hash(code.select("match_id", "path", "extracted_text"), "match_id", rows).where(F.length("extracted_text") <= longest)
     got = sorted(some.limit(2 * rows).collect(), key=lambda r: (r["h"], r["path"] or ""))[:rows]
     lines = set()
     for r in got:
         ext = (r["path"] or "").rsplit(".", 1)[-1]
         lines |= {x.strip() for x in extract(r["extracted_text"], ext)[1].split("\n") if x.strip()}
-    return "\n".join(sorted(lines)[:20_000])
+    return "\n".join(sorted(lines)[:lines_at_most])
 
 
 def found(spark: SparkSession, sf_dir: str, folder: str = tokens.TOKENIZERS) -> DataFrame:

@@ -6,7 +6,8 @@ it wins, and the distance to the next language gives the confidence.
 
 Labelled text: lang_samples, and a bounded sample of the originals of translate_responses,
 whose source_lang is true: the first SAMPLE_ROWS rows in the order of a hash, at most
-SAMPLE_CHARS characters a language. Both bounds are parameters.
+SAMPLE_CHARS characters a language. Both bounds are parameters; texts of more than SAMPLE_TEXT characters
+aren't taken into the sample, so that no single text fills it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from loomtext.session import batch_rows, spread, table
 
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 24_000
+SAMPLE_TEXT = 2000
 
 LANGS = ("de", "en", "es", "fr", "ja", "ko", "pt", "ru", "zh")
 
@@ -84,13 +86,17 @@ def clean(sentence: str) -> str:
     return " ".join(_LETTER.findall(s.lower()))
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences and lines of a text without code blocks, code spans and addresses."""
+def prose(text: str) -> str:
+    """A text without code blocks, code spans and addresses."""
     t = unicodedata.normalize("NFC", text)
     if "`" in t:
         t = _TICKS.sub(" ", _FENCE.sub("\n", t))
-    if _RARE.search(t):
-        t = _SPAN.sub(" ", t)
+    return _SPAN.sub(" ", t) if _RARE.search(t) else t
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences and lines of a text without code blocks, code spans and addresses."""
+    t = prose(text)
     return [s for s in (x.strip(" \t　​﻿([{<>*#-–—•\"'“”«»「」") for x in _CUT.split(t)) if s]
 
 
@@ -201,11 +207,11 @@ def by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     return out if n <= rows else out.where(h < F.lit(int(-(1 << 63) + min(1.0, 1.25 * rows / n) * ((1 << 64) - 1024))))
 
 
-def sampled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+def sampled(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, longest: int = SAMPLE_TEXT) -> list[tuple[str, str]]:
     """[(language, text)]: the samples, then the bounded sample of responses."""
-    own = table(spark, sf_dir, "lang_samples").select("lang", "text").limit(rows).collect()
+    own = table(spark, sf_dir, "lang_samples").select("lang", "text").orderBy(F.xxhash64("text"), "text", "lang").limit(rows).collect()
     resp = by_hash(table(spark, sf_dir, "translate_responses"), "response_id", rows)
-    resp = resp.where(F.col("original_text").isNotNull() & (F.length("original_text") <= 2000)).select("h", F.col("original_text").alias("text"), F.col("source_lang").alias("lang"))
+    resp = resp.where(F.col("original_text").isNotNull() & (F.length("original_text") <= longest)).select("h", F.col("original_text").alias("text"), F.col("source_lang").alias("lang"))
     first = sorted(resp.limit(2 * rows).collect(), key=lambda r: (r["h"], r["text"], r["lang"] or ""))[:rows]
     return [(k, r["text"]) for r in [*own, *first] if r["text"] and (k := label(r["lang"])) in LANGS]
 
@@ -286,7 +292,7 @@ def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.Series(out)
 
     r = _requests(spark, sf_dir).select("request_id", "ingested_at", runs("text", "hint").alias("r"))
-    one = r.groupBy("request_id").agg(F.min_by("r", "ingested_at").alias("r"))
+    one = r.groupBy("request_id").agg(F.min_by("r", F.struct("ingested_at", "r")).alias("r"))
     return one.select("request_id", F.posexplode("r").alias("segment", "s")).select(
         "request_id", "segment", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.words", "s.text"
     )

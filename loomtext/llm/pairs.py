@@ -24,6 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomtext.llm import langid
 from loomtext.llm.suffix import Automaton
@@ -31,6 +32,9 @@ from loomtext.session import batch_rows, spread, table
 
 VOTERS = 600
 
+#: Covered share from which an answer in the prompt's language is a copy; in no or another language from COPIED_ALL.
+COPIED, COPIED_ALL = 0.5, 0.8
+
 #: Cues that someone declines, and cues of what is declined; lower case.
 DECLINE = """
 can't | cannot | can not | could not | couldn't | won't be able | unable to | not able to | must decline | have to decline | i decline | refuse to | goes against my | against my guidelines | i do not do | not something i | not comfortable | isn't enough context | not enough context | could you share more | need more context | provide more context
@@ -99,6 +103,9 @@ def refuses(answer: str, prompt: str) -> bool:
     return _declines(answer) and not _declines(prompt)
 
 
+_NO_VOTES: dict[str, float] = {}
+
+
 class Votes:
     """Words of labelled text that vote for languages."""
 
@@ -127,16 +134,19 @@ class Votes:
     def language(self, text: str) -> tuple[str | None, float]:
         """(language, lead over the next one)."""
         got: dict[str, float] = {}
-        for s in langid.sentences(text):
-            for u in self.units(langid.clean(s)):
-                for k, v in self.votes.get(u, {}).items():
-                    got[k] = got.get(k, 0.0) + v
+        for u in self.units(langid.clean(langid.prose(text))):
+            for k, v in self.votes.get(u, _NO_VOTES).items():
+                got[k] = got.get(k, 0.0) + v
         top = sorted(got.items(), key=lambda x: (-x[1], x[0]))[:2]
         if not top or top[0][1] <= 0:
             return None, 0.0
         return top[0][0], top[0][1] - (top[1][1] if len(top) > 1 else 0.0)
 
 
+def _without_tail(t: str) -> str:
+    return _TAIL.sub("", t) if t.rstrip()[-1:] in ("]", "_") else t
+
+
 def unwrap(answer: str) -> str:
     """The answer without wrapping marks: fences, quotation marks, a leading title, trailing markers."""
     t = answer.strip(" \t\r\n　﻿​")
@@ -144,8 +154,9 @@ def unwrap(answer: str) -> str:
         before = t
         m = _FENCED.match(t)
         t = m.group(1) if m else t
-        t = _PREFIX.sub("", t)
-        t = _TAIL.sub("", t).strip()
+        if ":" in t[:120] or "：" in t[:120]:
+            t = _PREFIX.sub("", t)
+        t = _without_tail(t).strip()
         if len(t) > 1 and (t[0], t[-1]) in {('"', '"'), ("'", "'"), ("“", "”"), ("„", "“"), ("«", "»"), ("「", "」"), ("『", "』"), ("`", "`")} and t[0] not in t[1:-1]:
             t = t[1:-1].strip()
         if t == before:
@@ -181,7 +192,7 @@ def _weight(text: str) -> float:
 def truncated(prompt: str, answer: str, ratio: float, votes: Votes, target: str) -> bool:
     """Does the answer end before the prompt does? ratio: usual length of an answer over its
     prompt, in characters, for the pair of languages."""
-    p, a = _TAIL.sub("", prompt).rstrip(_QUOTES), _TAIL.sub("", answer).rstrip(_QUOTES)
+    p, a = _without_tail(prompt).rstrip(_QUOTES), _without_tail(answer).rstrip(_QUOTES)
     if not a:
         return False
     if open_delimiters(answer) > open_delimiters(prompt):
@@ -212,33 +223,45 @@ def truncated(prompt: str, answer: str, ratio: float, votes: Votes, target: str)
     return size < short
 
 
+def copied(prompt: str, answer: str) -> float:
+    """Share of the answer's characters that lie in long substrings of the prompt, by a walk over the
+    prompt's suffix automaton. A share below COPIED decides nothing and is given as 0: the automaton is made
+    only where the substrings of the least length that both share could cover so much."""
+    least = min(4 if langid._CJK.search(prompt) else 12, len(answer))
+    known = {prompt[i : i + least] for i in range(len(prompt) - least + 1)}
+    shared = sum([answer[i : i + least] in known for i in range(len(answer) - least + 1)])
+    if shared * least < COPIED * len(answer):
+        return 0.0
+    return Automaton(prompt).coverage(answer, least) / max(1, len(answer))
+
+
 def defect(prompt: str | None, answer: str | None, source: str | None, target: str | None, ratios: dict, model: langid.Model, votes: Votes) -> str | None:
     """The defect of one response, or None.
 
     None also where nothing can be judged: a null or wordless prompt, equal or unknown
-    languages on both sides.
+    languages on both sides. Whether the prompt holds words of a language is the dearest question and is
+    asked only of suspects.
     """
     src, tgt = langid.label(source), langid.label(target)
-    if src is None and tgt is None or src == tgt:
-        return None
-    segments = model.segments(prompt)
-    if not segments:
+    if src is None and tgt is None or src == tgt or not prompt:
         return None
-    body = unwrap(answer or "")
+    found = _suspect(prompt, answer or "", src, tgt, ratios, votes)
+    return found if found and model.segments(prompt) else None
+
+
+def _suspect(prompt: str, answer: str, src: str | None, tgt: str | None, ratios: dict, votes: Votes) -> str | None:
+    body = unwrap(answer)
     if not _ALNUM.search(body):
         return "empty"
     if refuses(answer, prompt):
         return "refusal"
     lang, lead = votes.language(body)
-    flat_p, flat_a = _flat(prompt), _flat(body)
-    cjk = bool(langid._CJK.search(flat_p))
-    least = 4 if cjk else 12
-    covered = Automaton(flat_p).coverage(flat_a, min(least, len(flat_a))) / max(1, len(flat_a))
-    if covered >= 0.8 and lang != tgt:
+    covered = copied(_flat(prompt), _flat(body))
+    if covered >= COPIED_ALL and lang != tgt:
         return "copy"
     if lang is not None and tgt is not None and lang not in (src, tgt) and lead > 1.5:
         return "wrong_language"
-    if lang == src and lang != tgt and covered >= 0.5:
+    if lang == src and lang != tgt and covered >= COPIED:
         return "copy"
     if lang == tgt or lang is None or lead <= 1.5:
         ratio = ratios.get((src, tgt)) or ratios.get(("", tgt)) or 1.0
@@ -247,22 +270,21 @@ def defect(prompt: str | None, answer: str | None, source: str | None, target: s
     return None
 
 
+@F.pandas_udf(StringType())
+def _code(label: pd.Series) -> pd.Series:
+    return label.map(langid.label)
+
+
 def usual_ratios(responses: DataFrame) -> dict[tuple[str, str], float]:
     """Median length of an answer over its original by pair of languages, over all rows. Labels
-    are first reduced to their leading letters, so there are few groups."""
-    lead = lambda c: F.regexp_extract(F.lower(F.trim(c)), r"^\p{L}{1,3}", 0)
+    are mapped to the nine codes before the grouping, so there are at most 100 groups."""
     rows = (
         responses.where((F.length("original_text") >= 20) & (F.length("translated_text") > 0))
-        .groupBy(lead("source_lang").alias("s"), lead("target_lang").alias("t"))
-        .agg(F.percentile_approx(F.length("translated_text") / F.length("original_text"), 0.5, 1000).alias("r"), F.count("*").alias("n"))
-        .orderBy(F.desc("n")).limit(2000).collect()
+        .select(_code("source_lang").alias("s"), _code("target_lang").alias("t"), (F.length("translated_text") / F.length("original_text")).alias("r"))
+        .where("s IS NOT NULL AND t IS NOT NULL")
+        .groupBy("s", "t").agg(F.percentile_approx("r", 0.5, 1000).alias("r"), F.count("*").alias("n")).collect()
     )
-    best: dict[tuple[str, str], tuple[int, float]] = {}
-    for r in rows:
-        k = (langid.label(r["s"]), langid.label(r["t"]))
-        if None not in k and r["n"] > best.get(k, (0, 0))[0]:
-            best[k] = (r["n"], r["r"])
-    out = {k: v for k, (n, v) in best.items() if n >= 5}
+    out = {(r["s"], r["t"]): r["r"] for r in rows if r["n"] >= 5}
     for t in langid.LANGS:
         own = [v for (_, b), v in out.items() if b == t]
         if own:

@@ -2,7 +2,7 @@
 
 The rank file is read on the executors from a path that is a parameter; it is never copied
 into the repository. Long texts are pre-split where the tokenizer's own pattern always
-ends a piece (before white space that follows a character that is none), so the pieces can
+ends a piece (before white space, and where letters, numbers and signs meet), so the pieces can
 be encoded one by one and give the very ids of the whole text.
 """
 
@@ -29,7 +29,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A text is encoded in chunks of about so many characters.
 CHUNK = 1 << 16
 
-_SAFE = regex.compile(r"(?<=\S)(?=\s)")
+#: Places where the pattern always ends a piece: before white space, and between letters, numbers and signs (but not
+#: after an apostrophe, which may begin a contraction).
+_SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 @functools.lru_cache(maxsize=4)
@@ -50,7 +52,7 @@ def _bytes_of(name: str, folder: str) -> list[bytes]:
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     """Pieces of a long text, cut at the first safe boundary from each size on. A stretch
-    without any white space stays whole: cutting it could change the merges."""
+    of letters alone, numbers alone or signs alone stays whole: cutting it could change the merges."""
     at = 0
     while len(text) - at > size:
         m = _SAFE.search(text, at + size)
