@@ -65,7 +65,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> int
         if got is not None:
             got.show(100, False)
     else:
-        counts = C.translate(spark, a.path, a.out or "translated", lambda: Service([EchoProvider()]), cfg, None, a.dry_run or not a.out)
+        counts = C.translate(spark, a.path, a.out or "translated", lambda options: Service([EchoProvider()], options=options), cfg, None, a.dry_run or not a.out)
         events.event("finished", **counts)
         print(C.report(counts))
     return 0

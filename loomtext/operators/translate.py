@@ -216,6 +216,7 @@ class Options:
     max_retries: int = 3
     base_delay: float = 0.0
     split_above: int = 5000
+    split_size: int = 0  # of the parts; 0 is split_above
     rate: float = 0.0
 
 
@@ -236,7 +237,8 @@ class Health:
 
 
 class TokenBucket:
-    """At most rate calls a second in this partition; 0 is no limit."""
+    """At most rate calls a second in this partition; 0 is no limit. For a limit over a job its rate is shared
+    by the partitions that may run at once (commands.service_options)."""
 
     def __init__(self, rate: float, clock=time.monotonic, sleep=time.sleep):
         self.rate, self.clock, self.sleep, self.next = rate, clock, sleep, 0.0
@@ -284,7 +286,8 @@ class Service:
 
     def one(self, text: str, source: str, target: str) -> tuple[str, str | None, str | None]:
         """(translation or original, provider, error)."""
-        parts = split_text(text, self.options.split_above) if self.options.split_above else [text]
+        above = self.options.split_above
+        parts = split_text(text, min(above, self.options.split_size or above)) if above and len(text) > above else [text]
         if len(parts) > 1:
             done = [self.one(p, source, target) for p in parts]
             error = next((e for *_, e in done if e), None)

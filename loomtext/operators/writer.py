@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 import stat
 import time
+import uuid
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.session import file_system
+
 
 def detect_ending(text: str) -> str:
     return "\r\n" if "\r\n" in text else "\n"
@@ -249,35 +253,41 @@ def backup_name(path: str, stamp: str) -> str:
 
 
 def write_files(applied: DataFrame, root: str, backup_dir: str | None = None, encoding: str = "utf-8") -> DataFrame:
-    """Write the changed files below a shared root, never in place: each to a temporary name, then
-    renamed. One result row per file: path, success, units_written, error. A file that already
-    stands there is backed up first if a folder is given, and its permissions are kept."""
+    """Write the changed files below a root that all executors share, never in place: each to a temporary name of
+    its own attempt, then moved, so a task that is run again or lost leaves whole files. root and backup_dir are
+    paths or addresses of a file system. One result row per file: path, success, units_written, error. A file that
+    already stands there is backed up first if a folder is given; on local disks its permissions are kept. Without a
+    scheme the root must be a folder that is mounted on all machines."""
 
     def run(batches):
+        from pyarrow import fs as pafs
+
         stamp = time.strftime("%Y%m%d_%H%M%S", time.gmtime())
+        store, base = file_system(root)
         for pdf in batches:
             out = []
             for path, after, changed in zip(pdf["path"], pdf["after"], pdf["changed"]):
                 ok, error = True, None
                 try:
                     if changed:
-                        goal = os.path.normpath(os.path.join(root, path.lstrip("/")))
-                        if not goal.startswith(os.path.normpath(root) + os.sep):
+                        goal = posixpath.normpath(posixpath.join(base, path.lstrip("/")))
+                        if not goal.startswith(posixpath.normpath(base) + "/"):
                             raise ValueError("a path that leaves the root")
-                        os.makedirs(os.path.dirname(goal), exist_ok=True)
-                        mode = None
-                        if os.path.exists(goal):
-                            mode = stat.S_IMODE(os.stat(goal).st_mode)
+                        store.create_dir(posixpath.dirname(goal), recursive=True)
+                        local, mode = isinstance(store, pafs.LocalFileSystem), None
+                        if store.get_file_info(goal).type == pafs.FileType.File:
+                            mode = stat.S_IMODE(os.stat(goal).st_mode) if local else None
                             if backup_dir:
-                                os.makedirs(backup_dir, exist_ok=True)
-                                with open(goal, "rb") as f, open(os.path.join(backup_dir, backup_name(path, stamp)), "wb") as g:
+                                kept, folder = file_system(backup_dir)
+                                kept.create_dir(folder, recursive=True)
+                                with store.open_input_stream(goal) as f, kept.open_output_stream(posixpath.join(folder, backup_name(path, stamp))) as g:
                                     g.write(f.read())
-                        tmp = f"{goal}.{os.getpid()}.tmp"
-                        with open(tmp, "wb") as f:
+                        tmp = f"{goal}.{uuid.uuid4().hex}.tmp"
+                        with store.open_output_stream(tmp) as f:
                             f.write(after.encode(encoding))
                         if mode is not None:
                             os.chmod(tmp, mode)
-                        os.replace(tmp, goal)
+                        store.move(tmp, goal)
                 except Exception as x:  # reported per file
                     ok, error = False, str(x)[:500]
                 out.append((path, ok, int(bool(changed) and ok), error))

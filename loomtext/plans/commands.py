@@ -7,6 +7,7 @@ import json
 import posixpath
 import time
 from collections.abc import Callable
+from dataclasses import fields, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,30 @@ from loomtext.sources import config as G
 from loomtext.sources import scan as N
 
 
+def scan_options(root: str, cfg: G.ProjectConfig) -> N.ScanOptions:
+    return N.ScanOptions(root, tuple(cfg.include), tuple(cfg.exclude), cfg.use_gitignore, None, tuple(cfg.gitignore_patterns))
+
+
+def flat_settings(cfg, prefix: str = "") -> dict:
+    """All settings by their names, nested ones with dots; lists of tables as JSON."""
+    out = {}
+    for f in fields(cfg):
+        v = getattr(cfg, f.name)
+        if is_dataclass(v):
+            out |= flat_settings(v, f"{prefix}{f.name}.")
+        elif isinstance(v, (list, tuple)) and any(isinstance(x, dict) for x in v):
+            out[prefix + f.name] = json.dumps(v, sort_keys=True)
+        else:
+            out[prefix + f.name] = list(v) if isinstance(v, (tuple, set, frozenset)) else v
+    return out
+
+
+def service_options(cfg: G.ProjectConfig, rate: float = 0.0) -> T.Options:
+    """Options of a service from a project's settings: texts above max_char_count are split into parts of at most
+    split_max_chars. The rate is that of the whole job; each of its concurrent tasks gets its share."""
+    return T.Options(batch_size=cfg.batch_size, split_above=cfg.max_char_count, split_size=cfg.split_max_chars, rate=rate / max(1, cfg.concurrency) if rate else 0.0)
+
+
 def read_texts(files: DataFrame, least: float = 0.7) -> DataFrame:
     """files(path, ext, content) with encoding, text (without mark) and error."""
     d = files.withColumn("__d", E.detect(F.col("content")))
@@ -65,7 +90,7 @@ def verify(spark: SparkSession, root: str, cfg: G.ProjectConfig | None = None, *
     """(matches, summary) of a tree. only: pattern_name, ext, category, text. The summary has one
     row per group (dimension, value, n) and the total; total_files counts the scanned files."""
     cfg = cfg or G.ProjectConfig()
-    files = N.scan(spark, N.ScanOptions(root, tuple(cfg.include), tuple(cfg.exclude), cfg.use_gitignore, None, tuple(cfg.gitignore_patterns)))
+    files = N.scan(spark, scan_options(root, cfg))
     texts = read_texts(files, cfg.min_confidence)
     m = P.match_filter(X.verify_matches(units_of(texts.where("error IS NULL"), cfg)), **only)
     return m, summary(m, files.count())
@@ -103,7 +128,7 @@ def detect(spark: SparkSession, root: str, script: str = "CJK", cfg: G.ProjectCo
     cfg = cfg or G.ProjectConfig()
     if script.upper() not in S.DETECT:
         raise ValueError(f"unknown script {script!r}")
-    files = N.scan(spark, N.ScanOptions(root, tuple(cfg.include), tuple(cfg.exclude), cfg.use_gitignore))
+    files = N.scan(spark, scan_options(root, cfg))
     lines = read_texts(files, 0.0).where("text IS NOT NULL").select("path", F.posexplode(K.lines(F.col("text"))).alias("i", "line_text")).withColumn("line", F.col("i") + 1)
     hit = S.matches_script(F.col("line_text"), script)
     seg = O.islands(lines.where(hit), ["path"], "line", "line_text")
@@ -119,16 +144,17 @@ def detect_report(segments: DataFrame) -> DataFrame:
     return segments.select("path", "start_line", F.concat_ws("\n", head, body, F.when(more > 0, F.concat(F.lit("... "), more.cast("string"), F.lit(" more lines")))).alias("report"))
 
 
-def translate(spark: SparkSession, root: str, out: str, make: Callable[[], T.Service], cfg: G.ProjectConfig | None = None, cache: B.CacheTable | None = None, dry_run: bool = False) -> dict:
+def translate(spark: SparkSession, root: str, out: str, make: Callable[[T.Options], T.Service], cfg: G.ProjectConfig | None = None, cache: B.CacheTable | None = None, dry_run: bool = False, rate: float = 0.0) -> dict:
     """Translate a tree into another place. Files whose content, project and configuration the
     cache knows as translated are skipped; after the write the new contents are recorded too, so
-    the next run hits. Returns the run's counters. dry_run neither calls providers nor writes."""
+    the next run hits. Returns the run's counters. make gets the project's options; at most concurrency tasks
+    call providers at once, and rate is the calls a second of the whole job. dry_run neither calls providers nor writes."""
     cfg = (cfg or G.ProjectConfig()).normalized()
     began = time.time()
     source = next(iter(cfg.source_langs), "auto")
     print_ = C.project_id(F.lit(root))
-    hashed = C.config_hash({k: v for k, v in vars(cfg).items() if isinstance(v, (str, int, float, bool, list, type(None)))})
-    files = N.scan(spark, N.ScanOptions(root, tuple(cfg.include), tuple(cfg.exclude), cfg.use_gitignore))
+    hashed = C.config_hash(flat_settings(cfg))
+    files = N.scan(spark, scan_options(root, cfg))
     files = files.withColumn("file_hash", F.sha2("content", 256)).withColumn("project_fingerprint", print_).withColumn("config_hash", hashed)
     todo = files
     if cache:
@@ -141,7 +167,8 @@ def translate(spark: SparkSession, root: str, out: str, make: Callable[[], T.Ser
     counts["cache_hits"] = counts["total_files"] - counts["processed"]
     if dry_run:
         return counts | {"translated": 0, "written": 0, "seconds": time.time() - began}
-    done = cut(T.translate(units, make))
+    options = service_options(cfg, rate)
+    done = cut(T.translate(units.coalesce(cfg.concurrency), lambda: make(options)))
     fixed = done.where("error IS NULL").select("path", "content", "translated", "raw_match", F.col("start.line").alias("line"), F.col("start.column").alias("column"))
     rel = good.select(F.col("path").alias("full"), F.col("rel_path").alias("path"), "text", "file_hash", "mtime")
     applied = cut(W.apply_units(rel.select("full", "text").withColumnRenamed("full", "path"), fixed))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +65,12 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
     """Bound the rows of one Arrow batch, so that long texts do not pile up in a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def file_system(root: str):
+    """(file system, folder) of a root with or without a scheme: local disks, HDFS and object stores alike."""
+    from pyarrow import fs
+
+    if "://" in root or root.startswith("file:"):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/*(?=/)", "file://", root))
+    return fs.LocalFileSystem(), os.path.abspath(root)

@@ -1,11 +1,14 @@
 """The cache of processed files as a table: lookups, upserts, removals and clean-up.
 
-Parquet takes the place of a binary index: its footer has the checks and the offsets. A write goes
-to a new folder, which then takes the name of the old one, so readers never see half a table.
+Parquet takes the place of a binary index: its footer has the checks and the offsets. A version of the table is a
+list of part folders in a manifest. A write makes a new part and then a new manifest, created exclusively, so
+readers see the old version or the new one, and of two writers at once one is refused. An upsert writes only the new
+entries; after COMPACT parts the table is written anew.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +70,10 @@ def expired(files: DataFrame, ttl_days: int) -> DataFrame:
     return filter_by_age(find_backups(files), "mtime", ttl_days)
 
 
+#: Parts after which an upsert writes the whole table anew, and versions that readers may still hold.
+COMPACT, KEPT = 16, 3
+
+
 class CacheTable:
     """A cache at a location; every change is one new version of the table."""
 
@@ -75,39 +82,99 @@ class CacheTable:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.location).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> list[str]:
+        p = self._path(f"{self.location}/_versions")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p) if s.getPath().getName().endswith(".json")) if self._fs.exists(p) else []
+
+    def _parts(self, name: str) -> list[str]:
+        stream = self._fs.open(self._path(f"{self.location}/_versions/{name}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["parts"]
+        finally:
+            stream.close()
+
+    def _head(self) -> tuple[int, list[str]]:
+        """Number and parts of the last whole version."""
+        for name in reversed(self._manifests()):
+            try:
+                return int(name[:-5]), self._parts(name)
+            except ValueError:  # a writer died while it wrote the manifest
+                continue
+        return -1, []
+
     def exists(self) -> bool:
-        return self._fs.exists(self._path(self.location + "/_SUCCESS"))
+        return bool(self._head()[1])
 
     def read(self) -> DataFrame:
-        """The entries; an empty table where there is none yet."""
-        return self.spark.read.schema(SCHEMA).parquet(self.location) if self.exists() else self.spark.createDataFrame([], SCHEMA)
-
-    def _replace(self, df: DataFrame) -> None:
-        tmp = f"{self.location}.{uuid.uuid4().hex[:8]}"
-        df.write.parquet(tmp)
-        old = self._path(f"{tmp}.old")
-        had = self._fs.exists(self._path(self.location))
-        if had:
-            self._fs.rename(self._path(self.location), old)
-        self._fs.rename(self._path(tmp), self._path(self.location))
-        if had:
-            self._fs.delete(old, True)
+        """The newest entry of every key; an empty table where there is none yet."""
+        return self._of(self._head()[1])
+
+    def _of(self, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMA)
+        return latest(self.spark.read.schema(SCHEMA).parquet(*(f"{self.location}/{p}" for p in parts)))
+
+    def _publish(self, df: DataFrame | None, head: tuple[int, list[str]], keep: list[str]) -> None:
+        """df as a new part beside those that are kept."""
+        parts = list(keep)
+        if df is not None:
+            parts.append(f"part-{uuid.uuid4().hex}")
+            df.write.parquet(f"{self.location}/{parts[-1]}")
+        last = max([head[0], *(int(n[:-5]) for n in self._manifests())])
+        if last > head[0] and self._head()[0] != head[0]:
+            raise RuntimeError("another writer has changed the cache")
+        out = self._fs.create(self._path(f"{self.location}/_versions/{last + 1:012d}.json"), False)  # exclusive
+        out.write(bytearray(json.dumps({"parts": parts}).encode()))
+        out.close()
+        self._sweep()
+
+    def _sweep(self) -> None:
+        """Versions that no reader should hold any more go, with the parts only they name."""
+        names = self._manifests()
+        old, kept = names[:-KEPT], names[-KEPT:]
+        used: set[str] = set()
+        for n in kept:
+            try:
+                used |= set(self._parts(n))
+            except ValueError:
+                pass
+        for n in old:
+            try:
+                for p in set(self._parts(n)) - used:
+                    self._fs.delete(self._path(f"{self.location}/{p}"), True)
+            except ValueError:
+                pass
+            self._fs.delete(self._path(f"{self.location}/_versions/{n}"), False)
 
     def upsert(self, entries: DataFrame) -> None:
-        """Newer entries of a key take the place of older ones."""
-        self._replace(latest(self.read().unionByName(entries.select(*[c.split()[0] for c in SCHEMA.split(", ")]))))
+        """Newer entries of a key take the place of older ones, as soon as the table is read."""
+        head = self._head()
+        rows = latest(entries.select(*[c.split()[0] for c in SCHEMA.split(", ")]))
+        if len(head[1]) < COMPACT:
+            self._publish(rows, head, head[1])
+        else:
+            self._publish(latest(self._of(head[1]).unionByName(rows)), head, [])
 
     def invalidate(self, file_hash: str) -> None:
-        """Also the last entry of a table is really removed."""
-        self._replace(self.read().where(F.col("file_hash") != file_hash))
+        """Also the last entry of a table is really removed. Only parts that hold the hash are written anew."""
+        head = self._head()
+        read = lambda p: self.spark.read.schema(SCHEMA).parquet(f"{self.location}/{p}")
+        hit = [p for p in head[1] if not read(p).where(F.col("file_hash") == file_hash).isEmpty()]
+        if hit:
+            rest = None
+            for p in hit:
+                rest = read(p) if rest is None else rest.unionByName(read(p))
+            self._publish(rest.where(F.col("file_hash") != file_hash), head, [p for p in head[1] if p not in hit])
 
     def clear(self) -> None:
         self._fs.delete(self._path(self.location), True)
 
     def cleanup(self, existing: DataFrame) -> int:
-        gone = orphans(self.read(), existing).count()
+        head = self._head()
+        now = self._of(head[1])
+        gone = orphans(now, existing).count()
         if gone:
-            self._replace(self.read().join(existing.select("file_hash").distinct(), "file_hash", "left_semi"))
+            self._publish(now.join(existing.select("file_hash").distinct(), "file_hash", "left_semi"), head, [])
         return gone
 
     def entries(self) -> DataFrame:

@@ -7,9 +7,12 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.session import file_system
+
 
 def glob_regex(glob: str) -> str | None:
     """Regular expression of a glob over a whole path: * and ? also match a slash, [...] is a
@@ -169,19 +172,73 @@ def load_ignores(spark: SparkSession, opts: ScanOptions) -> list[IgnoreRule]:
     return parse_ignores([*lines, *opts.gitignore_patterns])
 
 
-def scan(spark: SparkSession, opts: ScanOptions) -> DataFrame:
-    """(path, rel_path, ext, length, mtime, content) of one file or a tree. FileNotFoundError for
-    a root that doesn't exist. The rules are applied to paths before contents are read, as the
-    filter uses no content."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(opts.root)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+#: Directories whose rules are judged at once, and files whose contents are read by one relation.
+LEVEL, FILES = 10_000, 200_000
+
+
+def listed(spark: SparkSession, opts: ScanOptions) -> list[tuple[str, str]]:
+    """[(path, relative path)] of the files that the rules take: names only, as any file index keeps them. A tree is
+    listed level by level, and no directory is opened that is excluded or ignored or lies in one that is."""
     if not opts.root:
         raise ValueError("an empty root")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(opts.root)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         raise FileNotFoundError(opts.root)
-    single = fs.getFileStatus(hadoop).isFile()
-    root = fs.getFileStatus(hadoop).getPath().toString()
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(opts.root)
-    rel = F.element_at(F.split("path", "/"), -1) if single else F.substring(F.col("path"), len(root) + 2, 1 << 30)
-    df = df.select("path", rel.alias("rel_path"), F.regexp_extract("path", r"\.([^./]+)\z", 1).alias("ext"), "length", F.col("modificationTime").alias("mtime"), "content")
-    return df.where(include_file(F.col("rel_path"), list(opts.include), list(opts.exclude), load_ignores(spark, opts)))
+    rules = load_ignores(spark, opts)
+    status = fs.getFileStatus(hadoop)
+    root = status.getPath().toString().rstrip("/")
+    if status.isFile():
+        return _kept(spark, [root.rpartition("/")[2]], lambda p: include_file(p, list(opts.include), list(opts.exclude), rules), root.rpartition("/")[0])
+    files, level = [], [""]
+    while level:
+        below = []
+        for rel in level:
+            for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{rel}" if rel else root)):
+                name = s.getPath().getName()
+                (below if s.isDirectory() else files).append(f"{rel}/{name}" if rel else name)
+        level = [r for _, r in _kept(spark, below, lambda p: ~exclude_dir(p, list(opts.exclude), rules), root)] if opts.exclude or rules else below
+    # the directories are judged already, but a rule that brings a path back may ask for its parents again
+    return _kept(spark, files, lambda p: include_file(p, list(opts.include), list(opts.exclude), rules), root)
+
+
+def _kept(spark: SparkSession, names: list[str], rule, root: str) -> list[tuple[str, str]]:
+    out = []
+    for i in range(0, len(names), LEVEL):
+        part = spark.createDataFrame([(x,) for x in names[i : i + LEVEL]], "p string")
+        out += [(f"{root}/{r['p']}", r["p"]) for r in part.where(F.coalesce(rule(F.col("p")), F.lit(False))).collect()]
+    return sorted(out)
+
+
+def scan(spark: SparkSession, opts: ScanOptions) -> DataFrame:
+    """(path, rel_path, ext, length, mtime, content) of one file or a tree. FileNotFoundError for
+    a root that doesn't exist. The rules are applied to names; only the contents of the files they take are read."""
+    found = listed(spark, opts)
+    status = spark._jvm.org.apache.hadoop.fs.Path(opts.root)
+    status = status.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(status)
+    root = status.getPath().toString().rstrip("/")
+    root = root.rpartition("/")[0] if status.isFile() else root
+    # Spark's file sources pass over names that begin with a dot or a low line, as __init__.py does
+    plain = [p for p, _ in found if not p.rpartition("/")[2].startswith((".", "_"))]
+    rest = [p for p, _ in found if p.rpartition("/")[2].startswith((".", "_"))]
+    parts = []
+    for i in range(0, len(plain), FILES):
+        # globs are taken literally: their signs are escaped
+        paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in plain[i : i + FILES]]
+        parts.append(spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").alias("mtime"), "content"))
+    if rest or not parts:
+        names = spark.createDataFrame([(p,) for p in rest], "path string").repartition(max(1, min(len(rest) // 100, 1000)))
+        parts.append(names.mapInPandas(_contents, "path string, length long, mtime timestamp, content binary"))
+    df = reduce(DataFrame.unionByName, parts)
+    return df.select("path", F.substring("path", len(root) + 2, 1 << 30).alias("rel_path"), F.regexp_extract("path", r"\.([^./]+)\z", 1).alias("ext"), "length", "mtime", "content")
+
+
+def _contents(batches):
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            store, name = file_system(path)
+            with store.open_input_stream(name) as f:
+                data = f.read()
+            rows.append((path, len(data), pd.Timestamp(store.get_file_info(name).mtime).tz_convert(None), data))
+        yield pd.DataFrame(rows, columns=["path", "length", "mtime", "content"])

@@ -50,7 +50,7 @@ def test_detect(spark, tree):
 
 def test_translate_with_cache(spark, tree, tmp_path):
     words = {"你好": "Hello", "世界": "World", "早上好": "Good morning"}
-    make = lambda: T.Service([T.DictionaryProvider(words)])
+    make = lambda options: T.Service([T.DictionaryProvider(words)], options=options)
     cfg = G.ProjectConfig(source_langs=["zh"], include=["*.py", "*.js"])
     cache = B.CacheTable(spark, str(tmp_path / "cache"))
     out = tmp_path / "out"
@@ -66,6 +66,29 @@ def test_translate_with_cache(spark, tree, tmp_path):
     assert "Cache hit rate: 100.0%" in C.report(two) and json.loads(C.report(two, "json"))["cache_hits"] == 3
 
 
+def test_settings_act(spark, tree, tmp_path):
+    """Limits, batch size and concurrency reach the service; the filter is part of the configuration's hash; ignore patterns hold everywhere."""
+    seen = []
+
+    def make(options):
+        seen.append(options)
+        return T.Service([T.DictionaryProvider({})], options=options)
+
+    cfg = G.ProjectConfig(source_langs=["zh"], batch_size=7, concurrency=2, max_char_count=90, split_max_chars=40)
+    o = C.service_options(cfg, rate=10)
+    assert (o.batch_size, o.split_above, o.split_size, o.rate) == (7, 90, 40, 5.0)
+    s = T.Service([T.EchoProvider()], options=o)
+    parts = []
+    s._call = lambda name, texts, a, b: parts.extend(texts) or texts
+    assert s.one("x" * 91, "zh", "en")[0] == "x" * 91 and max(map(len, parts)) == 40 and s.one("y" * 90, "zh", "en")[0] == "y" * 90 and parts[-1] == "y" * 90
+    a, b = C.flat_settings(cfg), C.flat_settings(G.ProjectConfig(filter=G.FilterConfig(min_length=5)))
+    assert any(k.startswith("filter.") for k in a) and {k for k in a if k.startswith("filter.") and a[k] != b[k]} == {"filter.min_length"}
+    all_, few = (C.detect(spark, str(tree), cfg=G.ProjectConfig(gitignore_patterns=p))[1].first()["files"] for p in ([], ["sub/"]))
+    assert few == all_ - 1
+    none = C.translate(spark, str(tree), str(tmp_path / "o"), make, G.ProjectConfig(source_langs=["zh"], gitignore_patterns=["*"]), dry_run=True)
+    assert none["total_files"] == 0
+
+
 def test_state_machine_and_custom_units(spark, tree):
     cfg = G.ProjectConfig(source_langs=["zh"], custom_patterns=[{"name": "q", "regex": "'([^']*)'", "group": 1, "extensions": ["py"], "category": "string"}],
                           state_machines=[{"name": "m", "initial": "a", "accepting": ["a"], "states": [{"name": "a", "regex": "早上"}], "extensions": ["js"]}])

@@ -24,18 +24,39 @@ def test_ignore_rules(spark):
 
 
 def test_scan(spark, tmp_path):
-    for name, text in {"a.py": "x", "sub dir/b-1.py": "y", "sub dir/c.log": "z", "out/d.py": "w", ".gitignore": "*.log\n/out/\n"}.items():
+    for name, text in {"a.py": "x", "sub dir/b-1.py": "y", "sub dir/c.log": "z", "out/d.py": "w", ".gitignore": "*.log\n/out/\n", "pkg/__init__.py": "v"}.items():
         p = tmp_path / name
         p.parent.mkdir(exist_ok=True)
         p.write_text(text)
     rel = lambda **kw: sorted(r["rel_path"] for r in N.scan(spark, N.ScanOptions(str(tmp_path), **kw)).select("rel_path").collect())
-    assert rel(include=("*.py",)) == ["a.py", "sub dir/b-1.py"]
-    assert rel(include=("*.py",), use_gitignore=False) == ["a.py", "out/d.py", "sub dir/b-1.py"]
-    assert rel(include=("**/*.py",), exclude=("sub*",)) == ["a.py"]
+    assert rel(include=("*.py",)) == ["a.py", "pkg/__init__.py", "sub dir/b-1.py"]
+    assert rel(include=("*.py",), use_gitignore=False) == ["a.py", "out/d.py", "pkg/__init__.py", "sub dir/b-1.py"]
+    assert rel(include=("**/*.py",), exclude=("sub*",)) == ["a.py", "pkg/__init__.py"]
     one = N.scan(spark, N.ScanOptions(str(tmp_path / "a.py"))).first()
     assert (one["rel_path"], one["ext"], bytes(one["content"])) == ("a.py", "py", b"x")
+    init = N.scan(spark, N.ScanOptions(str(tmp_path / "pkg"))).first()
+    assert (init["rel_path"], init["length"], bytes(init["content"])) == ("__init__.py", 1, b"v")
     with pytest.raises(FileNotFoundError):
         N.scan(spark, N.ScanOptions(str(tmp_path / "none")))
+    (tmp_path / "empty").mkdir()
+    assert N.scan(spark, N.ScanOptions(str(tmp_path / "empty"))).count() == 0
+
+
+def test_excluded_folders_are_never_opened(spark, tmp_path):
+    for name in ("src/a.py", "vendor/deep/b.py", "build/c.py", "odd[1]{x}.py"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("x")
+    opened = []
+
+    real = N._kept
+    try:
+        N._kept = lambda spark, names, rule, root: (opened.append(list(names)), real(spark, names, rule, root))[1]
+        got = N.listed(spark, N.ScanOptions(str(tmp_path), exclude=("vendor*",), gitignore_patterns=("build/",)))
+    finally:
+        N._kept = real
+    assert [r for _, r in got] == ["odd[1]{x}.py", "src/a.py"] and all("deep" not in x for names in opened for x in names)
+    assert N.scan(spark, N.ScanOptions(str(tmp_path), exclude=("vendor*",), gitignore_patterns=("build/",))).count() == 2
 
 
 def test_globs(spark):
@@ -88,6 +109,25 @@ def test_cache(spark, tmp_path):
     assert not c.exists()
 
 
+def test_cache_versions(spark, tmp_path):
+    """Readers keep their version; one of two writers is refused; many upserts are compacted; a torn manifest is passed over."""
+    c = B.CacheTable(spark, str(tmp_path / "cache"))
+    one = lambda k, n: spark.createDataFrame([entry(k, n)], B.SCHEMA)
+    c.upsert(one("a", 1))
+    before = c.read()
+    head = c._head()
+    c.upsert(one("a", 2))
+    assert before.first()["created_at"] == 1 and c.read().first()["created_at"] == 2
+    with pytest.raises(RuntimeError):
+        c._publish(one("x", 1), head, head[1])
+    for i in range(B.COMPACT + 2):
+        c.upsert(one(f"k{i}", i))
+    assert c.read().count() == B.COMPACT + 3 and len(c._head()[1]) < B.COMPACT and len(c._manifests()) <= B.KEPT
+    (tmp_path / "cache" / "_versions" / "000000000999.json").write_text("")
+    c.upsert(one("late", 1))
+    assert c.read().where("file_hash = 'late'").count() == 1
+
+
 def test_backups(spark):
     df = spark.createDataFrame([("a.bak", 0), ("a_1.bak.py", 50), ("a.py", 0), ("bak", 0)], "path string, mtime long")
     assert sorted(r["path"] for r in B.find_backups(df).collect()) == ["a.bak", "a_1.bak.py"]
