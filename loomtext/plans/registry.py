@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomtext.incremental import merkle
-from loomtext.plans import q_code, q_rel, q_scalars, q_text
+from loomtext.plans import q_code, q_more, q_rel, q_scalars, q_text
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -19,7 +19,7 @@ def add(name, fn, sql=None):
 
 add("p5_found", merkle.p5_found, merkle.P5_SQL)
 add("p5_matches", merkle.p5_matches, merkle.P5_MATCHES_SQL)
-for _module in (q_text, q_scalars, q_code, q_rel):
+for _module in (q_text, q_scalars, q_code, q_rel, q_more):
     for _name, (_fn, _sql) in _module.QUERIES.items():
         add(_name, _fn, _sql)
 
