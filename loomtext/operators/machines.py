@@ -72,12 +72,15 @@ class Machine:
 
     def match(self, text: str, start: int) -> tuple[str, int, int] | None:
         """(raw text, begin, end) of the last accepting state reached from a place. A state's
-        expression may be found anywhere behind the place."""
-        state, at, best, begin, seen = self.initial, start, None, None, 0
+        expression may be found anywhere behind the place. A match goes on as long as its states find text; it
+        ends where a state is entered again at the same place, as it would go round for ever."""
+        state, at, best, begin = self.initial, start, None, None
+        here: set[str] = set()  # states entered at this place
         while True:
             m = self._re[state].search(text, at)
-            if not m or seen > len(self.states) * 64:
+            if not m or state in here:
                 return best
+            here = here | {state} if m.end() == at else set()
             begin = m.start() if begin is None else begin
             s = self.states[state]
             g = s.capture_group
@@ -87,7 +90,7 @@ class Machine:
             target = next((t for t, _ in s.transitions if not self._cond[state, t] or self._cond[state, t].search(text, m.end())), None)
             if target is None:
                 return best
-            state, at, seen = target, m.end(), seen + 1
+            state, at = target, m.end()
 
     def extract(self, raw: str) -> str:
         kind = self.rule.get("type", "none")

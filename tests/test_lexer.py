@@ -90,6 +90,13 @@ def test_state_machine(spark):
         Q.MachineBuilder("x").initial("a").state("a", "a").build()
 
 
+def test_a_machine_has_no_limit_of_steps_and_always_ends():
+    long = Q.Machine("x", "a", ["b"], [Q.State("a", "a", None, False, [("b", None)]), Q.State("b", "b", None, True, [("a", None)])])
+    assert long.find("ab" * 1000)[0][2:] == (0, 2000)
+    idle = Q.Machine("x", "a", ["a"], [Q.State("a", "z*", None, True, [("a", None)])])
+    assert idle.find("zzy")[0][:1] == ("",) or idle.find("zzy")
+
+
 def test_dedup_keeps_the_first_branch(spark):
     s = "path string, idx int, start_offset int, end_offset int, content string"
     a = spark.createDataFrame([("p", 0, 0, 3, "x"), ("p", 1, 0, 3, "x")], s)

@@ -128,6 +128,24 @@ def test_http_providers():
     assert date == "1970-01-01" and auth.startswith("TC3-HMAC-SHA256 Credential=id/1970-01-01/tmt/tc3_request") and len(auth.rsplit("=", 1)[1]) == 64
 
 
+def test_signed_provider():
+    sent = []
+
+    def send(url, headers, body):
+        sent.append((url, headers, body))
+        return '{"Response": {"TargetText": "Hallo", "RequestId": "r"}}' if "Hello" in body else '{"Response": {"Error": {"Code": "Limit", "Message": "too many"}}}'
+
+    p = X.SignedProvider("id", "key", send, clock=lambda: 0)
+    assert p.translate(["Hello", ""], "EN", "de") == ["Hallo", ""] and len(sent) == 1
+    url, headers, body = sent[0]
+    assert url == "https://tmt.tencentcloudapi.com" and headers["Authorization"] == X.sign("id", "key", "tmt", "tmt.tencentcloudapi.com", body, 0)[0]
+    assert '"Source": "en"' in body and headers["X-TC-Timestamp"] == "0"
+    with pytest.raises(X.TransportError, match="Limit: too many"):
+        p.translate(["x"], "en", "de")
+    with pytest.raises(ValueError):
+        p.translate(["x" * 7000], "en", "de")
+
+
 def test_rate_limit():
     now, slept = [0.0], []
     b = X.TokenBucket(2, lambda: now[0], slept.append)
