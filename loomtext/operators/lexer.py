@@ -213,32 +213,56 @@ def verify_matches(u: DataFrame, *more: str) -> DataFrame:
     )
 
 
+_PLACED = "array<struct<line:int,column:int,offset:int,idx:int>>"
+
+
+def _after(place, text: Column):
+    """(line, column, offset) behind a text that begins at a place."""
+    line, column, offset = place
+    size, lines = F.octet_length(text), F.regexp_count(text, F.lit("\n")).cast("int")
+    return line + lines, F.when(lines > 0, F.octet_length(F.substring_index(text, "\n", -1)) + 1).otherwise(column + size), offset + size
+
+
+def _matches_of(text: Column, p: dict) -> Column:
+    """array of a pattern's matches with their places, which are carried along from match to match."""
+    whole, parts = F.regexp_extract_all(text, F.lit(p["regex"]), F.lit(0)), F.split(text, p["regex"], -1)
+    steps = F.zip_with(whole, F.slice(parts, F.lit(1), F.greatest(F.size(whole), F.lit(0))), lambda m, x: F.struct(m.alias("m"), F.coalesce(x, F.lit("")).alias("before")))
+    none = F.array().cast(_PLACED)
+    zero = F.struct(F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit(0).alias("offset"), none.alias("out"))
+
+    def step(acc, x):
+        start = _after((acc["line"], acc["column"], acc["offset"]), x["before"])
+        line, column, offset = _after(start, x["m"])
+        here = F.struct(start[0].alias("line"), start[1].alias("column"), start[2].alias("offset"), F.size(acc["out"]).alias("idx"))
+        return F.struct(line.alias("line"), column.alias("column"), offset.alias("offset"), F.array_append(acc["out"], here).alias("out"))
+
+    places = F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    g = int(p.get("group", 0))
+
+    def row(m, at):
+        got = F.regexp_extract(m, p["regex"], g) if g else m
+        return F.struct(
+            at["idx"].alias("idx"), F.lit(p["name"]).alias("pattern_name"), F.lit("CustomRegex").alias("pattern_type"), F.lit(p.get("category", "other")).alias("category"), m.alias("raw_match"),
+            F.coalesce(F.nullif(got, F.lit("")), m).alias("content"), F.struct(at["line"].alias("line"), at["column"].alias("column"), at["offset"].alias("offset")).alias("start"),
+        )
+
+    return F.zip_with(whole, places, row)
+
+
 def custom_matches(files: DataFrame, patterns: list[dict], text: str = "text", ext: str = "ext") -> DataFrame:
     """Matches of user patterns: dicts of name, regex, group, extensions, category. A pattern for
     "*" (or for no extension) runs only on files whose extension no pattern names. A group that
-    isn't there gives the whole match. Positions are real ones."""
-    named = {e.lower().lstrip(".") for p in patterns for e in p.get("extensions") or [] if e != "*"}
-    out = None
+    isn't there gives the whole match. Positions are real ones. All patterns run in one pass over the files."""
+    named = sorted({e.lower().lstrip(".") for p in patterns for e in p.get("extensions") or [] if e != "*"})
     keep = [c for c in files.columns if c != text]
+    kind = "array<struct<idx:int,pattern_name:string,pattern_type:string,category:string,raw_match:string,content:string,start:struct<line:int,column:int,offset:int>>>"
+    none, e = F.array().cast(kind), F.lower(F.col(ext))
+    each = []
     for p in patterns:
-        exts = [e.lower().lstrip(".") for e in p.get("extensions") or [] if e != "*"]
-        e = F.lower(F.col(ext))
-        mine = files.where(e.isin(exts)) if exts else files.where(~e.isin(sorted(named)) if named else F.lit(True))
-        g = int(p.get("group", 0))
-        t = F.col(text)
-        whole = F.regexp_extract_all(t, F.lit(p["regex"]), F.lit(0))
-        m = mine.select(*keep, t.alias("__t"), F.split(t, p["regex"], -1).alias("__s"), whole.alias("__a"), F.posexplode(whole).alias("idx", "raw_match"))
-        before = F.concat(F.array_join(F.slice("__s", F.lit(1), F.col("idx") + 1), ""), F.array_join(F.slice("__a", F.lit(1), F.col("idx")), ""))
-        # text before: parts and matches take turns, so lengths add up; order matters for lines only by count
-        pre = F.left(F.col("__t"), F.length(before))
-        got = F.regexp_extract(F.col("raw_match"), p["regex"], g) if g else F.col("raw_match")
-        m = m.select(
-            *keep, "idx", F.lit(p["name"]).alias("pattern_name"), F.lit("CustomRegex").alias("pattern_type"), F.lit(p.get("category", "other")).alias("category"), "raw_match",
-            F.coalesce(F.nullif(got, F.lit("")), F.col("raw_match")).alias("content"),
-            F.struct(C.line_of(pre).cast("int").alias("line"), C.column_of(pre).cast("int").alias("column"), F.octet_length(pre).cast("int").alias("offset")).alias("start"),
-        )
-        out = m if out is None else out.unionByName(m)
-    return out
+        exts = [x.lower().lstrip(".") for x in p.get("extensions") or [] if x != "*"]
+        mine = e.isin(exts) if exts else ~e.isin(named) if named else F.lit(True)
+        each.append(F.coalesce(F.when(mine, _matches_of(F.col(text), p).cast(kind)), none))
+    return files.select(*keep, F.explode(F.concat(*each) if each else none).alias("__m")).select(*keep, "__m.*")
 
 
 def merged_units(*branches: DataFrame, key=("path",)) -> DataFrame:
