@@ -61,6 +61,7 @@ traduzir | tradução | modelo de linguagem | esse pedido | este pedido | seu pe
 
 _OPEN = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "【": "】", "“": "”", "«": "»", "《": "》"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
+_DELIMITER = regex.compile("[" + regex.escape("".join(_OPEN)) + "]")
 _FENCED = regex.compile(r"\A\s*```[^\n]*\n?(.*?)\n?```\s*\Z", regex.S)
 _PREFIX = regex.compile(r"\A\s*(?:[*_#>\s]*)(?:(?:here is|hier ist|voici|aquí está|aqui está|вот)\b[^:：\n]{0,40}|translation|translated text|übersetzung|traduction|traducción|tradução|перевод|翻译|译文|翻訳|訳文|번역)(?:\s*\([^)\n]{0,20}\))?[*_]*\s*[:：]\s*", regex.I)
 _TAIL = regex.compile(r"(?:\s*(?:\[\[?_*\w+_*\]?\]|\[%\([^)\n]*\)\w\]|__\w+__|\[\d+\]))+\s*\Z")
@@ -152,7 +153,7 @@ def unwrap(answer: str) -> str:
     t = answer.strip(" \t\r\n　﻿​")
     for _ in range(3):
         before = t
-        m = _FENCED.match(t)
+        m = _FENCED.match(t) if t.startswith("```") else None
         t = m.group(1) if m else t
         if ":" in t[:120] or "：" in t[:120]:
             t = _PREFIX.sub("", t)
@@ -166,13 +167,16 @@ def unwrap(answer: str) -> str:
 
 def open_delimiters(text: str) -> int:
     """Delimiters still open at the end."""
+    ticks = text.count("`") % 2
+    if not _DELIMITER.search(text):
+        return ticks
     stack: list[str] = []
     for ch in text:
         if ch in _OPEN:
             stack.append(ch)
         elif ch in _CLOSE and stack and stack[-1] == _CLOSE[ch]:
             stack.pop()
-    return len(stack) + text.count("`") % 2
+    return len(stack) + ticks
 
 
 def _flat(text: str) -> str:
@@ -217,6 +221,8 @@ def truncated(prompt: str, answer: str, ratio: float, votes: Votes, target: str)
     size = len(ua[-1]) / max(1.0, expected)
     if size < 0.35:
         return True
+    if size >= 0.82 or size < 0.45:
+        return size < 0.45
     last = langid.clean(ua[-1]).split()
     odd = bool(last) and not langid._CJK.search(last[-1]) and last[-1] not in votes.known.get(target, ()) and not _MARK_END.search(ua[-1])
     short = 0.82 if lost or odd else 0.45
@@ -256,7 +262,7 @@ def _suspect(prompt: str, answer: str, src: str | None, tgt: str | None, ratios:
     if refuses(answer, prompt):
         return "refusal"
     lang, lead = votes.language(body)
-    covered = copied(_flat(prompt), _flat(body))
+    covered = copied(_flat(prompt), _flat(body)) if lang != tgt else 0.0  # an answer in the target language is no copy
     if covered >= COPIED_ALL and lang != tgt:
         return "copy"
     if lang is not None and tgt is not None and lang not in (src, tgt) and lead > 1.5:
