@@ -250,21 +250,21 @@ def classify_function(name: Column, patterns: dict[str, list[str]]) -> Column:
 
 # Names of functions that take texts, by kind and language.
 FUNCTIONS = {
-    ("error_handling", "javascript"): "Error TypeError ReferenceError SyntaxError RangeError URIError EvalError AggregateError",
-    ("error_handling", "python"): "Exception ValueError TypeError KeyError IndexError RuntimeError AssertionError NotImplementedError",
-    ("error_handling", "rust"): "panic todo unimplemented unreachable assert assert_eq assert_ne",
-    ("error_handling", "go"): "errors.New fmt.Errorf panic",
-    ("error_handling", "java"): "IllegalArgumentException IllegalStateException NullPointerException RuntimeException Exception",
-    ("error_handling", "csharp"): "ArgumentException InvalidOperationException NullReferenceException Exception",
-    ("output", "javascript"): "console.log console.error console.warn console.info console.debug console.trace console.dir",
-    ("output", "python"): "print logging.debug logging.info logging.warning logging.error logging.critical logging.exception",
-    ("output", "rust"): "println eprintln print eprint dbg",
-    ("output", "go"): "fmt.Println fmt.Printf fmt.Print fmt.Fprintf fmt.Fprintln log.Println log.Printf log.Print",
-    ("output", "java"): "System.out.println System.out.print System.err.println System.err.print Logger.getLogger",
-    ("output", "csharp"): "Console.WriteLine Console.Write Console.Error.WriteLine Console.Error.Write Debug.WriteLine",
+    ("error_handling", "javascript"): ("Error", "TypeError", "ReferenceError", "SyntaxError", "RangeError", "URIError", "EvalError", "AggregateError"),
+    ("error_handling", "python"): ("Exception", "ValueError", "TypeError", "KeyError", "IndexError", "RuntimeError", "AssertionError", "NotImplementedError"),
+    ("error_handling", "rust"): ("panic", "todo", "unimplemented", "unreachable", "assert", "assert_eq", "assert_ne"),
+    ("error_handling", "go"): ("errors.New", "fmt.Errorf", "panic"),
+    ("error_handling", "java"): ("IllegalArgumentException", "IllegalStateException", "NullPointerException", "RuntimeException", "Exception"),
+    ("error_handling", "csharp"): ("ArgumentException", "InvalidOperationException", "NullReferenceException", "Exception"),
+    ("output", "javascript"): ("console.log", "console.error", "console.warn", "console.info", "console.debug", "console.trace", "console.dir"),
+    ("output", "python"): ("print", "logging.debug", "logging.info", "logging.warning", "logging.error", "logging.critical", "logging.exception"),
+    ("output", "rust"): ("println", "eprintln", "print", "eprint", "dbg"),
+    ("output", "go"): ("fmt.Println", "fmt.Printf", "fmt.Print", "fmt.Fprintf", "fmt.Fprintln", "log.Println", "log.Printf", "log.Print"),
+    ("output", "java"): ("System.out.println", "System.out.print", "System.err.println", "System.err.print", "Logger.getLogger"),
+    ("output", "csharp"): ("Console.WriteLine", "Console.Write", "Console.Error.WriteLine", "Console.Error.Write", "Debug.WriteLine"),
 }
 VARIABLES = [".*Message$", ".*Text$", ".*Title$", ".*Label$", ".*Hint$", ".*Placeholder$"]
-PROPERTIES = "message title description text content label placeholder tooltip hint".split()
+PROPERTIES = ["message", "title", "description", "text", "content", "label", "placeholder", "tooltip", "hint"]
 _SAME = {"typescript": "javascript", "jsx": "javascript", "tsx": "javascript"}
 
 
@@ -272,4 +272,4 @@ def default_patterns(lang: str, category: str) -> list[str]:
     """Names by language and category; variable and property names for any language."""
     if category in ("variable", "property"):
         return VARIABLES if category == "variable" else PROPERTIES
-    return FUNCTIONS.get((category, _SAME.get(lang, lang)), "").split()
+    return list(FUNCTIONS.get((category, _SAME.get(lang, lang)), ()))
