@@ -72,3 +72,19 @@ def test_presets_and_limits():
 def test_composite_handles_nulls_and_empty_tables(spark):
     assert column(spark, [None, "", " ", "你好世界"], P.composite(T)) == [(False,), (False,), (False,), (True,)]
     assert spark.createDataFrame([], "t string").select(P.composite(T)).collect() == []
+
+
+def test_checksums_and_common_languages(spark):
+    """The checksum of a text's bytes; U4: the Latin languages that are allowed, in the fixed order."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from loomtext.functions import scalars as C
+    from loomtext.functions import scripts as S
+
+    texts = ["", "abc", "größer 世界", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(C.crc32(F.col("t")).alias("c")).collect()
+    assert [r["c"] for r in got] == [None if t is None else zlib.crc32(t.encode()) for t in texts]
+    one = spark.range(1).select(S.latin_langs().alias("all"), S.latin_langs(["FR", "ZH", "DE", "FR"]).alias("some"), S.latin_langs(["KO"]).alias("none"), S.latin_langs([]).alias("empty")).first()
+    assert one["some"] == [k for k in one["all"] if k in ("FR", "DE")] and len(one["some"]) == 2 and one["none"] == one["empty"] == []
