@@ -33,6 +33,8 @@ CAPS = ["batch_size", "max_char_count"]
 
 #: Limits of an example of p6_examples: tokens, segments, and tokens that bear loss (those of the answers).
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 1024, 24, 400
+#: Pairs of a shard: nearly all have a vector of their own, so a step scans as many classes as a shard has pairs.
+EXAMPLE_SHARD = 2000
 
 
 def _fill(vectors: np.ndarray, counts: np.ndarray, cap: np.ndarray, rule: str) -> list[list[int]]:
@@ -175,8 +177,7 @@ def example_items(spark: SparkSession, sf_dir: str, tokens: int = MAX_TOKENS, se
     batch_rows(spark, 2000)
     r = table(spark, sf_dir, "translate_responses").where(F.col("response_id").isNotNull() & F.col("original_text").isNotNull() & F.col("translated_text").isNotNull() & F.col("success"))
     r = spread(r.select("response_id", "ts", F.lower(F.trim("target_lang")).alias("target_lang"), "original_text", "translated_text"))
-    n = with_counts(r, "translated_text", ["response_id", "ts", "target_lang", "original_text"]).withColumnRenamed("n_tokens", "loss_tokens")
-    n = with_counts(n, "original_text", ["response_id", "ts", "target_lang", "loss_tokens"])
+    n = with_counts(r, ["original_text", "translated_text"], ["response_id", "ts", "target_lang"]).withColumnsRenamed({"n_tokens_0": "n_tokens", "n_tokens_1": "loss_tokens"})
     one = n.groupBy("response_id").agg(F.min_by(F.struct("target_lang", (F.col("n_tokens") + F.col("loss_tokens")).alias("n_tokens"), "loss_tokens"), F.struct("ts", "n_tokens", "loss_tokens", "target_lang")).alias("r"))
     return one.select("r.target_lang", "response_id", "r.n_tokens", F.lit(1).alias("segments"), "r.loss_tokens", F.lit(tokens).alias("max_tokens"), F.lit(segments).alias("max_segments"), F.lit(loss).alias("max_loss"))
 
@@ -184,7 +185,7 @@ def example_items(spark: SparkSession, sf_dir: str, tokens: int = MAX_TOKENS, se
 def p6_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target_lang, response_id, example): pairs packed into training examples under simultaneous limits on
     tokens, segments and loss-bearing tokens. A pair above a limit is an example of its own; pairs are never divided."""
-    packed = pack_groups(example_items(spark, sf_dir), "target_lang", "response_id", ["n_tokens", "segments", "loss_tokens"], ["max_tokens", "max_segments", "max_loss"])
+    packed = pack_groups(example_items(spark, sf_dir), "target_lang", "response_id", ["n_tokens", "segments", "loss_tokens"], ["max_tokens", "max_segments", "max_loss"], EXAMPLE_SHARD)
     return packed.withColumnRenamed("container", "example")
 
 

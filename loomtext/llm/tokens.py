@@ -96,15 +96,18 @@ def with_ids(df: DataFrame, text: str, keys: list[str], name: str = "byte_bpe_50
     return src.mapInArrow(run, schema)
 
 
-def with_counts(df: DataFrame, text: str, keys: list[str], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """keys and n_tokens long: like with_ids, without keeping the ids."""
-    src = df.select(*keys, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", n_tokens long"
+def with_counts(df: DataFrame, text: str | list[str], keys: list[str], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """keys and n_tokens long: like with_ids, without keeping the ids. Of several texts a column for each, n_tokens_0
+    and so on, in one pass."""
+    texts = [text] if isinstance(text, str) else text
+    names = ["n_tokens"] if isinstance(text, str) else [f"n_tokens_{i}" for i in range(len(texts))]
+    src = df.select(*keys, *[F.col(t).alias(f"__text{i}") for i, t in enumerate(texts)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema), *(f"{n} long" for n in names)])
 
     def run(batches):
         for b in batches:
-            n = [len(encode(t, name, folder)) for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(n, pa.int64())], names=[*keys, "n_tokens"])
+            n = [pa.array([len(encode(t, name, folder)) for t in b.column(f"__text{i}").to_pylist()], pa.int64()) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *n], names=[*keys, *names])
 
     return src.mapInArrow(run, schema)
 

@@ -109,10 +109,21 @@ def test_ids_round_trip(spark):
     assert back == {r["doc_id"]: (r["text"] or "").encode() for r in d.collect()}
 
 
-def test_core_runs_without(spark):
-    import __spark_entry__ as e
-
-    assert set(queries.queries()) <= set(e.queries())
+def test_core_runs_without(tmp_path):
+    """A copy without the subpackage and its tests still imports and has all other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parents[2]
+    shutil.copytree(here / "loomtext", tmp_path / "loomtext", ignore=lambda d, names: [n for n in names if n == "llm" or n == "__pycache__"])
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True).stdout
+    assert "lex_tokens" in out and "p5_found" in out and "p1_found" not in out and out.strip().endswith("True")
+    for f in (here / "loomtext").rglob("*.py"):
+        assert "llm" in f.relative_to(here).parts or "loomtext.llm" not in f.read_text(), f
 
 
 def test_shares_are_of_the_whole_file(spark, tmp_path):
