@@ -8,6 +8,7 @@ from loomtext.functions import scalars as C
 from loomtext.operators import lexer as X
 from loomtext.operators import routing as T
 from loomtext.operators import stats as A
+from loomtext.operators import translate as P
 from loomtext.operators import writer as W
 from loomtext.plans import q_code, q_rel
 from loomtext.session import spread, table
@@ -119,6 +120,47 @@ def diffs(spark, sf_dir):
 DIFFS = """WITH m AS (SELECT DISTINCT path, position.offset AS s, extracted_text AS o, replace(extracted_text, ' ', '_') AS n FROM verify_matches WHERE path IS NOT NULL AND extracted_text IS NOT NULL)
 SELECT path, count(*) AS n, md5(string_agg('@@ ' || s || ' @@' || chr(10) || '-' || o || chr(10) || '+' || n, chr(10) ORDER BY s, o, n)) AS diff FROM m WHERE o <> n GROUP BY path"""
 
+def applied_lines(spark, sf_dir):
+    """Texts of one line put in the place of their matches, each between two other lines with CR LF."""
+    m = table(spark, sf_dir, "verify_matches").where(r"raw_match IS NOT NULL AND match_id IS NOT NULL AND contains(raw_match, extracted_text) AND NOT contains(raw_match, '\n') AND NOT contains(raw_match, '\r') AND extracted_text <> ''")
+    m = m.select("match_id", "extracted_text", "raw_match").distinct()
+    key = F.concat_ws(":", "match_id", F.md5("extracted_text"), F.md5("raw_match"))
+    files = m.select(key.alias("path"), F.concat(F.lit("first\r\n  "), "raw_match", F.lit(" end\r\nlast")).alias("text"))
+    units = m.select(key.alias("path"), F.col("extracted_text").alias("content"), F.replace("extracted_text", F.lit(" "), F.lit("_")).alias("translated"), "raw_match", F.lit(2).alias("line"), F.lit(3).alias("column"))
+    a = W.apply_units(spread(files), units)
+    return a.select("path", "after", "changed", "error")
+
+
+APPLIED_LINES = r"""WITH m AS (SELECT DISTINCT match_id, extracted_text AS e, raw_match AS r FROM verify_matches WHERE raw_match IS NOT NULL AND match_id IS NOT NULL AND contains(raw_match, extracted_text) AND NOT contains(raw_match, chr(10)) AND NOT contains(raw_match, chr(13)) AND extracted_text <> ''),
+n AS (SELECT *, match_id || ':' || md5(e) || ':' || md5(r) AS path, left(r, instr(r, e) - 1) || replace(e, ' ', '_') || substring(r, instr(r, e) + length(e)) AS new FROM m)
+SELECT path, 'first' || chr(13) || chr(10) || '  ' || new || ' end' || chr(13) || chr(10) || 'last' AS after, new <> r AS changed, NULL::VARCHAR AS error FROM n"""
+
+class _Marking:
+    """A provider that puts low lines for blanks; a strict one refuses texts with a sign."""
+
+    def __init__(self, name: str, most: int = 0, refuses: str = ""):
+        self.name, self.max_input_chars, self.refuses = name, most, refuses
+
+    def translate(self, texts, source, target):
+        if self.refuses and any(self.refuses in t for t in texts):
+            raise P.TransportError("refused")
+        return [t.replace(" ", "_") for t in texts]
+
+
+def translated_texts(spark, sf_dir):
+    """Requests through providers of which one refuses some texts and one takes short ones only; long texts in parts."""
+    q = table(spark, sf_dir, "translate_requests").where("text IS NOT NULL AND request_id IS NOT NULL").groupBy("request_id").agg(F.min("text").alias("content"))
+    q = q.withColumn("source_lang", F.lit("AUTO")).withColumn("target_lang", F.lit("EN"))
+
+    def make():
+        options = P.Options(batch_size=16, max_retries=3, split_above=1500, split_size=700)
+        return P.Service([_Marking("strict", 0, "e"), _Marking("short", 300), _Marking("plain")], {"strict": 3, "short": 1, "plain": 1}, options)
+
+    return P.translate(spread(q), make).select("request_id", "translated", "error")
+
+
+TRANSLATED_TEXTS = "SELECT request_id, replace(min(text), ' ', '_') AS translated, NULL::VARCHAR AS error FROM translate_requests WHERE text IS NOT NULL AND request_id IS NOT NULL GROUP BY 1"
+
 _IDS = ["deeplx", "llm", "tencent", "local"]
 
 
@@ -184,6 +226,6 @@ TURN_SHARES = "SELECT doc_id // 8 AS block, count(*) AS n, 5::BIGINT AS a, 1::BI
 
 QUERIES = {
     "lex_languages": (lex_languages, LEX_LANGUAGES), "region_nodes": (region_nodes, REGION_NODES), "line_endings": (line_endings, LINE_ENDINGS), "provider_limits": (provider_limits, PROVIDER_LIMITS),
-    "restored_spans": (restored_spans, RESTORED_SPANS), "diffs": (diffs, DIFFS), "failovers": (failovers, FAILOVERS), "file_results": (file_results, FILE_RESULTS), "label_keys": (label_keys, LABEL_KEYS),
+    "restored_spans": (restored_spans, RESTORED_SPANS), "diffs": (diffs, DIFFS), "applied_lines": (applied_lines, APPLIED_LINES), "translated_texts": (translated_texts, TRANSLATED_TEXTS), "failovers": (failovers, FAILOVERS), "file_results": (file_results, FILE_RESULTS), "label_keys": (label_keys, LABEL_KEYS),
     "response_retries": (response_retries, RESPONSE_RETRIES), "turn_shares": (turn_shares, TURN_SHARES),
 }
