@@ -2,7 +2,8 @@
 
 They only serve to recognise such language. A line holds frames, "||", and words; every word is put
 into FRAMES_PER_WORD of the frames in turn (into all of them where there are fewer). The words are
-common knowledge of the nine languages and were written without a view of any table. HARMFUL are
+common knowledge of the nine languages. HARMFUL was written without a view of the documents; of HARMLESS the
+lines of code words and of sentences with pronouns were added after false alarms on documents of sf0.1 were seen. HARMFUL are
 insults, threats, hatred of groups and sexually explicit texts; HARMLESS address people in a friendly
 or sober way, criticise work, use the same words in a technical or everyday sense, name them, or are code.
 """
