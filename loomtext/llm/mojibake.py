@@ -6,7 +6,8 @@ expanded in the order of their cost, how implausible their characters are; the c
 reached is the restored one. Edges also apply to a part of a text (a run of characters the
 encoding has, and within it the valid UTF-8 sequences), so texts damaged in part are found.
 
-Plausible characters are learned from labelled text in known languages (a bounded sample). A
+Plausible characters are learned from all labelled text in known languages, counted in the
+cluster; only counts of characters reach the driver, bounded by Unicode and not by the tables. A
 text is wrongly decoded if the search reaches a clearly cheaper one, or if it carries characters that
 only failed decoding leaves behind (replacement characters, C1 controls).
 """
@@ -19,19 +20,21 @@ import html
 import itertools
 import math
 import unicodedata
+from collections import Counter
+from collections.abc import Mapping
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.langid import sampled
+from loomtext.llm.langid import LANGS, label
 from loomtext.session import batch_rows, spread, table
 
 #: A state is given up if its cost is above that of the best text, or of the state it comes from, by more than SLACK and
 #: SLACK_PER_SIGN for each character above ASCII. There is no other bound, neither of depth nor of states.
 SLACK, SLACK_PER_SIGN = 8.0, 0.05
-SAMPLE_ROWS = 6000
 
 #: Encodings a text may have been decoded with, and those its bytes may really be in.
 SINGLE = {
@@ -211,14 +214,12 @@ def _replaced(text: str, found, done) -> str:
 
 
 class Plausibility(dict):
-    """Cost of characters, known ones from plain text."""
+    """Cost of characters, known ones from plain text or from the counts of its characters."""
 
-    def __init__(self, plain: str):
+    def __init__(self, plain: str | Mapping[str, int]):
         super().__init__()
         self.seen: dict[str, tuple[str, str]] = {}
-        seen = {}
-        for c in plain:
-            seen[c] = seen.get(c, 0) + 1
+        seen = Counter(plain)
         top = max((n for c, n in seen.items() if "Ѐ" <= c <= "ӿ"), default=1)
         # by frequency, as wrong Cyrillic decodings swap letters of one alphabet
         self.cyrillic = {c: min(3.5, 1.0 + 0.25 * math.log2(top / n)) for c, n in seen.items() if "Ѐ" <= c <= "ӿ"}
@@ -356,15 +357,15 @@ def examine(text: str | None, p: Plausibility) -> tuple[str, str, bool] | None:
 _MODELS: dict[int, Plausibility] = {}
 
 
-def _model(plain: str) -> Plausibility:
-    k = hash(plain)
+def _model(plain: Mapping[str, int]) -> Plausibility:
+    k = hash(frozenset(plain.items()))
     if k not in _MODELS:
         _MODELS.clear()
         _MODELS[k] = Plausibility(plain)
     return _MODELS[k]
 
 
-def garbled(df: DataFrame, key: str, fields: list[str], plain: str) -> DataFrame:
+def garbled(df: DataFrame, key: str, fields: list[str], plain: Mapping[str, int]) -> DataFrame:
     """(key, field, restored, ops, whole): one row per garbled field of each row. Fields of
     plain ASCII without escapes never leave the JVM."""
     needs = r"[^\x00-\x7F]|\$[@B][!-~]|=[89A-F][0-9A-F]=[89A-F]|&(?:#|[A-Za-z])|\\u00|\\x|%[89a-fA-F]"
@@ -392,10 +393,33 @@ def garbled(df: DataFrame, key: str, fields: list[str], plain: str) -> DataFrame
     return src.mapInArrow(run, f"`{key}` {kind}, field string, restored string, ops string, whole boolean")
 
 
-def plain_text(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS) -> str:
-    """Labelled text of the known languages, as it stands; no more than a few MB. Rows with
-    signs of damage are left out."""
-    return "\n".join(sorted({t for _, t in sampled(spark, sf_dir, rows) if not _LOST.search(t)}))
+#: Texts of other characters only can't change a Plausibility: these are known anyway.
+_TELLING = r"[^\x20-\x7E\t\n\r\x1B]"
+
+
+def _characters(batches):
+    n = Counter()
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            n.update(text)
+    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["c", "n"])
+
+
+def plain_characters(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """How often each character stands in the labelled text of the known languages: all texts of lang_samples and
+    all originals of translate_responses, whatever their length, each text once. Texts with signs of damage are left out,
+    and so are those that hold no character but known ones (plain ASCII): they never leave the JVM."""
+
+    @F.pandas_udf("boolean")
+    def labelled(lang: pd.Series) -> pd.Series:
+        return lang.map(lambda x: label(x) in LANGS).astype(bool)
+
+    own = table(spark, sf_dir, "lang_samples").select("text", "lang")
+    resp = table(spark, sf_dir, "translate_responses").select(F.col("original_text").alias("text"), F.col("source_lang").alias("lang"))
+    src = own.unionByName(resp).where(F.col("text").rlike(_TELLING) & ~F.col("text").rlike(_LOST.pattern))
+    texts = src.where(labelled(F.coalesce("lang", F.lit("")))).select("text").distinct()
+    counts = texts.mapInArrow(_characters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    return {r["c"]: r["n"] for r in counts.collect()}
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,7 +427,7 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     the one restored by the fewest operations counts."""
     batch_rows(spark, 4000)
     m = spread(table(spark, sf_dir, "verify_matches").select("match_id", "extracted_text", "raw_match"))
-    g = garbled(m, "match_id", ["extracted_text", "raw_match"], plain_text(spark, sf_dir))
+    g = garbled(m, "match_id", ["extracted_text", "raw_match"], plain_characters(spark, sf_dir))
     return g.groupBy("match_id", "field").agg(F.min_by(F.struct("restored", "ops", "whole"), F.struct(F.length("ops"), "restored")).alias("r")).select("match_id", "field", "r.*")
 
 
@@ -411,4 +435,4 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(match_id, field)."""
     batch_rows(spark, 4000)
     m = spread(table(spark, sf_dir, "verify_matches").select("match_id", "extracted_text", "raw_match"))
-    return garbled(m, "match_id", ["extracted_text", "raw_match"], plain_text(spark, sf_dir)).select("match_id", "field").distinct()
+    return garbled(m, "match_id", ["extracted_text", "raw_match"], plain_characters(spark, sf_dir)).select("match_id", "field").distinct()

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.llm import mixing, packing, queries, tokens
+from loomtext.llm import mixing, mojibake, packing, queries, tokens
 
 DATA = "/root/testdata/sf0.001"
 FOUND = ["p1_found", "p2_found", "p3_found", "p4_found", "p7_found", "p8_ids", "p10_found"]
@@ -148,3 +148,24 @@ def test_whole_counts_escapes_as_letters():
     from loomtext.llm import codetext
 
     assert codetext.whole(r"x = '\u4f60\u597d'", "py") == 3 and codetext.whole("<a b='&#20013;'>", "html") == 3 and codetext.whole(None, "py") == 0
+
+
+def test_labelled_text_is_counted_whole(spark, tmp_path):
+    """Characters that stand only in few of many rows, or only in long texts, are known like all others."""
+    real = "找不到文件，因此会新建一个。"
+    ids = [r["id"] for r in spark.range(13_000).orderBy(F.xxhash64("id")).collect()]
+    texts = {i: (f"Press key number {i} to go on.", "en") for i in ids}
+    texts[ids[-1]] = (real[:7] + "，", "zh")  # the last ones in the order of the hash
+    texts[ids[-2]] = (real[:7] + "！", "Chinese")
+    texts[ids[0]] = ((real[7:] + "\n") * 300, "zh_CN")
+    texts[ids[1]] = ("Ã¤ Ã¤ as garbled text is labelled", "xx")
+    texts[ids[2]] = ("Ã¤ Ã¤ �", "de")
+    spark.createDataFrame([(i, *v) for i, v in texts.items()], "response_id long, original_text string, source_lang string").write.parquet(f"{tmp_path}/translate_responses.parquet")
+    spark.createDataFrame([("The file is here.", "en")], "text string, lang string").write.parquet(f"{tmp_path}/lang_samples.parquet")
+    bad = real.encode("gbk").decode("latin-1")
+    spark.createDataFrame([(1, bad, "// " + bad), (2, real, real), (3, "plain", None)], "match_id long, extracted_text string, raw_match string").write.parquet(f"{tmp_path}/verify_matches.parquet")
+    got = {(r["match_id"], r["field"]): r["restored"] for r in queries.queries()["p3_restored"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "extracted_text"): real, (1, "raw_match"): "// " + real}
+    assert queries.queries()["p3_found"](spark, str(tmp_path)).count() == 2
+    n = mojibake.plain_characters(spark, str(tmp_path))
+    assert n["个"] == 300 and n["找"] == 2 and "Ã" not in n
